@@ -16,13 +16,15 @@ LONG_MIN = -(2**63)
 
 _INT_PREFIX = r"^\s*([+-]?[0-9]+)"
 _REAL_PREFIX = r"^\s*([+-]?(?:[0-9]+[.]?[0-9]*|[.][0-9]+)(?:[eE][+-]?[0-9]+)?)"
-# D/M/YYYY: the leading integer (1 to 12) of the part between the first two slashes.
-_SLASH_MONTH = r"(?s)^[^/]*/\s*[+]?0*(1[0-2]|[1-9])(?:[^0-9/][^/]*)?/.*[0-9]{4}\z"
-# yyyy-MM of yyyy-MM-dd, optionally followed by a time of day without a zone offset.
-_ISO_MONTH = (
-    r"^([0-9]{4}-(?:0[1-9]|1[0-2]))-(?:0[1-9]|[12][0-9]|3[01])"
-    r"(?:[\sT]*|[\sT]*(?:[01][0-9]|2[0-4]):[0-5][0-9](?::[0-5][0-9](?:\.[0-9]+)?)?\s*[Zz]?\s*)\z"
+# Month and year of D/M/YYYY: the leading integer (1 to 12) of the part between the first
+# two slashes, and the last four digits.
+_SLASH = r"[^/]*/\s*[+]?0*(1[0-2]|[1-9])(?:[^0-9/][^/]*)?/.*([0-9]{4}) *"
+# Year and month of yyyy-MM-dd, optionally followed by a time of day without a zone offset.
+_ISO = (
+    r"([0-9]{4})-(0[1-9]|1[0-2])-(?:0[1-9]|[12][0-9]|3[01])[\sT]*"
+    r"(?:(?:[01][0-9]|2[0-4]):[0-5][0-9](?::[0-5][0-9](?:\.[0-9]+)?)?\s*[Zz]?\s*)?"
 )
+_ANY_DATE = rf"(?s)^(?:{_SLASH}|{_ISO}|.*)\z"
 
 
 def as_column(value: Column | str) -> Column:
@@ -56,16 +58,19 @@ def strip_suffix(value: Column | str, suffix: str) -> Column:
     return F.trim(F.when(has_suffix, F.left(text, F.char_length(text) - n)).otherwise(text))
 
 
+def _prefix(text: Column, pattern: str) -> Column:
+    """The matched prefix, or NULL: a failing numeric cast costs an exception per row."""
+    return F.nullif(F.regexp_extract(text, pattern, 1), F.lit(""))
+
+
 def lenient_int(value: Column | str) -> Column:
     """Leading integer of a text as BIGINT; 0 when there is none; clamped to the BIGINT range."""
     text = as_column(value)
-    # The plain cast settles clean numbers; the patterns only run on what it rejects.
     out_of_range = F.when(text.rlike(r"^\s*-[0-9]"), F.lit(LONG_MIN)).when(
         text.rlike(r"^\s*[+]?[0-9]"), F.lit(LONG_MAX)
     )
     return F.coalesce(
-        text.try_cast("bigint"),
-        F.regexp_extract(text, _INT_PREFIX, 1).try_cast("bigint"),
+        _prefix(text, _INT_PREFIX).try_cast("bigint"),
         out_of_range,
         F.when(text.isNotNull(), F.lit(0)),
     )
@@ -74,8 +79,9 @@ def lenient_int(value: Column | str) -> Column:
 def lenient_real(value: Column | str) -> Column:
     """Leading decimal number of a text as DOUBLE; 0.0 when there is none."""
     text = as_column(value)
-    prefix = F.regexp_extract(text, _REAL_PREFIX, 1)
-    return F.coalesce(prefix.try_cast("double"), F.when(text.isNotNull(), F.lit(0.0)))
+    return F.coalesce(
+        _prefix(text, _REAL_PREFIX).try_cast("double"), F.when(text.isNotNull(), F.lit(0.0))
+    )
 
 
 def month_start(value: Column | str) -> Column:
@@ -85,13 +91,14 @@ def month_start(value: Column | str) -> Column:
     The dashed form must not have leading blanks and needs two-digit parts.
     """
     raw = as_column(value)
-    text = F.trim(raw)
-    # A month that does not match leaves an invalid date text, which try_cast turns into NULL.
-    slash = F.concat(
-        last_chars(text, 4), F.lit("-"), F.regexp_extract(text, _SLASH_MONTH, 1), F.lit("-01")
-    )
-    iso = F.concat(F.regexp_extract(raw, _ISO_MONTH, 1), F.lit("-01"))
-    return F.when(F.instr(text, "/") > 0, slash).otherwise(iso).try_cast("date")
+    # The date cast reads the usual forms without a pattern, whatever the day says.
+    middle = F.substring_index(F.substring_index(raw, "/", 2), "/", -1)
+    slash = F.concat(last_chars(F.trim(raw), 4), F.lit("-"), middle, F.lit("-01"))
+    is_iso = F.translate(raw, "123456789", "000000000") == "0000-00-00"
+    usual = F.when(is_iso, raw).when(F.instr(raw, "/") > 0, slash).try_cast("date")
+    # The pattern settles the rest; a text without a date becomes "--01", which is no date.
+    unusual = F.regexp_replace(raw, _ANY_DATE, "$2$3-$1$4-01").try_cast("date")
+    return F.coalesce(F.trunc(usual, "month"), unusual)
 
 
 def recode(value: Column | str, labels: Mapping[str, str]) -> Column:

@@ -18,6 +18,7 @@ from __future__ import annotations
 import datetime as dt
 import os
 from decimal import Decimal
+from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -63,6 +64,10 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(os.path.join(sf_dir, f"{table}.parquet"))
 
 
+def _text(column: str) -> Column:
+    return F.col(column).cast("string")
+
+
 def _discount() -> Column:
     return F.col("l_discount").cast(_RATE)
 
@@ -77,85 +82,6 @@ def _month(day: Column) -> Column:
     return F.trunc(day, "month")
 
 
-def _nations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    label = F.when(
-        F.col("r_name") != UNLABELLED_REGION, F.concat_ws(" ", "r_name", "n_name")
-    )
-    return (
-        read(spark, sf_dir, "nation")
-        .join(read(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
-        .select(
-            F.col("n_nationkey").alias("nation"),
-            (F.col("n_nationkey") + 1).alias("code"),
-            F.col("n_name").alias("name"),
-            "r_name",
-            label.alias("label"),
-        )
-    )
-
-
-def _located_items(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Line items with the area of their supplier."""
-    items = (
-        read(spark, sf_dir, "lineitem")
-        .select(
-            F.col("l_suppkey").alias("supplier"),
-            F.col("l_linenumber"),
-            F.col("l_quantity"),
-            F.col("l_extendedprice"),
-            F.col("l_discount"),
-            F.col("l_returnflag"),
-            F.col("l_linestatus"),
-            F.col("l_shipdate").cast("date").alias("day"),
-        )
-    )
-    suppliers = read(spark, sf_dir, "supplier").select(
-        F.col("s_suppkey").alias("supplier"), F.col("s_nationkey").alias("nation")
-    )
-    return dim_join(items, suppliers, ["supplier"])
-
-
-def _customer_months(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Customers per nation, month and visitor type; each customer counts once a month.
-
-    Orders shrink to one row per customer and month before they meet the
-    customers, so a customer with very many orders stays small in the join.
-    """
-    active = (
-        read(spark, sf_dir, "orders")
-        .select(
-            F.col("o_custkey").alias("customer"),
-            _month(F.col("o_orderdate").cast("date")).alias("Month"),
-        )
-        .distinct()
-    )
-    customers = read(spark, sf_dir, "customer").select(
-        F.col("c_custkey").alias("customer"),
-        F.col("c_nationkey").alias("nation"),
-        recode("c_mktsegment", SEGMENT_TYPES).alias("Visitor_type"),
-    )
-    return (
-        active.join(customers, "customer")
-        .groupBy("nation", "Month", "Visitor_type")
-        .agg(F.count(F.lit(1)).alias("Visitor_count"))
-    )
-
-
-# --- raw text -----------------------------------------------------------------
-
-
-def raw_mapping(spark: SparkSession, sf_dir: str) -> DataFrame:
-    nations = _nations(spark, sf_dir)
-    label = F.coalesce(F.col("label"), F.lit(" null "))
-    return nations.select(
-        F.concat(F.lit(" "), F.col("code").cast("string")).alias(MAPPING.code),
-        F.concat(F.lit("  "), "name", F.lit(" ")).alias(MAPPING.name),
-        F.col("name").alias(MAPPING.name_ascii),
-        label.alias(MAPPING.label),
-        label.alias(MAPPING.label_ascii),
-    )
-
-
 def _day_text(day: Column, form: Column) -> Column:
     """ISO, ``D/M/YYYY`` or padded ``DD/MM/YYYY`` text, chosen by ``form``."""
     number, month, year = (
@@ -171,166 +97,262 @@ def _day_text(day: Column, form: Column) -> Column:
     )
 
 
-def raw_spend(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Line items as spending text; first lines also carry a row for both visitor types."""
-    rows = _located_items(spark, sf_dir).join(_nations(spark, sf_dir), "nation")
-    kind = F.when(F.col("l_linestatus") == "F", "New Zealand").otherwise(" International ")
-    kinds = F.when(F.col("l_linenumber") == 1, F.array(kind, F.lit("Total"))).otherwise(
-        F.array(kind)
-    )
-    return rows.select(
-        _day_text(F.col("day"), F.col("l_returnflag")).alias("Date"),
-        F.concat(
-            F.lit(" "), F.coalesce("label", F.concat(F.lit("non-RTO - "), "name")), F.lit(" ")
-        ).alias("RTO"),
-        F.concat(F.lit("Product "), F.col("l_linenumber").cast("string")).alias("Product"),
-        F.explode(kinds).alias("Visitor Type"),
-        F.concat(F.lit(" Market "), "l_returnflag").alias("Origin"),
-        F.concat(F.lit(" "), F.col("l_extendedprice").cast(_MONEY).cast("string")).alias("Annual Spend"),
-        F.concat(_amount().cast("string"), F.lit(" ")).alias("Monthly Spend"),
-    )
-
+def _in_window(month: Column) -> Column:
+    return month.between(F.lit(WINDOW[0]), F.lit(WINDOW[1]))
 
-def raw_nights(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Line items as guest-night text; first lines also carry total and regional rows."""
-    rows = _located_items(spark, sf_dir).join(_nations(spark, sf_dir), "nation")
-    area = (
-        F.when(F.col("l_returnflag") == "A", F.concat(F.lit("  "), "name", F.lit(" RTO")))
-        .when(F.col("l_returnflag") == "N", F.concat("name", F.lit(" rto ")))
-        .otherwise(F.col("name"))
-    )
-    prop = F.concat(F.lit("Property "), F.col("l_linenumber").cast("string"))
-    measure = F.when(F.col("l_linestatus") == "F", " Domestic guest nights").otherwise(
-        "International guest nights "
-    )
 
-    def row(level: str, area: Column, prop: Column, measure: Column) -> Column:
-        return F.struct(
-            F.lit(level).alias("Area type"),
-            area.alias("Area"),
-            prop.alias("Property"),
-            measure.alias("Measure"),
+class Demo:
+    """Sources and star of one table directory; every table is opened at most once."""
+
+    def __init__(self, spark: SparkSession, sf_dir: str) -> None:
+        self.spark = spark
+        self.sf_dir = sf_dir
+        self._tables: dict[str, DataFrame] = {}
+
+    def table(self, name: str) -> DataFrame:
+        if name not in self._tables:
+            self._tables[name] = read(self.spark, self.sf_dir, name)
+        return self._tables[name]
+
+    # --- shared parts ---------------------------------------------------------
+
+    @cached_property
+    def _nations(self) -> DataFrame:
+        label = F.when(F.col("r_name") != UNLABELLED_REGION, F.concat_ws(" ", "r_name", "n_name"))
+        return (
+            self.table("nation")
+            .join(self.table("region"), F.col("n_regionkey") == F.col("r_regionkey"))
+            .select(
+                F.col("n_nationkey").alias("nation"),
+                (F.col("n_nationkey") + 1).alias("code"),
+                F.col("n_name").alias("name"),
+                "r_name",
+                label.alias("label"),
+            )
         )
 
-    plain = row(" RTO", area, prop, measure)
-    extra = (
-        row("RTO ", area, F.lit(" Total"), measure),
-        row("RTO", F.lit("Total New Zealand "), prop, measure),
-        row("Regional Council", F.col("r_name"), prop, measure),
-        row("RTO", area, prop, F.lit("Total guest nights")),
-    )
-    emitted = F.when(F.col("l_linenumber") == 1, F.array(plain, *extra)).otherwise(F.array(plain))
-    flag = (
-        F.when(_discount() == SUPPRESSED_DISCOUNT, " c ")
-        .when(_discount() == Decimal("0.09"), "C")
-        .when(_discount() == Decimal("0.08"), "")
-    )
-    return rows.select(
-        _day_text(F.col("day"), F.col("l_returnflag")).alias("Month"),
-        F.explode(emitted).alias("row"),
-        F.col("l_quantity").cast("string").alias("Value"),
-        flag.alias("Flag"),
-    ).select("Month", "row.*", "Value", "Flag")
-
-
-def raw_visitors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Customer counts as visitor text, with regional rows and an all-visitors row."""
-    counts = _customer_months(spark, sf_dir).join(_nations(spark, sf_dir), "nation")
-    segment = F.when(F.col("Visitor_type") == DOMESTIC, " Domestic visitor").otherwise(
-        "Total international visitor "
-    )
-    code = F.concat(F.lit(" RTO"), F.lpad(F.col("code").cast("string"), 2, "0"), F.lit(" "))
-    name = F.concat("name", F.lit(" RTO"))
-
-    def row(level: str, code: Column, name: Column, segment: Column) -> Column:
-        return F.struct(
-            code.alias("Destination_code"),
-            name.alias("Destination"),
-            segment.alias("Population_segment"),
-            F.lit(level).alias("Geographic_level_destination"),
+    @cached_property
+    def _items(self) -> DataFrame:
+        """Line items with the nation of their supplier."""
+        items = self.table("lineitem").select(
+            F.col("l_suppkey").alias("supplier"),
+            "l_linenumber",
+            "l_quantity",
+            "l_extendedprice",
+            "l_discount",
+            "l_returnflag",
+            "l_linestatus",
+            F.col("l_shipdate").cast("date").alias("day"),
+        )
+        suppliers = self.table("supplier").select(
+            F.col("s_suppkey").alias("supplier"), F.col("s_nationkey").alias("nation")
+        )
+        return dim_join(items, suppliers, ["supplier"])
+
+    @cached_property
+    def _customer_months(self) -> DataFrame:
+        """Customers per nation, month and visitor type; each customer counts once a month.
+
+        Orders shrink to one row per customer and month before they meet the
+        customers, so a customer with very many orders stays small in the join.
+        """
+        active = (
+            self.table("orders")
+            .select(
+                F.col("o_custkey").alias("customer"),
+                _month(F.col("o_orderdate").cast("date")).alias("Month"),
+            )
+            .distinct()
+        )
+        customers = self.table("customer").select(
+            F.col("c_custkey").alias("customer"),
+            F.col("c_nationkey").alias("nation"),
+            recode("c_mktsegment", SEGMENT_TYPES).alias("Visitor_type"),
+        )
+        return (
+            active.join(customers, "customer")
+            .groupBy("nation", "Month", "Visitor_type")
+            .agg(F.count(F.lit(1)).alias("Visitor_count"))
         )
 
-    emitted = F.array(
-        row(" RTO", code, name, segment),
-        row("Region", F.concat(F.lit("REG"), "r_name"), F.col("r_name"), segment),
-        row("RTO", code, name, F.lit("All visitors")),
-    )
-    form = F.when(F.col("Visitor_type") == DOMESTIC, "R").otherwise("N")
-    return counts.select(
-        F.inline(emitted),
-        _day_text(F.col("Month"), form).alias("Date"),
-        F.col("Visitor_count").cast("string").alias("Monthly_unique_counts"),
-    )
-
-
-# --- typed sources and star ---------------------------------------------------
-
-
-def mapping(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return clean_mapping(raw_mapping(spark, sf_dir))
-
-
-def locations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return location_dim(mapping(spark, sf_dir), BANDS)
-
-
-def types(spark: SparkSession) -> DataFrame:
-    return enum_dim(spark)
-
-
-def _in_window(month: Column) -> Column:
-    return month.between(F.lit(WINDOW[0]), F.lit(WINDOW[1]))
-
+    # --- raw text -------------------------------------------------------------
+
+    @cached_property
+    def raw_mapping(self) -> DataFrame:
+        label = F.coalesce(F.col("label"), F.lit(" null "))
+        return self._nations.select(
+            F.concat(F.lit(" "), _text("code")).alias(MAPPING.code),
+            F.concat(F.lit("  "), "name", F.lit(" ")).alias(MAPPING.name),
+            F.col("name").alias(MAPPING.name_ascii),
+            label.alias(MAPPING.label),
+            label.alias(MAPPING.label_ascii),
+        )
 
-def _item_month() -> Column:
-    return _month(F.col("day"))
+    @cached_property
+    def raw_spend(self) -> DataFrame:
+        """Line items as spending text; first lines also carry a row for both visitor types."""
+        kind = F.when(F.col("l_linestatus") == "F", "New Zealand").otherwise(" International ")
+        area = F.coalesce("label", F.concat(F.lit("non-RTO - "), "name"))
+        rows = self._items.join(self._nations, "nation").select(
+            "l_linenumber",
+            _day_text(F.col("day"), F.col("l_returnflag")).alias("Date"),
+            F.concat(F.lit(" "), area, F.lit(" ")).alias("RTO"),
+            F.concat(F.lit("Product "), _text("l_linenumber")).alias("Product"),
+            kind.alias("kind"),
+            F.concat(F.lit(" Market "), "l_returnflag").alias("Origin"),
+            F.col("l_extendedprice").cast(_MONEY).cast("string").alias("Annual Spend"),
+            F.concat(F.lit(" "), _amount().cast("string")).alias("Monthly Spend"),
+        )
 
+        def row(kind: Column) -> Column:
+            return F.struct(
+                "Date",
+                "RTO",
+                "Product",
+                kind.alias("Visitor Type"),
+                "Origin",
+                "`Annual Spend`",
+                "`Monthly Spend`",
+            )
+
+        return _emit(rows, row(F.col("kind")), [row(F.lit("Total"))])
+
+    @cached_property
+    def raw_nights(self) -> DataFrame:
+        """Line items as guest-night text; first lines also carry total and regional rows."""
+        area = (
+            F.when(F.col("l_returnflag") == "A", F.concat(F.lit("  "), "name", F.lit(" RTO")))
+            .when(F.col("l_returnflag") == "N", F.concat("name", F.lit(" rto ")))
+            .otherwise(F.col("name"))
+        )
+        measure = F.when(F.col("l_linestatus") == "F", " Domestic guest nights").otherwise(
+            "International guest nights "
+        )
+        flag = (
+            F.when(_discount() == SUPPRESSED_DISCOUNT, " c ")
+            .when(_discount() == Decimal("0.09"), "C")
+            .when(_discount() == Decimal("0.08"), "")
+        )
+        rows = self._items.join(self._nations, "nation").select(
+            "l_linenumber",
+            "r_name",
+            _day_text(F.col("day"), F.col("l_returnflag")).alias("Month"),
+            area.alias("area_text"),
+            F.concat(F.lit("Property "), _text("l_linenumber")).alias("property_text"),
+            measure.alias("measure_text"),
+            _text("l_quantity").alias("Value"),
+            flag.alias("Flag"),
+        )
 
-def spend(spark: SparkSession, sf_dir: str) -> DataFrame:
-    labelled = (
-        _nations(spark, sf_dir).where(F.col("label").isNotNull()).select("nation", "code")
-    )
-    return (
-        _located_items(spark, sf_dir)
-        .join(labelled, "nation")
-        .where(_in_window(_item_month()))
-        .select(
-            F.col("code").alias("RTO_Code"),
-            _item_month().alias("Month"),
-            F.concat(F.lit("Product "), F.col("l_linenumber").cast("string")).alias("Product"),
-            recode("l_linestatus", STATUS_TYPES).alias("Visitor_type"),
-            F.concat(F.lit("Market "), "l_returnflag").alias("Origin"),
-            F.col("l_extendedprice").cast(_MONEY).cast("double").alias("Annual_Spend_Million"),
-            _amount().cast("double").alias("Monthly_Spend_Million"),
+        def row(
+            level: str = " RTO",
+            area: Column = F.col("area_text"),
+            prop: Column = F.col("property_text"),
+            measure: Column = F.col("measure_text"),
+        ) -> Column:
+            return F.struct(
+                "Month",
+                F.lit(level).alias("Area type"),
+                area.alias("Area"),
+                prop.alias("Property"),
+                measure.alias("Measure"),
+                "Value",
+                "Flag",
+            )
+
+        extra = [
+            row("RTO ", prop=F.lit(" Total")),
+            row("RTO", area=F.lit("Total New Zealand ")),
+            row("Regional Council", area=F.col("r_name")),
+            row("RTO", measure=F.lit("Total guest nights")),
+        ]
+        return _emit(rows, row(), extra)
+
+    @cached_property
+    def raw_visitors(self) -> DataFrame:
+        """Customer counts as visitor text, with regional rows and an all-visitors row."""
+        domestic = F.col("Visitor_type") == DOMESTIC
+        rows = self._customer_months.join(self._nations, "nation").select(
+            "r_name",
+            F.concat(F.lit(" RTO"), F.lpad(_text("code"), 2, "0"), F.lit(" ")).alias("code_text"),
+            F.concat("name", F.lit(" RTO")).alias("area_text"),
+            F.when(domestic, " Domestic visitor")
+            .otherwise("Total international visitor ")
+            .alias("segment_text"),
+            _day_text(F.col("Month"), F.when(domestic, "R").otherwise("N")).alias("Date"),
+            _text("Visitor_count").alias("Monthly_unique_counts"),
         )
-    )
 
+        def row(level: str, code: Column, name: Column, segment: Column) -> Column:
+            return F.struct(
+                code.alias("Destination_code"),
+                name.alias("Destination"),
+                segment.alias("Population_segment"),
+                "Date",
+                "Monthly_unique_counts",
+                F.lit(level).alias("Geographic_level_destination"),
+            )
+
+        code, name, segment = F.col("code_text"), F.col("area_text"), F.col("segment_text")
+        region = row("Region", F.concat(F.lit("REG"), "r_name"), F.col("r_name"), segment)
+        total = row("RTO", code, name, F.lit("All visitors"))
+        return rows.select(F.inline(F.array(row(" RTO", code, name, segment), region, total)))
+
+    # --- typed sources and star -----------------------------------------------
+
+    @cached_property
+    def mapping(self) -> DataFrame:
+        return clean_mapping(self.raw_mapping)
+
+    @cached_property
+    def locations(self) -> DataFrame:
+        return location_dim(self.mapping, BANDS)
+
+    @cached_property
+    def types(self) -> DataFrame:
+        return enum_dim(self.spark)
+
+    @cached_property
+    def spend(self) -> DataFrame:
+        labelled = self._nations.where(F.col("label").isNotNull()).select("nation", "code")
+        month = _month(F.col("day"))
+        return (
+            self._items.where(_in_window(month))
+            .join(labelled, "nation")
+            .select(
+                F.col("code").alias("RTO_Code"),
+                month.alias("Month"),
+                F.concat(F.lit("Product "), _text("l_linenumber")).alias("Product"),
+                recode("l_linestatus", STATUS_TYPES).alias("Visitor_type"),
+                F.concat(F.lit("Market "), "l_returnflag").alias("Origin"),
+                F.col("l_extendedprice").cast(_MONEY).cast("double").alias("Annual_Spend_Million"),
+                _amount().cast("double").alias("Monthly_Spend_Million"),
+            )
+        )
 
-def nights(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return (
-        _located_items(spark, sf_dir)
-        .where(_in_window(_item_month()) & (_discount() != SUPPRESSED_DISCOUNT))
-        .select(
+    @cached_property
+    def nights(self) -> DataFrame:
+        month = _month(F.col("day"))
+        return self._items.where(_in_window(month) & (_discount() != SUPPRESSED_DISCOUNT)).select(
             (F.col("nation") + 1).alias("RTO_Code"),
-            _item_month().alias("Month"),
-            F.concat(F.lit("Property "), F.col("l_linenumber").cast("string")).alias("Property"),
+            month.alias("Month"),
+            F.concat(F.lit("Property "), _text("l_linenumber")).alias("Property"),
             recode("l_linestatus", STATUS_TYPES).alias("Visitor_type"),
             F.col("l_quantity").cast("bigint").alias("Total_stay_nights"),
         )
-    )
 
+    @cached_property
+    def visitors(self) -> DataFrame:
+        return self._customer_months.select(
+            (F.col("nation") + 1).alias("RTO_Code"), "Visitor_type", "Month", "Visitor_count"
+        )
 
-def visitors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _customer_months(spark, sf_dir).select(
-        (F.col("nation") + 1).alias("RTO_Code"), "Visitor_type", "Month", "Visitor_count"
-    )
+    @cached_property
+    def fact(self) -> DataFrame:
+        return conform_fact(self.spend, self.nights, self.visitors, self.locations, self.types)
 
 
-def fact(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return conform_fact(
-        spend(spark, sf_dir),
-        nights(spark, sf_dir),
-        visitors(spark, sf_dir),
-        locations(spark, sf_dir),
-        types(spark),
-    )
+def _emit(rows: DataFrame, plain: Column, extra: list[Column]) -> DataFrame:
+    """One text row per line item, and the total rows with the first line of an order."""
+    emitted = F.when(F.col("l_linenumber") == 1, F.array(plain, *extra)).otherwise(F.array(plain))
+    return rows.select(F.inline(emitted))

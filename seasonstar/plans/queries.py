@@ -12,11 +12,21 @@ from seasonstar.functions import text
 from seasonstar.operators import analytics, clean, dims, quality
 from seasonstar.operators import fact as facts
 from seasonstar.plans import demo
+from seasonstar.plans.demo import Demo
 from seasonstar.sources.layouts import DOMESTIC, INTERNATIONAL
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def _on_tables(query: Callable[[Demo], DataFrame]) -> Query:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return query(Demo(spark, sf_dir))
+
+    run.__name__ = query.__name__
+    run.__doc__ = query.__doc__
+    return run
+
+
 def _with_source(name: str, frame: DataFrame) -> DataFrame:
     return frame.select(F.lit(name).alias("Source"), "*")
 
@@ -28,9 +38,9 @@ def _union(frames: list[DataFrame]) -> DataFrame:
 # --- text functions over whole texts --------------------------------------------
 
 
-def text_parts(spark: SparkSession, sf: str) -> DataFrame:
+def text_parts(d: Demo) -> DataFrame:
     body = F.col("text")
-    return demo.read(spark, sf, "documents").select(
+    return d.table("documents").select(
         "doc_id",
         text.last_chars(text.trimmed(body), 2).alias("last_two"),
         text.strip_suffix(body, ".").alias("no_stop"),
@@ -43,7 +53,7 @@ def text_parts(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-def lenient_numbers(spark: SparkSession, sf: str) -> DataFrame:
+def lenient_numbers(d: Demo) -> DataFrame:
     """Numbers read back from several text forms of account balances."""
     plain = F.col("c_acctbal").cast("decimal(12,2)").cast("string")
     forms = {
@@ -59,10 +69,10 @@ def lenient_numbers(spark: SparkSession, sf: str) -> DataFrame:
     for name, form in forms.items():
         columns.append(text.lenient_int(form).alias(f"int_{name}"))
         columns.append(text.lenient_real(form).alias(f"real_{name}"))
-    return demo.read(spark, sf, "customer").select("c_custkey", *columns)
+    return d.table("customer").select("c_custkey", *columns)
 
 
-def month_starts(spark: SparkSession, sf: str) -> DataFrame:
+def month_starts(d: Demo) -> DataFrame:
     """Order months read back from one text form per order priority."""
     day = F.col("o_orderdate").cast("date")
     number, month, year = F.dayofmonth(day), F.month(day), F.year(day)
@@ -74,7 +84,7 @@ def month_starts(spark: SparkSession, sf: str) -> DataFrame:
         .when(priority == "4", F.concat(F.lit(" "), day.cast("string")))
         .otherwise(F.format_string("%d%02d", year, month))
     )
-    return demo.read(spark, sf, "orders").select(
+    return d.table("orders").select(
         "o_orderkey", text.month_start(form).alias("order_month")
     )
 
@@ -82,61 +92,61 @@ def month_starts(spark: SparkSession, sf: str) -> DataFrame:
 # --- cleaning ---------------------------------------------------------------------
 
 
-def clean_mapping(spark: SparkSession, sf: str) -> DataFrame:
-    return demo.mapping(spark, sf)
+def clean_mapping(d: Demo) -> DataFrame:
+    return d.mapping
 
 
-def clean_visitors(spark: SparkSession, sf: str) -> DataFrame:
-    return clean.clean_visitors(demo.raw_visitors(spark, sf))
+def clean_visitors(d: Demo) -> DataFrame:
+    return clean.clean_visitors(d.raw_visitors)
 
 
-def clean_nights(spark: SparkSession, sf: str) -> DataFrame:
+def clean_nights(d: Demo) -> DataFrame:
     return clean.clean_nights(
-        demo.raw_nights(spark, sf), demo.mapping(spark, sf), demo.NIGHTS_LAYOUT, demo.WINDOW
+        d.raw_nights, d.mapping, demo.NIGHTS_LAYOUT, demo.WINDOW
     )
 
 
-def clean_spend(spark: SparkSession, sf: str) -> DataFrame:
+def clean_spend(d: Demo) -> DataFrame:
     return clean.clean_spend(
-        demo.raw_spend(spark, sf), demo.mapping(spark, sf), demo.SPEND_LAYOUT, demo.WINDOW
+        d.raw_spend, d.mapping, demo.SPEND_LAYOUT, demo.WINDOW
     )
 
 
-def _standardised(spark: SparkSession, sf: str):
+def _standardised(d: Demo):
     """Source → (standardised rows, area keys, load window)."""
-    mapping = demo.mapping(spark, sf)
+    mapping = d.mapping
     codes = mapping.select(F.col("RTO_Code").alias("AreaKey"), "RTO_Code")
     return {
         "nights": (
-            clean.standardise_nights(demo.raw_nights(spark, sf), demo.NIGHTS_LAYOUT),
+            clean.standardise_nights(d.raw_nights, demo.NIGHTS_LAYOUT),
             clean.area_keys(mapping, clean.MAPPING.name),
             demo.WINDOW,
         ),
         "spend": (
-            clean.standardise_spend(demo.raw_spend(spark, sf), demo.SPEND_LAYOUT),
+            clean.standardise_spend(d.raw_spend, demo.SPEND_LAYOUT),
             clean.area_keys(mapping, clean.MAPPING.label_ascii),
             demo.WINDOW,
         ),
-        "visitors": (clean.standardise_visitors(demo.raw_visitors(spark, sf)), codes, None),
+        "visitors": (clean.standardise_visitors(d.raw_visitors), codes, None),
     }
 
 
-def unmatched_keys(spark: SparkSession, sf: str) -> DataFrame:
+def unmatched_keys(d: Demo) -> DataFrame:
     return _union(
         [
             _with_source(
                 name, clean.unmatched_keys(rows, keys).withColumn("AreaKey", F.col("AreaKey").cast("string"))
             )
-            for name, (rows, keys, _) in _standardised(spark, sf).items()
+            for name, (rows, keys, _) in _standardised(d).items()
         ]
     )
 
 
-def reconcile_rows(spark: SparkSession, sf: str) -> DataFrame:
+def reconcile_rows(d: Demo) -> DataFrame:
     return _union(
         [
             _with_source(name, clean.reconcile_rows(rows, keys, window))
-            for name, (rows, keys, window) in _standardised(spark, sf).items()
+            for name, (rows, keys, window) in _standardised(d).items()
         ]
     )
 
@@ -144,83 +154,83 @@ def reconcile_rows(spark: SparkSession, sf: str) -> DataFrame:
 # --- star ---------------------------------------------------------------------------
 
 
-def month_dim(spark: SparkSession, sf: str) -> DataFrame:
-    return dims.month_dim(demo.spend(spark, sf), demo.nights(spark, sf), demo.visitors(spark, sf))
+def month_dim(d: Demo) -> DataFrame:
+    return dims.month_dim(d.spend, d.nights, d.visitors)
 
 
-def location_dim(spark: SparkSession, sf: str) -> DataFrame:
-    return demo.locations(spark, sf)
+def location_dim(d: Demo) -> DataFrame:
+    return d.locations
 
 
-def visitor_type_dim(spark: SparkSession, sf: str) -> DataFrame:
+def visitor_type_dim(d: Demo) -> DataFrame:
     """The enumeration with the number of fact rows that use each entry."""
-    used = demo.fact(spark, sf).groupBy("VisitorTypeKey").agg(F.count(F.lit(1)).alias("FactRows"))
-    return demo.types(spark).join(used, "VisitorTypeKey", "left")
+    used = d.fact.groupBy("VisitorTypeKey").agg(F.count(F.lit(1)).alias("FactRows"))
+    return d.types.join(used, "VisitorTypeKey", "left")
 
 
-def conform_fact(spark: SparkSession, sf: str) -> DataFrame:
-    return demo.fact(spark, sf)
+def conform_fact(d: Demo) -> DataFrame:
+    return d.fact
 
 
-def conform_fact_join_form(spark: SparkSession, sf: str) -> DataFrame:
+def conform_fact_join_form(d: Demo) -> DataFrame:
     return facts.conform_fact_join_form(
-        demo.spend(spark, sf),
-        demo.nights(spark, sf),
-        demo.visitors(spark, sf),
-        demo.locations(spark, sf),
-        demo.types(spark),
+        d.spend,
+        d.nights,
+        d.visitors,
+        d.locations,
+        d.types,
     )
 
 
-def spend_detail(spark: SparkSession, sf: str) -> DataFrame:
+def spend_detail(d: Demo) -> DataFrame:
     return facts.build_spend_detail(
-        demo.spend(spark, sf), demo.locations(spark, sf), demo.types(spark)
+        d.spend, d.locations, d.types
     )
 
 
 # --- quality ------------------------------------------------------------------------
 
 
-def fact_sample(spark: SparkSession, sf: str) -> DataFrame:
-    return quality.fact_sample(demo.fact(spark, sf), demo.locations(spark, sf), demo.types(spark))
+def fact_sample(d: Demo) -> DataFrame:
+    return quality.fact_sample(d.fact, d.locations, d.types)
 
 
-def missing_measures(spark: SparkSession, sf: str) -> DataFrame:
-    return quality.missing_measures(demo.fact(spark, sf))
+def missing_measures(d: Demo) -> DataFrame:
+    return quality.missing_measures(d.fact)
 
 
-def coverage_by_area(spark: SparkSession, sf: str) -> DataFrame:
-    return quality.coverage_by_area(demo.fact(spark, sf), demo.locations(spark, sf))
+def coverage_by_area(d: Demo) -> DataFrame:
+    return quality.coverage_by_area(d.fact, d.locations)
 
 
-def areas_represented(spark: SparkSession, sf: str) -> DataFrame:
-    return quality.areas_represented(demo.fact(spark, sf), demo.locations(spark, sf))
+def areas_represented(d: Demo) -> DataFrame:
+    return quality.areas_represented(d.fact, d.locations)
 
 
-def _sources(spark: SparkSession, sf: str) -> dict[str, DataFrame]:
+def _sources(d: Demo) -> dict[str, DataFrame]:
     return {
-        "SpendData": demo.spend(spark, sf),
-        "GuestNightData": demo.nights(spark, sf),
-        "VisitorCountData": demo.visitors(spark, sf),
+        "SpendData": d.spend,
+        "GuestNightData": d.nights,
+        "VisitorCountData": d.visitors,
     }
 
 
-def month_completeness(spark: SparkSession, sf: str) -> DataFrame:
-    return quality.month_completeness(_sources(spark, sf))
+def month_completeness(d: Demo) -> DataFrame:
+    return quality.month_completeness(_sources(d))
 
 
-def coverage_gaps(spark: SparkSession, sf: str) -> DataFrame:
-    return quality.coverage_gaps("SpendData", _sources(spark, sf), demo.locations(spark, sf))
+def coverage_gaps(d: Demo) -> DataFrame:
+    return quality.coverage_gaps("SpendData", _sources(d), d.locations)
 
 
-def duplicate_grain(spark: SparkSession, sf: str) -> DataFrame:
-    return quality.duplicates(demo.read(spark, sf, "lineitem"), ["l_orderkey", "l_linenumber"])
+def duplicate_grain(d: Demo) -> DataFrame:
+    return quality.duplicates(d.table("lineitem"), ["l_orderkey", "l_linenumber"])
 
 
-def orphan_keys(spark: SparkSession, sf: str) -> DataFrame:
+def orphan_keys(d: Demo) -> DataFrame:
     """Foreign keys of the sales tables, and orders that no line item refers to."""
     table = {
-        name: demo.read(spark, sf, name)
+        name: d.table(name)
         for name in ("customer", "orders", "lineitem", "part", "supplier", "labels", "documents")
     }
     relations = (
@@ -245,16 +255,16 @@ def orphan_keys(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-def rule_violations(spark: SparkSession, sf: str) -> DataFrame:
+def rule_violations(d: Demo) -> DataFrame:
     """Load rules on everything the sources hold before filtering, and a balance rule."""
-    rows = _standardised(spark, sf)
+    rows = _standardised(d)
     code = F.col("AreaKey").alias("RTO_Code")
     checked = {
         "nights": (rows["nights"][0].select(code, "*"), quality.nights_rules()),
         "spend": (rows["spend"][0].select(code, "*"), quality.spend_rules()),
         "visitors": (rows["visitors"][0].select(code, "*"), quality.visitor_rules()),
         "customer": (
-            demo.read(spark, sf, "customer"),
+            d.table("customer"),
             [quality.not_null("c_custkey"), quality.in_range("c_acctbal", 0)],
         ),
     }
@@ -266,66 +276,66 @@ def rule_violations(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-def quarantined_rows(spark: SparkSession, sf: str) -> DataFrame:
+def quarantined_rows(d: Demo) -> DataFrame:
     """Customers that fail a rule, with the names of the failed rules."""
     rules = [
         quality.in_range("c_acctbal", 0),
         quality.in_domain("c_mktsegment", ("BUILDING", "HOUSEHOLD", "AUTOMOBILE", "MACHINERY")),
     ]
-    _, failed = quality.quarantine(demo.read(spark, sf, "customer"), rules)
+    _, failed = quality.quarantine(d.table("customer"), rules)
     return failed.select("c_custkey", F.concat_ws("; ", "FailedRules").alias("FailedRules"))
 
 
 # --- analytics ----------------------------------------------------------------------
 
 
-def _profile(spark: SparkSession, sf: str) -> DataFrame:
+def _profile(d: Demo) -> DataFrame:
     return analytics.seasonality_profile(
-        demo.fact(spark, sf), demo.locations(spark, sf), years=demo.YEARS
+        d.fact, d.locations, years=demo.YEARS
     )
 
 
-def seasonality_index(spark: SparkSession, sf: str) -> DataFrame:
+def seasonality_index(d: Demo) -> DataFrame:
     return analytics.seasonality_index(
-        demo.fact(spark, sf), demo.locations(spark, sf), years=demo.YEARS
+        d.fact, d.locations, years=demo.YEARS
     )
 
 
-def seasonality_summary(spark: SparkSession, sf: str) -> DataFrame:
-    return analytics.seasonality_summary(_profile(spark, sf))
+def seasonality_summary(d: Demo) -> DataFrame:
+    return analytics.seasonality_summary(_profile(d))
 
 
-def top_seasonal_areas(spark: SparkSession, sf: str) -> DataFrame:
-    return analytics.top_seasonal_areas(analytics.seasonality_summary(_profile(spark, sf)))
+def top_seasonal_areas(d: Demo) -> DataFrame:
+    return analytics.top_seasonal_areas(analytics.seasonality_summary(_profile(d)))
 
 
-def counter_demand(spark: SparkSession, sf: str) -> DataFrame:
+def counter_demand(d: Demo) -> DataFrame:
     return analytics.counter_demand(
-        demo.fact(spark, sf), demo.locations(spark, sf), demo.types(spark), years=demo.YEARS
+        d.fact, d.locations, d.types, years=demo.YEARS
     )
 
 
-def counter_demand_summary(spark: SparkSession, sf: str) -> DataFrame:
+def counter_demand_summary(d: Demo) -> DataFrame:
     return analytics.counter_demand_summary(
         analytics.counter_demand_changes(
-            demo.fact(spark, sf), demo.locations(spark, sf), demo.types(spark), years=demo.YEARS
+            d.fact, d.locations, d.types, years=demo.YEARS
         )
     )
 
 
-def exposure_score(spark: SparkSession, sf: str) -> DataFrame:
+def exposure_score(d: Demo) -> DataFrame:
     return analytics.exposure_score(
-        demo.fact(spark, sf), demo.locations(spark, sf), demo.types(spark), years=demo.YEARS
+        d.fact, d.locations, d.types, years=demo.YEARS
     )
 
 
-def top_exposed_areas(spark: SparkSession, sf: str) -> DataFrame:
-    return analytics.top_exposed_areas(exposure_score(spark, sf))
+def top_exposed_areas(d: Demo) -> DataFrame:
+    return analytics.top_exposed_areas(exposure_score(d))
 
 
-def index_to_own_mean(spark: SparkSession, sf: str) -> DataFrame:
+def index_to_own_mean(d: Demo) -> DataFrame:
     """International visitors and domestic spending, each against its own average month."""
-    fact, areas, types = demo.fact(spark, sf), demo.locations(spark, sf), demo.types(spark)
+    fact, areas, types = d.fact, d.locations, d.types
     return _union(
         [
             analytics.measure_index(fact, areas, types, measure, kind, years=demo.YEARS)
@@ -335,7 +345,7 @@ def index_to_own_mean(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
-    query.__name__: query
+    query.__name__: _on_tables(query)
     for query in (
         text_parts,
         lenient_numbers,
