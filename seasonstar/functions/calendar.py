@@ -52,7 +52,9 @@ def key_month(key: Column) -> Column:
 
 
 def month_name(number: Column) -> Column:
-    return F.element_at(F.array(*[F.lit(name) for name in MONTH_NAMES]), number)
+    names = F.array(*[F.lit(name) for name in MONTH_NAMES])
+    # Under ANSI, element_at counts as never NULL even when the position is NULL.
+    return F.when(number.isNotNull(), F.element_at(names, number))
 
 
 def quarter_label(month: Column) -> Column:

@@ -328,24 +328,35 @@ def measure_index(
     fact: DataFrame,
     locations: DataFrame,
     types: DataFrame,
-    measure: str,
-    visitor_type: str,
+    series: Sequence[tuple[str, str]],
     zones: Sequence[str] = ZONES,
     years: Sequence[int] = YEARS,
 ) -> DataFrame:
-    """Monthly series of one measure and type per area, indexed to the area's own mean month."""
+    """Monthly series per area, each indexed to its own mean month.
+
+    ``series`` lists (measure, visitor type) pairs; all come from one pass.
+    """
+    measures = list(dict.fromkeys(measure for measure, _ in series))
     cells = _analysis_cells(
-        fact, years, "LocationKey", "DateKey", "VisitorTypeKey", measure
-    ).where(F.col(measure).isNotNull())
-    one_type = types.where(F.col("VisitorType") == visitor_type)
-    cells = cells.join(one_type, "VisitorTypeKey")
-    indexed = index_to_own_mean(cells, ["LocationKey"], measure)
+        fact, years, "LocationKey", "DateKey", "VisitorTypeKey", *measures
+    ).join(types, "VisitorTypeKey")
+    entries = [
+        F.struct(
+            F.lit(measure).alias("Measure"),
+            F.when(F.col("VisitorType") == kind, F.col(measure).cast("double")).alias("Value"),
+        )
+        for measure, kind in series
+    ]
+    rows = cells.select(
+        "LocationKey", "DateKey", "VisitorType", F.inline(F.array(*entries))
+    ).where(F.col("Value").isNotNull())
+    indexed = index_to_own_mean(rows, ["LocationKey", "Measure", "VisitorType"], "Value")
     return indexed.join(_areas(locations, zones), "LocationKey").select(
         "RTOName",
         "Island",
         "VisitorType",
         "DateKey",
-        F.lit(measure).alias("Measure"),
-        F.col(measure).cast("double").alias("Value"),
+        "Measure",
+        "Value",
         round_half_up(F.col("IndexToMean"), 1).alias("IndexToMean"),
     )

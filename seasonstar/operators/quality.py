@@ -78,20 +78,21 @@ def areas_represented(fact: DataFrame, locations: DataFrame) -> DataFrame:
 
 
 def _observed(sources: Mapping[str, DataFrame], *columns: str) -> DataFrame:
+    """Distinct months per source (and ``columns``); each task hashes its rows down first."""
     frames = [
         frame.where(F.col("Month").isNotNull()).select(
             *columns, "Month", F.lit(name).alias("Source")
         )
         for name, frame in sources.items()
     ]
-    return reduce(DataFrame.unionByName, frames)
+    return reduce(DataFrame.unionByName, frames).distinct()
 
 
 def month_completeness(sources: Mapping[str, DataFrame]) -> DataFrame:
     """Available/Missing per source for every month between the first and last observed one.
 
-    One pass: each task keeps the set of months it has seen per source, which
-    is bounded by the calendar, and the calendar is expanded from one row.
+    One pass over the sources; the months seen per source, bounded by the
+    calendar, meet in one row from which the calendar is expanded.
     """
     rows = _observed(sources)
     seen = [

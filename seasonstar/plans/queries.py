@@ -335,13 +335,8 @@ def top_exposed_areas(d: Demo) -> DataFrame:
 
 def index_to_own_mean(d: Demo) -> DataFrame:
     """International visitors and domestic spending, each against its own average month."""
-    fact, areas, types = d.fact, d.locations, d.types
-    return _union(
-        [
-            analytics.measure_index(fact, areas, types, measure, kind, years=demo.YEARS)
-            for measure, kind in (("VisitorCount", INTERNATIONAL), ("SpendMillion", DOMESTIC))
-        ]
-    )
+    series = (("VisitorCount", INTERNATIONAL), ("SpendMillion", DOMESTIC))
+    return analytics.measure_index(d.fact, d.locations, d.types, series, years=demo.YEARS)
 
 
 QUERIES: dict[str, Query] = {
