@@ -44,17 +44,10 @@ def index_to_own_mean(
 
     A series must be bounded (a calendar); a zero mean gives NULL.
     """
-    mean = exact_avg_over(F.col(value), keys)
+    mean = exact_avg(F.col(value), Window.partitionBy(*keys))
     return rows.withColumn(alias, percent_of(F.col(value), mean))
 
 
-def exact_avg_over(value: Column, keys: Sequence[str]) -> Column:
-    """Whole-partition average that does not depend on row order."""
-    window = Window.partitionBy(*keys)
-    total = F.sum(value.cast("decimal(28,10)")).over(window).cast("double")
-    return F.try_divide(total, F.count(value).over(window))
-
-
 def seasonality_profile(
     fact: DataFrame,
     locations: DataFrame,
@@ -181,7 +174,7 @@ def demand_periods(
         )
         .where(F.col("Driver").isNotNull())
     )
-    mean = exact_avg_over(F.col("Driver"), ["LocationKey"])
+    mean = exact_avg(F.col("Driver"), Window.partitionBy("LocationKey"))
     return months.withColumn("Low", F.col("Driver") < mean).where("HasResponse")
 
 

@@ -54,10 +54,7 @@ SEGMENT_TYPES = {
     "MACHINERY": INTERNATIONAL,
     "FURNITURE": INTERNATIONAL,
 }
-SUPPRESSED_DISCOUNT = Decimal("0.10")
-
-_MONEY = "decimal(12,2)"
-_RATE = "decimal(4,2)"
+SUPPRESSED_DISCOUNT = 10
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -68,14 +65,15 @@ def _text(column: str) -> Column:
     return F.col(column).cast("string")
 
 
-def _discount() -> Column:
-    return F.col("l_discount").cast(_RATE)
+def _cents(column: str) -> Column:
+    """A two-decimal number in hundredths, as an integer."""
+    return F.rint(F.col(column) * 100).cast("bigint")
 
 
 def _amount() -> Column:
-    """Discounted price in millions; not reported for the largest quantity."""
-    price = F.col("l_extendedprice").cast(_MONEY) * (F.lit(1) - _discount())
-    return F.when(F.col("l_quantity") < 50, price * F.lit(Decimal("0.000001")))
+    """Discounted price in ten-thousandths; not reported for the largest quantity."""
+    price = _cents("l_extendedprice") * (100 - _cents("l_discount"))
+    return F.when(F.col("l_quantity") < 50, price)
 
 
 def _month(day: Column) -> Column:
@@ -193,6 +191,7 @@ class Demo:
         """Line items as spending text; first lines also carry a row for both visitor types."""
         kind = F.when(F.col("l_linestatus") == "F", "New Zealand").otherwise(" International ")
         area = F.coalesce("label", F.concat(F.lit("non-RTO - "), "name"))
+        millions = _amount().cast("decimal(18,0)") * F.lit(Decimal("0.0000000001"))
         rows = self._items.join(self._nations, "nation").select(
             "l_linenumber",
             _day_text(F.col("day"), F.col("l_returnflag")).alias("Date"),
@@ -200,8 +199,8 @@ class Demo:
             F.concat(F.lit("Product "), _text("l_linenumber")).alias("Product"),
             kind.alias("kind"),
             F.concat(F.lit(" Market "), "l_returnflag").alias("Origin"),
-            F.col("l_extendedprice").cast(_MONEY).cast("string").alias("Annual Spend"),
-            F.concat(F.lit(" "), _amount().cast("string")).alias("Monthly Spend"),
+            F.col("l_extendedprice").cast("decimal(12,2)").cast("string").alias("Annual Spend"),
+            F.concat(F.lit(" "), millions.cast("string")).alias("Monthly Spend"),
         )
 
         def row(kind: Column) -> Column:
@@ -229,9 +228,9 @@ class Demo:
             "International guest nights "
         )
         flag = (
-            F.when(_discount() == SUPPRESSED_DISCOUNT, " c ")
-            .when(_discount() == Decimal("0.09"), "C")
-            .when(_discount() == Decimal("0.08"), "")
+            F.when(_cents("l_discount") == SUPPRESSED_DISCOUNT, " c ")
+            .when(_cents("l_discount") == 9, "C")
+            .when(_cents("l_discount") == 8, "")
         )
         rows = self._items.join(self._nations, "nation").select(
             "l_linenumber",
@@ -325,15 +324,15 @@ class Demo:
                 F.concat(F.lit("Product "), _text("l_linenumber")).alias("Product"),
                 recode("l_linestatus", STATUS_TYPES).alias("Visitor_type"),
                 F.concat(F.lit("Market "), "l_returnflag").alias("Origin"),
-                F.col("l_extendedprice").cast(_MONEY).cast("double").alias("Annual_Spend_Million"),
-                _amount().cast("double").alias("Monthly_Spend_Million"),
+                F.col("l_extendedprice").alias("Annual_Spend_Million"),
+                (_amount() / 1e10).alias("Monthly_Spend_Million"),
             )
         )
 
     @cached_property
     def nights(self) -> DataFrame:
         month = _month(F.col("day"))
-        return self._items.where(_in_window(month) & (_discount() != SUPPRESSED_DISCOUNT)).select(
+        return self._items.where(_in_window(month) & (_cents("l_discount") != SUPPRESSED_DISCOUNT)).select(
             (F.col("nation") + 1).alias("RTO_Code"),
             month.alias("Month"),
             F.concat(F.lit("Property "), _text("l_linenumber")).alias("Property"),

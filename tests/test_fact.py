@@ -236,3 +236,19 @@ def test_rules_and_quarantine(spark):
         ("Month present", "Visitor_type in domain"),
         ("Visitor_type present", "Total_stay_nights present"),
     }
+
+
+def test_exact_sum(spark):
+    from seasonstar.functions.numeric import exact_avg, exact_sum
+
+    def total(values):
+        frame = spark.createDataFrame([(v,) for v in values], "v double")
+        return tuple(frame.agg(exact_sum(F.col("v")), exact_avg(F.col("v"))).first())
+
+    assert total([0.1] * 10) == (1.0, 0.1)
+    assert total([0.00003, -0.00003, 2.675, None]) == (2.675, 2.675 / 3)
+    assert total([-1.5, -0.0000000001]) == (-1.5000000001, -1.5000000001 / 2)
+    assert total([None, None]) == (None, None)
+    assert total([]) == (None, None)
+    # Beyond BIGINT the plain sum takes over.
+    assert total([9e18, 9e18]) == (1.8e19, 9e18)
