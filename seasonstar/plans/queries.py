@@ -13,7 +13,8 @@ from seasonstar.operators import analytics, clean, dims, quality
 from seasonstar.operators import fact as facts
 from seasonstar.plans import demo
 from seasonstar.plans.demo import Demo
-from seasonstar.sources.layouts import DOMESTIC, INTERNATIONAL
+from seasonstar.sources.layouts import DOMESTIC, INTERNATIONAL, VisitorLayout
+from seasonstar.sources.tables import read_text_csv, rebuild_table, shared_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -100,6 +101,20 @@ def clean_visitors(d: Demo) -> DataFrame:
     return clean.clean_visitors(d.raw_visitors)
 
 
+def visitors_from_csv(d: Demo) -> DataFrame:
+    """The visitor source written as CSV text, read back, cleaned, and stored by year."""
+    folder = shared_folder(d.spark, "visitors")
+    d.raw_visitors.write.options(header=True, escape='"').csv(f"{folder}/raw")
+    layout = VisitorLayout()
+    rows = clean.clean_visitors(read_text_csv(d.spark, f"{folder}/raw", layout.columns), layout)
+    return rebuild_table(
+        rows.withColumn("Year", F.year("Month")),
+        f"{folder}/clean",
+        partition_by=["Year"],
+        sort_by=["RTO_Code", "Month"],
+    )
+
+
 def clean_nights(d: Demo) -> DataFrame:
     return clean.clean_nights(
         d.raw_nights, d.mapping, demo.NIGHTS_LAYOUT, demo.WINDOW
@@ -347,6 +362,7 @@ QUERIES: dict[str, Query] = {
         month_starts,
         clean_mapping,
         clean_visitors,
+        visitors_from_csv,
         clean_nights,
         clean_spend,
         unmatched_keys,

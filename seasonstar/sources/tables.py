@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -56,3 +58,17 @@ def rebuild_table(
         raise ValueError("refresh needs partition_by")
     writer.parquet(path)
     return frame.sparkSession.read.parquet(path)
+
+
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder for ``name`` on the storage all executors share.
+
+    The cluster names that storage in ``spark.checkpoint.dir``. Only a local
+    session without the setting gets a temporary folder of this machine.
+    """
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder all executors share")
+        base = tempfile.mkdtemp(prefix="seasonstar-")
+    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
