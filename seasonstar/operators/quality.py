@@ -77,26 +77,22 @@ def areas_represented(fact: DataFrame, locations: DataFrame) -> DataFrame:
     )
 
 
-def _observed(sources: Mapping[str, DataFrame], *columns: str) -> DataFrame:
-    """Distinct months per source (and ``columns``); each task hashes its rows down first."""
-    frames = [
-        frame.where(F.col("Month").isNotNull()).select(
-            *columns, "Month", F.lit(name).alias("Source")
-        )
-        for name, frame in sources.items()
-    ]
-    return reduce(DataFrame.unionByName, frames).distinct()
-
-
 def month_completeness(sources: Mapping[str, DataFrame]) -> DataFrame:
     """Available/Missing per source for every month between the first and last observed one.
 
     One pass over the sources; the months seen per source, bounded by the
     calendar, meet in one row from which the calendar is expanded.
     """
-    rows = _observed(sources)
+    rows = reduce(
+        DataFrame.unionByName,
+        [
+            frame.where(F.col("Month").isNotNull()).select("Month", F.lit(name).alias("Source"))
+            for name, frame in sources.items()
+        ],
+    ).distinct()
+    # Not collect_set: the planner would then drop the distinct and collect every source row.
     seen = [
-        F.collect_set(F.when(F.col("Source") == name, F.col("Month"))).alias(name)
+        F.collect_list(F.when(F.col("Source") == name, F.col("Month"))).alias(name)
         for name in sources
     ]
     summary = rows.agg(F.min("Month").alias("low"), F.max("Month").alias("high"), *seen)
@@ -121,40 +117,37 @@ def month_completeness(sources: Mapping[str, DataFrame]) -> DataFrame:
 
 
 def coverage_gaps(
-    target: str,
-    sources: Mapping[str, DataFrame],
+    source: DataFrame,
+    months: DataFrame,
     locations: DataFrame,
     zones: Sequence[str] = ZONES,
 ) -> DataFrame:
-    """Area × month combinations of the common calendar that the ``target`` source lacks.
+    """Area × month combinations of the calendar that the source lacks.
 
     The expected grid is never built: per area the months seen (bounded by the
     calendar) are taken off the full month sequence, and only gaps are emitted.
-    Areas the sources never mention miss every month.
+    Areas the source never mentions miss every month.
     """
-    by_area = (
-        _observed(sources, "RTO_Code")
+    first = F.min("MonthStartDate").alias("first")
+    last = F.max("MonthStartDate").alias("last")
+    bounds = months.agg(F.struct(first, last).alias("bounds")).scalar()
+    expected = F.sequence(bounds["first"], bounds["last"], F.expr("interval 1 month"))
+    # Not collect_set: the planner would then drop the distinct and collect every source row.
+    seen = (
+        source.where(F.col("RTO_Code").isNotNull() & F.col("Month").isNotNull())
+        .select("RTO_Code", "Month")
+        .distinct()
         .groupBy("RTO_Code")
-        .agg(F.collect_set(F.struct("Source", "Month")).alias("seen"))
-    )
-    months = F.transform(F.col("seen"), lambda item: item["Month"])
-    bounds = by_area.agg(
-        F.struct(
-            F.min(F.array_min(months)).alias("low"), F.max(F.array_max(months)).alias("high")
-        ).alias("bounds")
-    ).scalar()
-    present = F.transform(
-        F.filter(F.col("seen"), lambda item: item["Source"] == target), lambda item: item["Month"]
+        .agg(F.collect_list("Month").alias("seen"))
     )
-    expected = F.sequence(bounds["low"], bounds["high"], F.expr("interval 1 month"))
     areas = locations.where(F.col("Island").isin(*zones)).select(
         F.col("RTOCode").alias("RTO_Code"), "RTOName", "Island"
     )
     missing = F.array_except(
-        expected, F.coalesce(present, F.array().cast("array<date>"))
+        expected, F.coalesce(F.col("seen"), F.array().cast("array<date>"))
     )
     return (
-        areas.join(by_area, "RTO_Code", "left")
+        areas.join(seen, "RTO_Code", "left")
         .select("RTOName", "Island", F.explode(missing).alias("MonthStartDate"))
         .orderBy("RTOName", "MonthStartDate")
     )

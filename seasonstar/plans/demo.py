@@ -95,8 +95,11 @@ def _day_text(day: Column, form: Column) -> Column:
     )
 
 
-def _in_window(month: Column) -> Column:
-    return month.between(F.lit(WINDOW[0]), F.lit(WINDOW[1]))
+def _in_window(day: Column) -> Column:
+    """Day inside the months of the load window, without computing its month."""
+    low, high = WINDOW
+    after = dt.date(high.year + high.month // 12, high.month % 12 + 1, 1)
+    return (day >= F.lit(low)) & (day < F.lit(after))
 
 
 class Demo:
@@ -315,7 +318,7 @@ class Demo:
     @cached_property
     def spend(self) -> DataFrame:
         month = _month(F.col("day"))
-        return self._items.where(_in_window(month) & F.col("label").isNotNull()).select(
+        return self._items.where(_in_window(F.col("day")) & F.col("label").isNotNull()).select(
             F.col("code").alias("RTO_Code"),
             month.alias("Month"),
             F.concat(F.lit("Product "), _text("l_linenumber")).alias("Product"),
@@ -328,7 +331,7 @@ class Demo:
     @cached_property
     def nights(self) -> DataFrame:
         month = _month(F.col("day"))
-        return self._items.where(_in_window(month) & (_cents("l_discount") != SUPPRESSED_DISCOUNT)).select(
+        return self._items.where(_in_window(F.col("day")) & (_cents("l_discount") != SUPPRESSED_DISCOUNT)).select(
             F.col("code").alias("RTO_Code"),
             month.alias("Month"),
             F.concat(F.lit("Property "), _text("l_linenumber")).alias("Property"),

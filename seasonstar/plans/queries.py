@@ -235,7 +235,8 @@ def month_completeness(d: Demo) -> DataFrame:
 
 
 def coverage_gaps(d: Demo) -> DataFrame:
-    return quality.coverage_gaps("SpendData", _sources(d), d.locations)
+    months = dims.month_dim(d.spend, d.nights, d.visitors)
+    return quality.coverage_gaps(d.spend, months, d.locations)
 
 
 def duplicate_grain(d: Demo) -> DataFrame:

@@ -241,7 +241,9 @@ class Warehouse:
             "coverage_by_area": quality.coverage_by_area(fact, locations),
             "areas_represented": quality.areas_represented(fact, locations),
             "month_completeness": quality.month_completeness(sources),
-            "coverage_gaps": quality.coverage_gaps("SpendData", sources, locations),
+            "coverage_gaps": quality.coverage_gaps(
+                sources["SpendData"], self.table("months"), locations
+            ),
         }
 
     def answers(self) -> dict[str, DataFrame]:

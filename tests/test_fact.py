@@ -187,7 +187,8 @@ def test_month_completeness_and_gaps(spark, sources):
         (month(2024, 3), "March", 2024, "Missing", "Missing", "Missing"),
         (month(2024, 4), "April", 2024, "Missing", "Available", "Missing"),
     ]
-    gaps = quality.coverage_gaps("SpendData", named, areas(spark, [1, 2, 30, 99]))
+    calendar = dims.month_dim(*sources)
+    gaps = quality.coverage_gaps(sources[0], calendar, areas(spark, [1, 2, 30, 99]))
     found = {}
     for row in gaps.collect():
         found.setdefault(row.RTOName, []).append(row.MonthStartDate.month)
