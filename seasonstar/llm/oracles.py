@@ -1,0 +1,30 @@
+"""DuckDB statements for the operators that SQL can express, from the given tables alone."""
+
+from __future__ import annotations
+
+#: Digest of conversations straight from their rows; the escapes only count for the length.
+CHAT = r"""
+WITH rows AS (
+    SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+    UNION ALL
+    SELECT -7, i, CASE i WHEN 0 THEN 'user' ELSE 'assistant' END, '</s>[INST] ok [/INST]'
+    FROM range(2) AS extra(i)
+),
+sized AS (
+    SELECT *, len(regexp_extract_all(role || chr(10) || text, '[<\[]\\*(?:/?s>|/?INST\])')) AS marks
+    FROM rows
+)
+SELECT conv_id,
+       count(*) AS n_turns,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text))
+           AS turns_sha256,
+       CAST(sum(CASE role WHEN 'assistant' THEN length(text) ELSE 0 END) AS BIGINT) AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text)
+                       FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+       CAST(sum(length('<s>[INST] ' || role || ' [/INST]' || text || '</s>') + marks) AS BIGINT)
+           AS formatted_chars
+FROM sized
+GROUP BY conv_id
+"""
+
+ORACLES: dict[str, str] = {"op4_chat_formatting": CHAT}
