@@ -9,8 +9,8 @@ import __spark_entry__ as entry_module
 from seasonstar.plans.demo import Demo
 
 SF_DIR = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
-QUERIES = entry_module.queries()
-ORACLES = entry_module.oracle_sql()
+QUERIES = entry_module.QUERIES
+ORACLES = entry_module.ORACLES
 
 
 @pytest.fixture(scope="module")
