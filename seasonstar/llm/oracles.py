@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from seasonstar.llm import cleaning
+
 #: Digest of conversations straight from their rows; the escapes only count for the length.
 CHAT = r"""
 WITH rows AS (
@@ -27,4 +29,69 @@ FROM sized
 GROUP BY conv_id
 """
 
-ORACLES: dict[str, str] = {"op4_chat_formatting": CHAT}
+#: Statistics by relational means: lines and windows become rows, windows are counted.
+CLEANING = f"""
+WITH texts AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+words AS (
+    SELECT doc_id, text, regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+') AS words FROM texts
+),
+windows AS (
+    SELECT doc_id, i, words[i:i + 2] AS three
+    FROM words, LATERAL unnest(range(1, len(words) - 1)) AS place(i)
+),
+twice AS (
+    SELECT doc_id, i FROM windows QUALIFY count(*) OVER (PARTITION BY doc_id, three) > 1
+),
+covered AS (
+    SELECT doc_id, count(DISTINCT i + step) AS n
+    FROM twice, unnest([0, 1, 2]) AS steps(step) GROUP BY doc_id
+),
+lines AS (
+    SELECT doc_id, line,
+           len(regexp_extract_all(line, '[^\\x20\\x09-\\x0D]+')) AS n,
+           length(regexp_replace(line, '[\\x20\\x09-\\x0D]', '', 'g')) AS chars
+    FROM texts, LATERAL unnest(string_split(text, chr(10))) AS parts(line)
+),
+judged AS (
+    SELECT *,
+           NOT regexp_matches(line, '{cleaning.HAS_LETTER}')
+           OR len(regexp_extract_all(line, '{cleaning.MARKS}')) * 100
+              > chars * {cleaning.MAX_MARKS}
+           OR (n < 4 AND NOT regexp_matches(line, '{cleaning.SENTENCE_END.replace("'", "''")}'))
+           OR (len(string_split_regex(line, '{cleaning.SEPARATOR}')) >= {cleaning.MENU_CELLS}
+               AND len(list_filter(string_split_regex(line, '{cleaning.SEPARATOR}'),
+                                   lambda c: length(c) > {cleaning.CELL_CHARS})) = 0)
+           OR (n <= {cleaning.LINK_WORDS} AND regexp_matches(line, '{cleaning.LINK}'))
+           OR (n <= {cleaning.NOTICE_WORDS} AND regexp_matches(line, '{cleaning.NOTICE}')) AS failed
+    FROM lines WHERE n > 0
+),
+per_text AS (
+    SELECT doc_id, count(*) - count(DISTINCT line) AS n_dup_lines, sum(chars) AS word_chars,
+           count(*) FILTER (WHERE failed) AS n_failed_lines,
+           coalesce(sum(chars) FILTER (WHERE failed), 0) AS lost_chars
+    FROM judged GROUP BY doc_id
+),
+counted AS (
+    SELECT doc_id,
+           CAST(len(words) AS BIGINT) AS n_words,
+           CAST(coalesce(word_chars, 0) AS BIGINT) AS word_chars,
+           CAST(len(regexp_extract_all(text, '{cleaning.SYMBOL}')) AS BIGINT) AS n_symbols,
+           CAST(coalesce(n_dup_lines, 0) AS BIGINT) AS n_dup_lines,
+           CAST(coalesce(n, 0) AS BIGINT) AS n_repeat_words,
+           CAST(coalesce(n_failed_lines, 0) AS BIGINT) AS n_failed_lines,
+           CAST(coalesce(lost_chars, 0) AS BIGINT) AS lost_chars
+    FROM words LEFT JOIN covered USING (doc_id) LEFT JOIN per_text USING (doc_id)
+)
+SELECT * EXCLUDE base_failed_, base_failed_ AS base_failed,
+       NOT base_failed_ AND lost_chars * 100 <= word_chars * {cleaning.MAX_LOST} AS kept
+FROM (
+    SELECT *, n_words < {cleaning.MIN_WORDS}
+              OR n_repeat_words * 100 > n_words * {cleaning.MAX_REPEAT} AS base_failed_
+    FROM counted
+)
+"""
+
+ORACLES: dict[str, str] = {
+    "op2_cleaning": CLEANING,
+    "op4_chat_formatting": CHAT,
+}
