@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Callable
 
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -31,3 +33,9 @@ def written(frame: DataFrame, name: str) -> DataFrame:
 
 def hex_sha256(text: Column) -> Column:
     return F.sha2(F.encode(text, "utf-8"), 256)
+
+
+def sent_by_value(name: str) -> None:
+    """Functions of module ``name`` travel to the executors whole, so the package need not be
+    installed there."""
+    cloudpickle.register_pickle_by_value(sys.modules[name])
