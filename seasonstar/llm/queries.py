@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from seasonstar.llm import bpe, chat, cleaning, language, mixing, secret_scan, sharding
+from seasonstar.llm import bpe, chat, cleaning, jaccard, language, mixing, secret_scan, sharding
 from seasonstar.llm.common import table
 from seasonstar.llm.oracles import ORACLES
 
@@ -22,6 +22,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_cleaning": _over("documents", cleaning.op2_cleaning),
     "op3_language_id": _over("documents", language.op3_language_id),
     "op4_chat_formatting": _over("conversations", chat.op4_chat_formatting),
+    "op5_jaccard": _over("documents", jaccard.op5_jaccard),
     "op6_bpe": _over("documents", bpe.op6_bpe),
     "op8_mixing": _over("documents", mixing.op8_mixing),
     "op10_secret_scan": _over("documents", secret_scan.op10_secret_scan),
