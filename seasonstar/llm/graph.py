@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from seasonstar.llm.common import written
+from seasonstar.llm.common import sent_by_value, written
+
+sent_by_value(__name__)
 
 
 def _hooked(pairs: DataFrame) -> DataFrame:
@@ -60,3 +63,19 @@ def _state(edges: DataFrame) -> tuple:
             F.count(F.lit(1)), F.bit_xor(mixed), F.sum(F.pmod(mixed, F.lit(1 << 31)))
         ).first()
     )
+
+
+def roots_of(count: int, pairs: np.ndarray) -> np.ndarray:
+    """The smallest place that each of ``count`` places is connected to by ``pairs``."""
+    root = np.arange(count)
+    while len(pairs):
+        low = np.minimum(root[pairs[:, 0]], root[pairs[:, 1]])
+        after = root.copy()
+        for side in (0, 1):
+            np.minimum.at(after, pairs[:, side], low)
+            np.minimum.at(after, root[pairs[:, side]], low)
+        after = after[after]
+        if (after == root).all():
+            break
+        root = after
+    return root

@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from seasonstar.llm.common import sent_by_value, written
-from seasonstar.llm.graph import components
+from seasonstar.llm.graph import components, roots_of
 
 sent_by_value(__name__)
 
@@ -261,22 +261,6 @@ def _common(one: list[np.ndarray], two: list[np.ndarray], pairs: np.ndarray) ->
     return total[pairs[:, 0], pairs[:, 1]].astype(np.int64)
 
 
-def _roots(count: int, pairs: np.ndarray) -> np.ndarray:
-    """The smallest place that each of ``count`` places is connected to by ``pairs``."""
-    root = np.arange(count)
-    while len(pairs):
-        low = np.minimum(root[pairs[:, 0]], root[pairs[:, 1]])
-        after = root.copy()
-        for side in (0, 1):
-            np.minimum.at(after, pairs[:, side], low)
-            np.minimum.at(after, root[pairs[:, side]], low)
-        after = after[after]
-        if (after == root).all():
-            break
-        root = after
-    return root
-
-
 def _verified(blocks: DataFrame, threshold: float, tolerance: float) -> DataFrame:
     """Links within each pair of blocks of a cluster.
 
@@ -317,7 +301,7 @@ def _verified(blocks: DataFrame, threshold: float, tolerance: float) -> DataFram
         linked = np.zeros(len(keys), dtype=np.int64)
         np.add.at(linked, pairs[:, 0], copies[pairs[:, 1]])
         np.add.at(linked, pairs[:, 1], copies[pairs[:, 0]])
-        root = _roots(len(keys), pairs)
+        root = roots_of(len(keys), pairs)
         used = np.flatnonzero(linked)
         return pa.table(
             {
