@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from seasonstar.llm import bpe, chat, cleaning, embeddings, jaccard, language, mixing, secret_scan, sharding
+from seasonstar.llm import bpe, chat, cleaning, embeddings, jaccard, language, mixing, secret_scan, sharding, suffixes
 from seasonstar.llm.common import table
 from seasonstar.llm.oracles import ORACLES
 
@@ -24,6 +24,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_chat_formatting": _over("conversations", chat.op4_chat_formatting),
     "op5_jaccard": _over("documents", jaccard.op5_jaccard),
     "op6_bpe": _over("documents", bpe.op6_bpe),
+    "op7_suffix_dedup": _over("documents", suffixes.op7_suffix_dedup),
     "op8_mixing": _over("documents", mixing.op8_mixing),
     "op9_embeddings": _over("embeddings", embeddings.op9_embeddings),
     "op10_secret_scan": _over("documents", secret_scan.op10_secret_scan),
