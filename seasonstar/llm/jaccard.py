@@ -319,13 +319,13 @@ def _verified(blocks: DataFrame, threshold: float, tolerance: float) -> DataFram
 def jaccard_links(
     documents: DataFrame, threshold: float = THRESHOLD, tolerance: float = TOLERANCE
 ) -> DataFrame:
-    """Per row of ``documents``: doc_id, text_hash, class_id, n_links and n_copies.
+    """Per row of ``documents``: doc_id, text_hash, class_key, class_id, n_links and n_copies.
 
     Two rows are linked when the Jaccard similarity of their sets of five-word shingles is at
     least ``threshold``. ``n_links`` counts the other rows linked to the row, copies included;
     ``class_id`` is the smallest doc_id reachable by links; ``n_copies`` counts rows with the
-    same shingle set. A NULL text or one without words is linked to nothing and is its own
-    class. Rows may repeat and are then copies of one another. Other columns are ignored; an
+    same shingle set. ``class_key`` tells classes apart even where a doc_id is repeated; it is
+    NULL for a NULL text or one without words, which is linked to nothing and is its own class. Rows may repeat and are then copies of one another. Other columns are ignored; an
     empty table gives an empty result.
 
     Copies never meet: everything after the first aggregation handles a class once. A large
@@ -363,11 +363,16 @@ def jaccard_links(
     )
     least = rooted.groupBy("root").agg(F.min("doc_id").alias("class_id"))
     named = rooted.join(least, "root").select(
-        "key", "class_id", "copies", F.coalesce("linked", F.lit(0)).alias("linked")
+        "key",
+        F.col("root").alias("class_key"),
+        "class_id",
+        "copies",
+        F.coalesce("linked", F.lit(0)).alias("linked"),
     )
     known = signed.join(named, "key").select(
         "doc_id",
         "text_hash",
+        "class_key",
         "class_id",
         (F.col("linked") + F.col("copies") - 1).alias("n_links"),
         F.col("copies").alias("n_copies"),
@@ -375,6 +380,7 @@ def jaccard_links(
     alone = signed.filter(F.col("key").isNull()).select(
         "doc_id",
         "text_hash",
+        F.lit(None).cast("binary").alias("class_key"),
         F.col("doc_id").alias("class_id"),
         F.lit(0).cast("long").alias("n_links"),
         F.lit(1).cast("long").alias("n_copies"),
@@ -425,5 +431,30 @@ def _checked(joined: DataFrame) -> DataFrame:
     return joined.mapInArrow(check, joined.schema)
 
 
+def drop_near_duplicates(
+    documents: DataFrame, threshold: float = THRESHOLD, tolerance: float = TOLERANCE
+) -> DataFrame:
+    """``documents`` with one row of each class, that of the smallest doc_id; columns unchanged.
+
+    Rows without a word are classes of their own and stay.
+    """
+    links = written(jaccard_links(documents, threshold, tolerance), "jaccard-classes")
+    chosen = links.filter(F.col("class_key").isNotNull()).groupBy("class_key").agg(
+        F.min(F.struct("doc_id", "text_hash")).alias("__row")
+    )
+    alone = links.filter(F.col("class_key").isNull()).select(
+        F.struct("doc_id", "text_hash").alias("__row"), F.lit(True).alias("__alone")
+    )
+    keep = chosen.select("__row", F.lit(False).alias("__alone")).unionAll(alone).distinct()
+    keep = keep.select(
+        F.col("__row.doc_id").alias("__id"), F.col("__row.text_hash").alias("__hash"), "__alone"
+    )
+    marked = documents.withColumn("__own", text_hash())
+    same = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__own") == F.col("__hash"))
+    joined = marked.join(keep, same).drop("__id", "__hash")
+    once = joined.filter(~F.col("__alone")).dropDuplicates(["doc_id", "__own"])
+    return once.unionAll(joined.filter("__alone")).select(*documents.columns)
+
+
 def op5_jaccard(documents: DataFrame) -> DataFrame:
     return jaccard_links(documents).select("doc_id", "class_id", "n_links", "n_copies")

@@ -120,7 +120,8 @@ def mix(
     shards: int = SHARDS,
     rows_per_shard: int = ROWS_PER_SHARD,
 ) -> DataFrame:
-    """Per row of ``documents``: doc_id, source, size, source_size, target and ``taken`` words.
+    """Per row of ``documents``: doc_id, source, size, source_size, target, ``taken`` words, and
+    ``row_hash``, which is equal for rows that are interchangeable.
 
     Weights are 1, 2, 3 and again, by the code point order of sources, NULL last. A NULL or
     empty text has size 0 and nothing is taken of it. Documents stand in a shard by a seeded
@@ -134,7 +135,7 @@ def mix(
             "doc_id",
             "source",
             size.alias("size"),
-            F.xxhash64(F.lit(seed), "doc_id", "source", "text").alias("__order"),
+            row_hash(seed).alias("__order"),
         ),
         "mix-sizes",
     )
@@ -201,9 +202,34 @@ def mix(
         "source_size",
         "target",
         (F.col("__passes") * F.col("size") + once_more).cast("long").alias("taken"),
+        F.col("__order").alias("row_hash"),
     )
 
 
+def row_hash(seed: int) -> Column:
+    return F.xxhash64(F.lit(seed), "doc_id", "source", "text")
+
+
+def repeat_to_mix(documents: DataFrame, seed: int = 1) -> DataFrame:
+    """``documents`` as often as the mix takes them, rounded to whole documents.
+
+    A document is repeated up to three times and left out where less than half of it is taken.
+    The few that a block boundary cuts round both ways, so sources stay near their targets.
+    Columns are unchanged; interchangeable rows share their repetitions.
+    """
+    times = F.coalesce(F.round(F.try_divide("taken", "size")), F.lit(0)).cast("int")
+    plan = (
+        mix(documents, seed)
+        .groupBy("row_hash")
+        .agg(F.sum(times).alias("__times"))
+        .filter(F.col("__times") > 0)
+    )
+    marked = documents.withColumn("__hash", row_hash(seed))
+    chosen = marked.join(plan, F.col("__hash") == F.col("row_hash")).dropDuplicates(["__hash"])
+    repeated = F.explode(F.sequence(F.lit(1).cast("long"), F.col("__times")))
+    return chosen.withColumn("__pass", repeated).select(*documents.columns)
+
+
 def op8_mixing(documents: DataFrame) -> DataFrame:
     """The mix over all documents."""
     return mix(documents).select("doc_id", "size", "source_size", "target", "taken", "source")
