@@ -2,38 +2,43 @@
 
 from __future__ import annotations
 
-from decimal import Decimal
-
 from pyspark.sql import Column, WindowSpec
 from pyspark.sql import functions as F
-from pyspark.sql.types import DecimalType
+
+#: A value is cut into signed digits of DIGIT bits at fixed powers of two, from 2 ** LOWEST up.
+DIGIT = 24
+LOWEST, HIGHEST = -120, 120
 
 
 def exact_sum(value: Column, window: WindowSpec | None = None) -> Column:
     """SUM of a real measure that does not depend on the order of additions.
 
-    Every value is split into its integer part and two groups of five decimals,
-    which are added as BIGINT: as fast as adding doubles, where adding decimals
-    costs many times more. Digits after the tenth decimal are rounded per value.
-    NULL when every input is NULL. Should a part overflow, the plain sum is used.
+    Every value is cut into digits at fixed powers of two, each of which is added as BIGINT
+    (with room for 2 ** 40 rows of a group). Nothing is rounded on the way: the parts add up to
+    the value. They are put together from the smallest to the largest, so the result is the
+    true sum to about one rounding. NULL when every input is NULL.
+
+    What lies outside the digits is added as doubles: parts below 2 ** -120, values from 2 ** 119
+    (6.6e35) up, where the last bits may follow the order of additions, and infinities and
+    NaN, which give what adding doubles gives.
     """
     number = value.cast("double")
-    whole = number.cast("bigint")
-    rest = (number - whole) * 1e5
-    middle = rest.cast("bigint")
-    low = F.rint((rest - middle) * 1e5).cast("bigint")
+    fits = F.abs(number) < float(2.0 ** (HIGHEST - 1))
+    inside = F.when(fits, number).when(number.isNotNull(), F.lit(0.0))
 
     def total(part: Column) -> Column:
-        summed = F.try_sum(part)
-        return (summed if window is None else summed.over(window)).cast(DecimalType(19, 0))
+        summed = F.sum(part)
+        return summed if window is None else summed.over(window)
 
-    exact = (
-        total(whole)
-        + total(middle) * F.lit(Decimal("0.00001"))
-        + total(low) * F.lit(Decimal("0.0000000001"))
-    ).cast("double")
-    plain = F.sum(number)
-    return F.coalesce(exact, plain if window is None else plain.over(window))
+    def units(power: int) -> Column:
+        return F.rint(inside * F.lit(float(2.0**-power)))
+
+    tail = F.when(fits, inside - units(LOWEST) * F.lit(float(2.0**LOWEST))).otherwise(number)
+    result = total(tail)
+    for power in range(LOWEST, HIGHEST, DIGIT):
+        digit = units(power) - units(power + DIGIT) * F.lit(float(2.0**DIGIT))
+        result = result + total(digit.cast("bigint")).cast("double") * F.lit(float(2.0**power))
+    return result
 
 
 def exact_avg(value: Column, window: WindowSpec | None = None) -> Column:
@@ -52,11 +57,5 @@ def percent_change(new: Column, base: Column) -> Column:
 
 
 def round_half_up(value: Column, digits: int) -> Column:
-    """Round a double half away from zero, on its decimal digits.
-
-    The value is snapped to ten decimals first, so last-bit noise from the
-    order of additions cannot move a tie. Beyond the decimal range plain
-    ``round`` is used.
-    """
-    snapped = F.round(value.try_cast(DecimalType(38, 10)), digits).cast("double")
-    return F.coalesce(snapped, F.round(value, digits))
+    """Round a double once, half away from zero, on its shortest decimal digits."""
+    return F.round(value, digits)

@@ -1,15 +1,15 @@
 """Raw text sources to clean, typed tables.
 
-Each source is first *standardised*: one narrow projection that types the
-text and marks the rows the load keeps (``Kept``), so that cleaning,
-reconciliation and the unmatched-key report share one definition. Nothing
-here shuffles the raw rows while the area mapping measures small.
+Each source is first *standardised*: one narrow step that types the text
+and marks the rows the load keeps (``Kept``), so that cleaning,
+reconciliation and the unmatched-key report share one definition. Rows that
+are not kept can be left out before their text is parsed, and filters on parsed
+columns run on the parsed values. Nothing here shuffles the raw rows while the
+area mapping measures small.
 """
 
 from __future__ import annotations
 
-import datetime as dt
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -44,25 +44,29 @@ def _raw(name: str) -> Column:
 
 
 def _in_window(window: Window | None) -> Column:
-    """Month inside the window; a NULL month is outside. No window keeps every row.
-
-    Months are month starts, so the range is also a list. As a list the parsed
-    month is evaluated once per row when the filter moves down to the scan;
-    a range would parse it for each bound.
-    """
+    """Month inside the window; a NULL month is outside. No window keeps every row."""
     if window is None:
         return F.lit(True)
     low, high = window
-    count = (high.year - low.year) * 12 + high.month - low.month + 1
-    firsts = [low.year * 12 + low.month - 1 + i for i in range(count)]
-    months = [dt.date(n // 12, n % 12 + 1, 1) for n in firsts]
-    return F.col("Month").isin(*[month for month in months if low <= month <= high])
+    return F.coalesce(F.col("Month").between(F.lit(low), F.lit(high)), F.lit(False))
+
+
+def _parsed_once(raw: DataFrame, kept: Column, kept_only: bool, *columns: Column) -> DataFrame:
+    """``columns`` and ``Kept`` of each row, or of the kept rows only.
+
+    The columns come out of a generator with one row per row. Filters on its output stay above
+    it, where they would otherwise be moved to the scan and parse each text again.
+    """
+    rows = raw.where(kept) if kept_only else raw
+    flag = F.lit(True) if kept_only else F.coalesce(kept, F.lit(False))
+    return rows.select(F.inline(F.array(F.struct(*columns, flag.alias("Kept")))))
 
 
 def clean_mapping(raw: DataFrame, layout: MappingLayout = MAPPING) -> DataFrame:
-    """Area reference table; the text ``null`` becomes NULL."""
+    """Area reference table; the text ``null`` becomes NULL, and so does a code beyond INT,
+    which the rule that codes are present then reports."""
     return raw.select(
-        lenient_int(_raw(layout.code)).cast("int").alias("RTO_Code"),
+        lenient_int(_raw(layout.code)).try_cast("int").alias("RTO_Code"),
         trimmed(_raw(layout.name)).alias(MAPPING.name),
         null_text(_raw(layout.name_ascii)).alias(MAPPING.name_ascii),
         null_text(_raw(layout.label)).alias(MAPPING.label),
@@ -75,18 +79,22 @@ def area_keys(mapping: DataFrame, column: str) -> DataFrame:
     return mapping.where(F.col(column).isNotNull()).select(F.col(column).alias("AreaKey"), "RTO_Code")
 
 
-def standardise_visitors(raw: DataFrame, layout: VisitorLayout = VisitorLayout()) -> DataFrame:
-    code = lenient_int(last_chars(trimmed(_raw(layout.code)), 2)).cast("int")
+def standardise_visitors(
+    raw: DataFrame, layout: VisitorLayout = VisitorLayout(), kept_only: bool = False
+) -> DataFrame:
+    code = lenient_int(last_chars(trimmed(_raw(layout.code)), 2)).try_cast("int")
     kept = (trimmed(_raw(layout.level)) == layout.level_kept) & trimmed(_raw(layout.segment)).isin(
         *layout.types
     )
-    return raw.select(
+    return _parsed_once(
+        raw,
+        kept,
+        kept_only,
         code.alias("AreaKey"),
         remove_all(_raw(layout.destination), layout.suffix).alias("Destination"),
         recode(_raw(layout.segment), layout.types).alias("Visitor_type"),
         month_start(_raw(layout.date)).alias("Month"),
         lenient_int(_raw(layout.count)).alias("Visitor_count"),
-        kept.alias("Kept"),
     )
 
 
@@ -94,14 +102,17 @@ def clean_visitors(
     raw: DataFrame, layout: VisitorLayout = VisitorLayout(), window: Window | None = None
 ) -> DataFrame:
     """Visitor counts. The area code comes from the text itself; check it with ``orphans``."""
-    rows = standardise_visitors(raw, layout)
-    return rows.where(F.col("Kept") & _in_window(window)).select(
+    rows = standardise_visitors(raw, layout, kept_only=True)
+    return rows.where(_in_window(window)).select(
         F.col("AreaKey").alias("RTO_Code"), "Destination", "Visitor_type", "Month", "Visitor_count"
     )
 
 
 def standardise_nights(
-    raw: DataFrame, layout: NightsLayout = NightsLayout(), blank: str = "null"
+    raw: DataFrame,
+    layout: NightsLayout = NightsLayout(),
+    blank: str = "null",
+    kept_only: bool = False,
 ) -> DataFrame:
     """Guest nights; a blank value is NULL, or 0 with ``blank="zero"``."""
     if blank not in _BLANKS:
@@ -117,13 +128,15 @@ def standardise_nights(
         & trimmed(_raw(layout.measure)).isin(*layout.types)
         & (F.coalesce(trimmed(_raw(layout.flag)), F.lit("")) != layout.suppressed)
     )
-    return raw.select(
+    return _parsed_once(
+        raw,
+        kept,
+        kept_only,
         strip_suffix(_raw(layout.area), layout.suffix).alias("AreaKey"),
         month_start(_raw(layout.month)).alias("Month"),
         trimmed(_raw(layout.property_type)).alias("Property"),
         recode(_raw(layout.measure), layout.types).alias("Visitor_type"),
         nights.alias("Total_stay_nights"),
-        kept.alias("Kept"),
     )
 
 
@@ -135,17 +148,22 @@ def clean_nights(
     blank: str = "null",
 ) -> DataFrame:
     """Guest nights of the mapped areas (matched on area name), suppressed rows left out."""
-    rows = standardise_nights(raw, layout, blank)
+    rows = standardise_nights(raw, layout, blank, kept_only=True)
     return conform_to_dim(rows, area_keys(mapping, MAPPING.name), window).select(
         "RTO_Code", "Month", "Property", "Visitor_type", "Total_stay_nights"
     )
 
 
-def standardise_spend(raw: DataFrame, layout: SpendLayout = SpendLayout()) -> DataFrame:
+def standardise_spend(
+    raw: DataFrame, layout: SpendLayout = SpendLayout(), kept_only: bool = False
+) -> DataFrame:
     kept = ~trimmed(_raw(layout.area)).isin(*layout.excluded_areas) & trimmed(
         _raw(layout.type)
     ).isin(*layout.types)
-    return raw.select(
+    return _parsed_once(
+        raw,
+        kept,
+        kept_only,
         trimmed(_raw(layout.area)).alias("AreaKey"),
         month_start(_raw(layout.month)).alias("Month"),
         trimmed(_raw(layout.product)).alias("Product"),
@@ -153,7 +171,6 @@ def standardise_spend(raw: DataFrame, layout: SpendLayout = SpendLayout()) -> Da
         trimmed(_raw(layout.origin)).alias("Origin"),
         lenient_real(trimmed(_raw(layout.annual))).alias("Annual_Spend_Million"),
         lenient_real(trimmed(_raw(layout.monthly))).alias("Monthly_Spend_Million"),
-        kept.alias("Kept"),
     )
 
 
@@ -164,7 +181,7 @@ def clean_spend(
     window: Window | None = WINDOW,
 ) -> DataFrame:
     """Spending of the mapped areas (matched on ASCII label)."""
-    rows = standardise_spend(raw, layout)
+    rows = standardise_spend(raw, layout, kept_only=True)
     return conform_to_dim(rows, area_keys(mapping, MAPPING.label_ascii), window).select(
         "RTO_Code",
         "Month",

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -10,19 +12,26 @@ from seasonstar.functions.numeric import exact_sum
 
 CELL = ("RTO_Code", "Month", "Visitor_type")
 MEASURES = ("SpendMillion", "GuestNights", "VisitorCount")
+#: Types that the packed row key tells apart.
+MOST_TYPES = 920
 FACT_GRAIN = ("DateKey", "LocationKey", "VisitorTypeKey")
 
 
 def surrogate_key() -> Column:
     """Row key packed from the grain: reproducible, and no global numbering pass.
 
-    Ten digits are kept for the area key and one for the type key.
+    A month key has at most six digits (year 9999). The type key fills the last digit, and a
+    larger one is moved above all others: keys are unique while types number at most MOST_TYPES
+    and area keys are any INT of 0 and more. A key outside these ranges, or a negative one, gives NULL, which
+    the load's checks report, instead of the key of another row.
     """
-    return (
-        F.col("DateKey").cast("bigint") * 100_000_000_000
-        + F.col("LocationKey") * 10
-        + F.col("VisitorTypeKey")
+    month, area, kind = (F.col(name).cast("bigint") for name in FACT_GRAIN)
+    in_range = (
+        month.between(0, 999_999) & area.between(0, 2**31 - 1) & kind.between(0, MOST_TYPES - 1)
     )
+    narrow = month * 100_000_000_000 + area * 10 + kind % 10
+    # 10 ** 17 rows of (month, area, last digit) per group of ten types: 92 groups fit a BIGINT
+    return F.when(in_range, narrow + (kind - kind % 10) * 10_000_000_000_000_000)
 
 
 def _key_cells(
@@ -38,7 +47,8 @@ def _key_cells(
         keyed = cells.join(calendar, "Month")
     areas = locations.select(F.col("RTOCode").alias("RTO_Code"), "LocationKey")
     labels = types.withColumnRenamed("VisitorType", "Visitor_type")
-    return keyed.join(areas, "RTO_Code").join(labels, "Visitor_type")
+    # the types are a literal list inside the plan, so their bound is known
+    return keyed.join(areas, "RTO_Code").join(F.broadcast(labels), "Visitor_type")
 
 
 def conform_fact(
@@ -100,20 +110,21 @@ def conform_fact_join_form(
     types: DataFrame,
     months: DataFrame | None = None,
 ) -> DataFrame:
-    """Same table as :func:`conform_fact`: distinct cells, then each source's totals joined on.
+    """Same table as :func:`conform_fact`: each source's totals, joined on the distinct cells.
 
-    Kept as the reference form for tests; it shuffles each source twice.
+    Sources are reduced to totals first, so every later step handles cells. The aggregation of
+    a source is one exchange, which the list of cells and the join share.
     """
-    keys = (
-        spend.select(*CELL).union(nights.select(*CELL)).union(visitors.select(*CELL)).distinct()
-    )
     totals = (
         spend.groupBy(*CELL).agg(exact_sum(F.col("Monthly_Spend_Million")).alias("SpendMillion")),
         nights.groupBy(*CELL).agg(F.sum("Total_stay_nights").alias("GuestNights")),
         visitors.groupBy(*CELL).agg(F.sum("Visitor_count").alias("VisitorCount")),
     )
+    keys = reduce(DataFrame.union, [total.select(*CELL) for total in totals]).distinct()
     for measure in totals:
-        keys = keys.join(measure, list(CELL), "left")
+        other = measure.select(*[F.col(n).alias(f"__{n}") for n in CELL], measure.columns[-1])
+        same = [F.col(name).eqNullSafe(F.col(f"__{name}")) for name in CELL]
+        keys = keys.join(other, reduce(Column.__and__, same), "left").drop(*other.columns[:-1])
     return _key_cells(keys, locations, types, months).select(
         surrogate_key().alias("FactID"), *FACT_GRAIN, *MEASURES
     )

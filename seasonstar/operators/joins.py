@@ -10,25 +10,40 @@ from pyspark.sql.types import BinaryType, StringType
 
 BROADCAST_ROWS = 250_000
 BROADCAST_BYTES = 32 * 1024 * 1024
-SALTS = 16
 
-_SALT = "__salt"
 _KINDS = ("inner", "left", "left_semi", "left_anti")
 
 
-def fits_broadcast(
-    dim: DataFrame, max_rows: int = BROADCAST_ROWS, max_bytes: int = BROADCAST_BYTES
-) -> bool:
-    """Measure ``dim`` (one distributed count and byte sum) against the broadcast bound."""
-    width = F.lit(0)
+def _measure(dim: DataFrame, on: Sequence[str]) -> tuple[int, int, int]:
+    """Rows, bytes, and rows beyond one per key, in one distributed pass.
+
+    Rows are counted per key first, so the count of distinct keys needs no second pass; a NULL
+    key matches nothing and may repeat.
+    """
+    width = F.lit(0).cast("bigint")
     for column in dim.schema.fields:
         if isinstance(column.dataType, (StringType, BinaryType)):
             size = F.coalesce(F.octet_length(F.col(f"`{column.name}`")), F.lit(0))
         else:
             size = F.lit(16)
         width = width + size
-    rows, size = dim.agg(F.count(F.lit(1)), F.sum(width.cast("bigint"))).first()
-    return rows <= max_rows and (size or 0) <= max_bytes
+    keys = [F.col(f"`{name}`") for name in on]
+    per_key = dim.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"), F.sum(width).alias("__size"))
+    known = F.lit(True)
+    for key in keys:
+        known = known & key.isNotNull()
+    rows, size, extra = per_key.agg(
+        F.sum("__n"), F.sum("__size"), F.sum(F.when(known, F.col("__n") - 1))
+    ).first()
+    return rows or 0, size or 0, extra or 0
+
+
+def fits_broadcast(
+    dim: DataFrame, max_rows: int = BROADCAST_ROWS, max_bytes: int = BROADCAST_BYTES
+) -> bool:
+    """Measure ``dim`` (one distributed count and byte sum) against the broadcast bound."""
+    rows, size, _ = _measure(dim, [])
+    return rows <= max_rows and size <= max_bytes
 
 
 def dim_join(
@@ -37,21 +52,26 @@ def dim_join(
     on: Sequence[str],
     how: str = "inner",
     max_rows: int = BROADCAST_ROWS,
-    salts: int = SALTS,
+    unique: bool = True,
+    known_small: bool = False,
 ) -> DataFrame:
     """Join ``rows`` to ``dim`` without a shuffle of ``rows`` when ``dim`` measures small.
 
-    A dimension beyond the bound is joined by key and salt: its rows are
-    repeated once per salt and every left row carries one salt, a hash of the
-    row itself, so one hot key is spread over ``salts`` tasks and a recomputed
-    task gives the same salt. Either way each left row meets all its partners.
+    A dimension beyond the bound is joined as Spark plans it, by a shuffle on the key; adaptive
+    execution splits the tasks of a hot key by what each map task wrote, so rows that are
+    all equal are spread as well. Either way each left row meets all its partners, and each
+    column of ``rows`` is computed once.
+
+    With ``unique`` a key that occurs twice in ``dim`` raises ValueError, since it would multiply
+    rows. ``known_small`` skips the measuring, for literal lists.
     """
     if how not in _KINDS:
         raise ValueError(f"how must be one of {_KINDS}, got {how!r}")
     on = list(on)
-    if fits_broadcast(dim, max_rows):
+    if known_small:
         return rows.join(F.broadcast(dim), on, how)
-    salt = F.pmod(F.xxhash64(*[F.col(f"`{name}`") for name in rows.columns]), F.lit(salts))
-    salted = rows.withColumn(_SALT, salt.cast("int"))
-    repeated = dim.withColumn(_SALT, F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return salted.join(repeated, [*on, _SALT], how).drop(_SALT)
+    count, size, extra = _measure(dim, on)
+    if unique and extra and how in ("inner", "left"):
+        raise ValueError(f"{extra} rows of the dimension repeat a key of {on}")
+    small = count <= max_rows and size <= BROADCAST_BYTES
+    return rows.join(F.broadcast(dim) if small else dim, on, how)

@@ -1,6 +1,8 @@
 """Dimensions, fact build and quality reports on small fixtures."""
 
 import datetime as dt
+from math import fsum
+from random import Random
 
 import pytest
 from pyspark.sql import functions as F
@@ -251,5 +253,32 @@ def test_exact_sum(spark):
     assert total([-1.5, -0.0000000001]) == (-1.5000000001, -1.5000000001 / 2)
     assert total([None, None]) == (None, None)
     assert total([]) == (None, None)
-    # Beyond BIGINT the plain sum takes over.
     assert total([9e18, 9e18]) == (1.8e19, 9e18)
+    assert total([4e-11] * 1000) == (4e-8, 4e-8 / 1000)
+    assert total([1e19, 1.0, -1e19])[0] == 1.0
+    assert total([1e300, 1e300])[0] == 2e300
+    assert total([5e-324] * 3)[0] == 1.5e-323
+    assert total([float("inf"), 1.0])[0] == float("inf")
+    assert total([float("nan"), 1.0])[0] != total([float("nan"), 1.0])[0]
+    random = Random(5)
+    mixed = [random.uniform(-1, 1) * 10.0 ** random.randint(-25, 25) for _ in range(2000)]
+    assert total(mixed)[0] == fsum(mixed)
+    assert total(sorted(mixed))[0] == total(sorted(mixed, key=abs))[0]
+
+
+def test_surrogate_key_is_unique_for_all_keys(spark):
+    from seasonstar.operators.fact import MOST_TYPES, surrogate_key
+
+    rows = [
+        (month, area, kind)
+        for month in (0, 202401, 202402, 999912)
+        for area in (0, 1, 2, 10, 300_000_000, 2**31 - 1)
+        for kind in (0, 1, 9, 10, 11, 99, 100, MOST_TYPES - 1)
+    ]
+    schema = "DateKey int, LocationKey int, VisitorTypeKey int"
+    keys = [r.k for r in spark.createDataFrame(rows, schema).select(surrogate_key().alias("k")).collect()]
+    assert None not in keys and len(set(keys)) == len(rows)
+    beyond = spark.createDataFrame([(202401, 1, MOST_TYPES), (202401, -1, 1)], schema)
+    assert [r.k for r in beyond.select(surrogate_key().alias("k")).collect()] == [None, None]
+    usual = spark.createDataFrame([(202401, 7, 2)], schema).select(surrogate_key().alias("k"))
+    assert usual.first().k == 20240100000000072

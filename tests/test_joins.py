@@ -21,29 +21,48 @@ def sides(spark):
 
 
 @pytest.mark.parametrize("how", ["inner", "left", "left_semi", "left_anti"])
-def test_salted_join_equals_broadcast_join(sides, how):
+def test_join_beyond_the_bound_equals_broadcast_join(spark, sides, how):
     rows, dim = sides
     small = dim_join(rows, dim, ["key"], how)
-    salted = dim_join(rows, dim, ["key"], how, max_rows=10, salts=4)
-    assert "__salt" not in salted.columns
-    assert small.exceptAll(salted.select(*small.columns)).isEmpty()
-    assert salted.select(*small.columns).exceptAll(small).isEmpty()
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        large = dim_join(rows, dim, ["key"], how, max_rows=10)
+        assert "SortMergeJoin" in large._jdf.queryExecution().executedPlan().toString()
+        assert small.exceptAll(large.select(*small.columns)).isEmpty()
+        assert large.select(*small.columns).exceptAll(small).isEmpty()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     assert "BroadcastHashJoin" in small._jdf.queryExecution().sparkPlan().toString()
 
 
-def test_salt_spreads_a_hot_key(sides):
+def test_a_hot_key_of_equal_rows_is_split(spark, sides):
+    """Every row is the same; adaptive execution still deals them to several tasks."""
+    _, dim = sides
+    rows = spark.range(0, 60000, 1, 20).select(F.lit("hot").alias("key"), F.lit("x" * 50).alias("v"))
+    settings = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "1k",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "2k",
+    }
+    for name, value in settings.items():
+        spark.conf.set(name, value)
+    try:
+        joined = dim_join(rows, dim, ["key"], max_rows=10)
+        tasks = joined.select(F.spark_partition_id().alias("p")).rdd.map(lambda r: r.p)
+        assert len(set(tasks.collect())) > 4
+    finally:
+        for name in settings:
+            spark.conf.unset(name)
+
+
+def test_a_repeated_key_is_refused(spark, sides):
     rows, dim = sides
-    salted = dim_join(rows, dim, ["key"], max_rows=10, salts=8)
-    # The salt is projected away again, so look at its formula through the plan.
-    plan = salted._jdf.queryExecution().optimizedPlan().toString()
-    assert "xxhash64" in plan and "BroadcastHint" not in plan
-    per_salt = (
-        rows.where("key = 'hot'")
-        .groupBy(F.pmod(F.xxhash64("key", "id"), F.lit(8)))
-        .count()
-        .collect()
-    )
-    assert len(per_salt) == 8 and max(r["count"] for r in per_salt) < 400
+    twice = dim.unionAll(dim.limit(1))
+    with pytest.raises(ValueError, match="repeat"):
+        dim_join(rows, twice, ["key"])
+    assert dim_join(rows, twice, ["key"], unique=False).count() > dim_join(rows, dim, ["key"]).count()
+    nulls = spark.createDataFrame([(None, 1), (None, 2)], "key string, code bigint")
+    assert dim_join(rows, dim.unionAll(nulls), ["key"]).count() == dim_join(rows, dim, ["key"]).count()
 
 
 def test_size_check_counts_rows_and_bytes(spark):
