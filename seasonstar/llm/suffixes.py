@@ -33,10 +33,12 @@ OFFSETS = LENGTH - GRAM + 1
 #: Depth from which groups of equal prefixes go to blind tries, and bytes of a quicksort key.
 SHALLOW, KEY = 32, 8
 #: Bytes of text in a block, and parts that hashes and surroundings are dealt to for each block.
-BLOCK_BYTES, PARTS_PER_BLOCK = 24 << 20, 2
+BLOCK_BYTES, PARTS_PER_BLOCK = 8 << 20, 1
 #: Bytes whose hashes are computed at a time.
 BYTES_AT_A_TIME = 1 << 16
 _PLACE_BITS = 17
+#: Stands for a NULL doc_id, which is earlier than any other.
+NO_ID = -(1 << 63)
 #: Bits of an anchor's hash that are sent. A collision only makes for a needless comparison.
 HASH_BITS = 48
 
@@ -61,44 +63,85 @@ def _mixed(values: np.ndarray) -> np.ndarray:
     return values ^ (values >> np.uint64(31))
 
 
-def anchors(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Places of the anchors of a text, their hashes, and hashes of their surroundings.
+def anchors(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The anchors of texts: which text, place in it, hash, and hash of the surroundings.
 
     The surroundings are the up to OFFSETS - 1 bytes before an anchor and the up to LENGTH bytes
-    from it on. A text is read in pieces of fixed size that overlap.
+    from it on, within the text. Short texts are read many at a time, a long one in pieces that
+    overlap.
     """
-    whole = np.frombuffer(data, dtype=np.uint8)
-    n = len(whole)
-    places, hashes, around = [], [], []
-    for first in range(0, n - LENGTH + 1, BYTES_AT_A_TIME):
-        # strings that start in this piece, with the surroundings of their anchors
-        start = max(0, first - OFFSETS + 1)
-        stop = min(n, first + BYTES_AT_A_TIME + 2 * LENGTH)
-        piece = whole[start:stop]
-        sums = np.zeros(len(piece) + 1, dtype=np.uint64)
-        np.cumsum(_BYTE[piece] * _UP[: len(piece)], out=sums[1:])
-        grams = len(piece) - GRAM + 1
-        gram = _mixed((sums[GRAM:] - sums[:grams]) * _DOWN[:grams])
-        strings = min(n - LENGTH + 1, first + BYTES_AT_A_TIME) - first
-        least = gram[first - start : first - start + strings + OFFSETS - 1]
-        ranked = (least & ~np.uint64((1 << _PLACE_BITS) - 1)) | np.arange(len(least), dtype=np.uint64)
-        width = 1
-        while 2 * width <= OFFSETS:
-            ranked = np.minimum(ranked[:-width], ranked[width:])
-            width *= 2
-        if width < OFFSETS:
-            ranked = np.minimum(ranked[: strings], ranked[OFFSETS - width : OFFSETS - width + strings])
-        at = np.unique((ranked & np.uint64((1 << _PLACE_BITS) - 1)).astype(np.int64)) + first - start
-        left, right = np.maximum(at - OFFSETS + 1, 0), np.minimum(at + LENGTH, len(piece))
-        places.append(at + start)
-        hashes.append(gram[at])
-        size = ((at - left) * 512 + right - at).astype(np.uint64)
-        around.append(_mixed((sums[right] - sums[left]) * _DOWN[left] + _mixed(size)))
-    if not places:
-        nothing = np.empty(0, dtype=np.uint64)
-        return nothing.astype(np.int64), nothing, nothing
-    place, once = np.unique(np.concatenate(places), return_index=True)
-    return place, np.concatenate(hashes)[once], np.concatenate(around)[once]
+    found: list[tuple] = []
+    run, size = [], 0
+    for index, data in enumerate(texts):
+        if len(data) < LENGTH:
+            continue
+        if len(data) > BYTES_AT_A_TIME:
+            for first in range(0, len(data) - LENGTH + 1, BYTES_AT_A_TIME):
+                start = max(0, first - OFFSETS + 1)
+                stop = min(len(data), first + BYTES_AT_A_TIME + 2 * LENGTH)
+                begin, end = first - start, min(len(data) - LENGTH + 1, first + BYTES_AT_A_TIME) - start
+                at = _anchors(
+                    np.frombuffer(data, np.uint8, stop - start, start),
+                    np.array([0]),
+                    np.array([stop - start]),
+                    np.arange(begin, end),
+                )
+                found.append((np.full(len(at[0]), index), at[0] + start, at[1], at[2]))
+            continue
+        if size + len(data) > BYTES_AT_A_TIME:
+            found.append(_together(run, texts))
+            run, size = [], 0
+        run.append(index)
+        size += len(data)
+    if run:
+        found.append(_together(run, texts))
+    if not found:
+        nothing = np.empty(0, dtype=np.int64)
+        return nothing, nothing, nothing.astype(np.uint64), nothing.astype(np.uint64)
+    index, place, hashes, around = (np.concatenate(column) for column in zip(*found, strict=True))
+    order = np.lexsort((place, index))
+    index, place = index[order], place[order]
+    # pieces of a long text share the anchors where they meet
+    new = np.concatenate([[True], (np.diff(index) != 0) | (np.diff(place) != 0)])
+    return index[new], place[new], hashes[order][new], around[order][new]
+
+
+def _together(run: list[int], texts: list[bytes]) -> tuple:
+    data = np.frombuffer(b"".join(texts[i] for i in run), np.uint8)
+    size = np.array([len(texts[i]) for i in run], dtype=np.int64)
+    ends = np.cumsum(size)
+    starts = ends - size
+    strings = np.ones(len(data), dtype=bool)  # places where a string of LENGTH bytes starts
+    for step in range(1, LENGTH):
+        strings[ends - step] = False
+    at, hashes, around, row = _anchors(data, starts, ends, np.flatnonzero(strings))
+    return np.array(run)[row], at - starts[row], hashes, around
+
+
+def _anchors(piece: np.ndarray, starts: np.ndarray, ends: np.ndarray, strings: np.ndarray) -> tuple:
+    """Anchors of the strings that start at ``strings`` in a piece holding the texts that run
+    from ``starts`` to ``ends``: places, hashes, hashes of surroundings, and texts."""
+    sums = np.zeros(len(piece) + 1, dtype=np.uint64)
+    np.cumsum(_BYTE[piece] * _UP[: len(piece)], out=sums[1:])
+    grams = len(piece) - GRAM + 1
+    gram = _mixed((sums[GRAM:] - sums[:grams]) * _DOWN[:grams])
+    low = np.uint64((1 << _PLACE_BITS) - 1)
+    ranked = (gram & ~low) | np.arange(grams, dtype=np.uint64)
+    width = 1
+    while 2 * width <= OFFSETS:
+        ranked = np.minimum(ranked[:-width], ranked[width:])
+        width *= 2
+    if width < OFFSETS:
+        ranked = np.minimum(ranked[: width - OFFSETS], ranked[OFFSETS - width :])
+    # the least of a window never moves back as the window moves on
+    at = (ranked[strings] & low).astype(np.int64)
+    at = at[np.concatenate([[True], at[1:] != at[:-1]])]
+    row = np.searchsorted(ends, at, side="right")
+    left = np.maximum(at - OFFSETS + 1, starts[row])
+    right = np.minimum(at + LENGTH, ends[row])
+    size = ((at - left) * 512 + right - at).astype(np.uint64)
+    around = _mixed((sums[right] - sums[left]) * _DOWN[left] + _mixed(size))
+    return at, gram[at], around, row
 
 
 # ---------------------------------------------------------------- deep-shallow sorting
@@ -257,12 +300,13 @@ def _packed(rows: DataFrame) -> DataFrame:
 
 
 def _documents(rows: pa.Table, copies: pa.Table | None = None) -> Iterator[tuple]:
-    """doc_id, text as bytes and whether it is a copy, of the documents of a block."""
+    """doc_id (NULL: below all others), text as bytes and whether it is a copy, of the documents
+    of a block."""
     later = set(copies.column("doc_id").to_pylist()) if copies is not None else set()
     for blob in rows.column("blob"):
         table = _table(blob.as_py())
         for doc_id, text in zip(table.column("doc_id"), table.column("text"), strict=True):
-            doc_id = doc_id.as_py()
+            doc_id = NO_ID if doc_id.as_py() is None else doc_id.as_py()
             yield doc_id, text.as_py().encode("utf-8", "replace"), doc_id in later
 
 
@@ -292,6 +336,13 @@ _ASKED = "part long, block long, blob binary"
 _TOLD = "block long, kind int, doc_id long, blob binary"
 
 
+def _among(values: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """Which values are in the sorted array ``known``."""
+    if not len(known):
+        return np.zeros(len(values), dtype=bool)
+    return known[np.minimum(np.searchsorted(known, values), len(known) - 1)] == values
+
+
 def _short(hashes: np.ndarray) -> np.ndarray:
     return hashes >> np.uint64(64 - HASH_BITS)
 
@@ -300,10 +351,8 @@ def _ask_hashes(placed: DataFrame, copies: DataFrame, parts: int) -> DataFrame:
     """The distinct anchor hashes of each block, and whether they occur twice in it."""
 
     def ask(rows: pa.Table, told: pa.Table) -> pa.Table:
-        found = [
-            _short(anchors(data)[1]) for _, data, copy in _documents(rows, told) if not copy
-        ]
-        hashes = np.concatenate(found) if found else np.empty(0, dtype=np.uint64)
+        texts = [data for _, data, copy in _documents(rows, told) if not copy]
+        hashes = _short(anchors(texts)[2])
         hashes, count = np.unique(hashes, return_counts=True)
         block = rows.column("block")[0].as_py() if rows.num_rows else 0
 
@@ -348,43 +397,33 @@ def _ask_surroundings(placed: DataFrame, told: DataFrame, parts: int) -> DataFra
         answers = [_table(b.as_py()) for b in _of_kind(told, 1).column("blob")]
         known = [np.cumsum(_array(a, "step"), dtype=np.uint64) for a in answers]
         known = np.unique(np.concatenate(known)) if known else np.empty(0, dtype=np.uint64)
-        columns: dict[str, list] = {n: [] for n in ("hash", "around", "doc_id", "place", "text")}
-        texts = []
-        for doc_id, data, copy in _documents(rows, _of_kind(told, 0)):
-            if copy:
-                continue
-            place, hashes, around = anchors(data)
-            hashes = _short(hashes)
-            mine = np.flatnonzero(np.isin(hashes, known))
-            if len(mine):
-                columns["hash"].append(hashes[mine])
-                columns["around"].append(around[mine])
-                columns["place"].append(place[mine])
-                columns["doc_id"].append(np.full(len(mine), doc_id))
-                columns["text"].append(np.full(len(mine), len(texts)))
-                texts.append(data)
-        if not texts:
+        own = [x for x in _documents(rows, _of_kind(told, 0)) if not x[2]]
+        texts, ids = [x[1] for x in own], np.array([x[0] for x in own])
+        index, place, hashes, around = anchors(texts)
+        hashes = _short(hashes)
+        mine = np.flatnonzero(_among(hashes, known))
+        if not len(mine):
             return _dealt(0, np.empty(0, dtype=np.int64), lambda own: b"")
-        column = {name: np.concatenate(parts_) for name, parts_ in columns.items()}
-        order = np.lexsort((column["place"], column["doc_id"], column["around"]))
-        around = column["around"][order]
-        first = order[np.concatenate([[True], around[1:] != around[:-1]])]
+        index, place, hashes, around = index[mine], place[mine], hashes[mine], around[mine]
+        order = np.lexsort((place, ids[index], around))
+        sorted_around = around[order]
+        first = order[np.concatenate([[True], sorted_around[1:] != sorted_around[:-1]])]
 
         def make(own: np.ndarray) -> bytes:
             rows_ = first[own]
-            cut = [(texts[t], p) for t, p in zip(column["text"][rows_], column["place"][rows_], strict=True)]
+            cut = [(texts[t], p) for t, p in zip(index[rows_].tolist(), place[rows_].tolist(), strict=True)]
             before = [d[max(0, p - OFFSETS + 1) : p] for d, p in cut]
             after = [d[p : p + LENGTH] for d, p in cut]
             return _blob(
-                around=pa.array(column["around"][rows_]),
-                doc_id=pa.array(column["doc_id"][rows_], pa.int64()),
-                place=pa.array(column["place"][rows_], pa.int64()),
+                around=pa.array(around[rows_]),
+                doc_id=pa.array(ids[index[rows_]], pa.int64()),
+                place=pa.array(place[rows_], pa.int64()),
                 before=pa.array(before, pa.binary()),
                 after=pa.array(after, pa.binary()),
             )
 
         block = rows.column("block")[0].as_py()
-        return _dealt(block, _part_of(column["hash"][first], parts), make)
+        return _dealt(block, _part_of(hashes[first], parts), make)
 
     return placed.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(ask, _ASKED)
 
@@ -455,25 +494,37 @@ def _cut(placed: DataFrame, told: DataFrame, schema: str, finish: Callable) -> D
             first_doc, first_place = _array(answer, "doc_id"), _array(answer, "place")
             packed = np.frombuffer(b"".join(answer.column("offsets").to_pylist()), np.uint8)
             bits = np.unpackbits(packed.reshape(len(known), -1), axis=1)[:, :OFFSETS].astype(bool)
-        for doc_id, data, copy in _documents(rows, _of_kind(told, 0)):
-            begins = ends = np.empty(0, dtype=np.int64)
+        own = list(_documents(rows, _of_kind(told, 0)))
+        nothing = np.empty(0, dtype=np.int64)
+        spans: dict[int, tuple] = {}
+        if answers and len(known):
+            index, place, _, around = anchors([b"" if copy else data for _, data, copy in own])
+            mine = np.flatnonzero(_among(around, known))
+            index, place = index[mine], place[mine]
+            at = np.searchsorted(known, around[mine])
+            ids = np.array([x[0] for x in own])
+            size = np.array([len(x[1]) for x in own], dtype=np.int64)
+            first = (first_doc[at] == ids[index]) & (first_place[at] == place)
+            # a later place with the same surroundings: every string around it starts earlier
+            later = ~first
+            low = np.maximum(place[later] - OFFSETS + 1, 0)
+            high = np.minimum(place[later], size[index[later]] - LENGTH)
+            row, offset = np.nonzero(bits[at[first]])
+            start = place[first][row] - offset
+            whose = np.concatenate([index[later][low <= high], index[first][row]])
+            begins = np.concatenate([low[low <= high], start])
+            ends = np.concatenate([high[low <= high] + LENGTH, start + LENGTH])
+            order = np.argsort(whose, kind="stable")
+            whose, begins, ends = whose[order], begins[order], ends[order]
+            edges = np.flatnonzero(np.diff(whose, prepend=-1, append=-1))
+            for a, b in zip(edges, edges[1:], strict=False):
+                spans[int(whose[a])] = covered(begins[a:b], ends[a:b])
+        for i, (doc_id, data, copy) in enumerate(own):
+            begins, ends = spans.get(i, (nothing, nothing))
             if copy and len(data) >= LENGTH:
                 begins, ends = np.array([0]), np.array([len(data)])
-            elif answers and not copy:
-                place, _, around = anchors(data)
-                at = np.minimum(np.searchsorted(known, around), len(known) - 1)
-                mine = known[at] == around
-                place, at = place[mine], at[mine]
-                first = (first_doc[at] == doc_id) & (first_place[at] == place)
-                # a later place with the same surroundings: every string around it starts earlier
-                low = np.maximum(place[~first] - OFFSETS + 1, 0)
-                high = np.minimum(place[~first], len(data) - LENGTH)
-                row, offset = np.nonzero(bits[at[first]])
-                start = place[first][row] - offset
-                begins = np.concatenate([low[low <= high], start])
-                ends = np.concatenate([high[low <= high] + LENGTH, start + LENGTH])
-                begins, ends = covered(begins, ends)
-            out.append((doc_id, *finish(data, begins, ends)))
+            named = None if doc_id == NO_ID else doc_id
+            out.append((named, *finish(data, begins, ends)))
         names = [part.split()[0] for part in schema.split(", ")]
         kinds = {"long": pa.int64(), "string": pa.string(), "binary": pa.binary()}
         types = [kinds[part.split()[1]] for part in schema.split(", ")]
