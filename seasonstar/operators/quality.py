@@ -77,8 +77,11 @@ def areas_represented(fact: DataFrame, locations: DataFrame) -> DataFrame:
     )
 
 
-def month_completeness(sources: Mapping[str, DataFrame]) -> DataFrame:
-    """Available/Missing per source for every month between the first and last observed one.
+def month_completeness(
+    sources: Mapping[str, DataFrame], months: DataFrame | None = None
+) -> DataFrame:
+    """Available/Missing per source for every month of ``months`` (column ``MonthStartDate``), or
+    between the first and last observed one.
 
     One pass over the sources; the months seen per source, bounded by the
     calendar, meet in one row from which the calendar is expanded.
@@ -97,11 +100,14 @@ def month_completeness(sources: Mapping[str, DataFrame]) -> DataFrame:
     ]
     summary = rows.agg(F.min("Month").alias("low"), F.max("Month").alias("high"), *seen)
     month = F.col("MonthStartDate")
+    if months is None:
+        every = F.sequence("low", "high", F.expr("interval 1 month"))
+        calendar = summary.withColumn("MonthStartDate", F.explode(every))
+    else:
+        # the summary is one row; a calendar has a row per month
+        calendar = months.select("MonthStartDate").crossJoin(F.broadcast(summary))
     return (
-        summary.withColumn(
-            "MonthStartDate", F.explode(F.sequence("low", "high", F.expr("interval 1 month")))
-        )
-        .select(
+        calendar.select(
             month,
             month_name(F.month(month)).alias("MonthName"),
             F.year(month).alias("Year"),

@@ -4,16 +4,19 @@ Every stage reads the tables of the stage before, so a lost executor never
 reaches back past the last written table. Nothing is deleted: raw files stay.
 
 Each source is parsed once into a staging table, checked there in columnar
-form, and only then replaces its clean table, so a failed check leaves the
-previous load untouched.
+form, and only then replaces its clean table. The star is written as a new
+version beside the last one, checked as a whole, and then published by one
+small appended table, so a failed check leaves everything readable as it was.
 """
 
 from __future__ import annotations
 
 import os
+import uuid
 from collections.abc import Sequence
 from dataclasses import dataclass
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -33,7 +36,7 @@ from seasonstar.sources.layouts import (
     VisitorLayout,
     Window,
 )
-from seasonstar.sources.tables import read_text_csv, rebuild_table
+from seasonstar.sources.tables import MALFORMED, read_text_csv, rebuild_table
 
 GRAINS = {
     "mapping": [("RTO_Code",), (clean.MAPPING.name,), (clean.MAPPING.label_ascii,)],
@@ -45,6 +48,9 @@ GRAINS = {
     "fact": [("FactID",), facts.FACT_GRAIN],
 }
 ON_VIOLATION = ("fail", "quarantine")
+#: Tables of a star version, and the table that lists the published versions.
+STAR = ("months", "locations", "visitor_types", "fact", "spend_detail")
+VERSIONS = "star/versions"
 
 
 class LoadError(ValueError):
@@ -79,8 +85,35 @@ class Warehouse:
         self.hemisphere = hemisphere
 
     def path(self, table: str) -> str:
+        if table in STAR:
+            version = self.version()
+            if version is None:
+                raise LoadError("no star has been built")
+            return self._star_path(version, table)
         return os.path.join(self.root, table)
 
+    def _star_path(self, version: str, table: str) -> str:
+        return os.path.join(self.root, "star", version, table)
+
+    def version(self) -> str | None:
+        """The star version published last."""
+        try:
+            published = self.spark.read.parquet(os.path.join(self.root, VERSIONS))
+        except AnalysisException:
+            return None
+        last = published.orderBy(F.desc("number")).limit(1).collect()
+        return last[0]["version"] if last else None
+
+    def _publish(self, version: str) -> None:
+        path = os.path.join(self.root, VERSIONS)
+        number = 1
+        if self.version() is not None:
+            number += self.spark.read.parquet(path).agg(F.max("number")).first()[0]
+        row = self.spark.range(1, numPartitions=1).select(
+            F.lit(number).alias("number"), F.lit(version).alias("version")
+        )
+        row.write.mode("append").parquet(path)
+
     def table(self, table: str) -> DataFrame:
         return self.spark.read.parquet(self.path(table))
 
@@ -97,29 +130,41 @@ class Warehouse:
         visitor_window: Window | None = None,
         blank: str = "null",
         on_violation: str = "fail",
+        multi_line: bool = False,
     ) -> None:
         """Clean all four sources, the mapping first since the others refer to it.
 
         ``on_violation="quarantine"`` loads the rows that pass their rules and
-        keeps the others, with the failed rule names, under ``quarantine/``.
-        Broken uniqueness or unknown area codes always fail the load.
+        keeps the others, with the failed rule names, under ``quarantine/``, and
+        malformed records with their raw text under ``quarantine/<name>_records``.
+        Otherwise either fails the load. Broken uniqueness or unknown area codes
+        always do.
         """
         if on_violation not in ON_VIOLATION:
             raise ValueError(f"on_violation must be one of {ON_VIOLATION}, got {on_violation!r}")
 
-        def text(path: str, layout) -> DataFrame:
-            return read_text_csv(self.spark, path, layout.columns)
+        def text(name: str, path: str, layout) -> DataFrame:
+            if on_violation == "fail":
+                return read_text_csv(self.spark, path, layout.columns, multi_line=multi_line)
+            records = read_text_csv(
+                self.spark, path, layout.columns, on_malformed="capture", multi_line=multi_line
+            )
+            broken = records.where(F.col(MALFORMED).isNotNull())
+            rebuild_table(broken, self.path(f"quarantine/{name}_records"))
+            return records.where(F.col(MALFORMED).isNull()).drop(MALFORMED)
 
-        mapping = clean.clean_mapping(text(raw.mapping, mapping_layout), mapping_layout)
+        mapping = clean.clean_mapping(
+            text("mapping", raw.mapping, mapping_layout), mapping_layout
+        )
         self._replace("mapping", mapping, quality.mapping_rules(), on_violation)
         mapping = self.table("mapping")
         visitors = clean.clean_visitors(
-            text(raw.visitors, visitor_layout), visitor_layout, visitor_window
+            text("visitors", raw.visitors, visitor_layout), visitor_layout, visitor_window
         )
         nights = clean.clean_nights(
-            text(raw.nights, nights_layout), mapping, nights_layout, window, blank
+            text("nights", raw.nights, nights_layout), mapping, nights_layout, window, blank
         )
-        spend = clean.clean_spend(text(raw.spend, spend_layout), mapping, spend_layout, window)
+        spend = clean.clean_spend(text("spend", raw.spend, spend_layout), mapping, spend_layout, window)
         for name, frame, rules in (
             ("visitors", visitors, quality.visitor_rules()),
             ("nights", nights, quality.nights_rules()),
@@ -148,49 +193,61 @@ class Warehouse:
             return
         self._check_orphans(name, staged, "RTO_Code", parent, "RTO_Code")
         with_year = staged.withColumn("Year", F.year("Month"))
-        rebuild_table(with_year, self.path(name), partition_by=["Year"])
+        rebuild_table(
+            with_year, self.path(name), partition_by=["Year"], sort_by=["RTO_Code", "Month"]
+        )
 
     # --- clean → star -----------------------------------------------------------
 
     def build_star(self, refresh_years: Sequence[int] | None = None) -> None:
-        """Dimensions and facts from the clean tables.
+        """Dimensions and facts from the clean tables, all or nothing.
 
-        With ``refresh_years`` only those years of the facts are rebuilt, after
-        revised months have been loaded; the dimensions are always rebuilt.
+        With ``refresh_years`` only those years of the facts are computed again,
+        after revised months have been loaded, and the other years are taken over
+        from the last version; the dimensions are always rebuilt. A year that no
+        source holds any more leaves no row. Only a version that passes every
+        check is published; the versions before stay on storage.
         """
         sources = {name: self.table(name) for name in ("spend", "nights", "visitors")}
+        last = self.version()
+        version = f"v-{uuid.uuid4().hex}"
+
+        def build(name: str, frame: DataFrame, **options) -> DataFrame:
+            return rebuild_table(frame, self._star_path(version, name), **options)
+
         months = dims.month_dim(*sources.values(), hemisphere=self.hemisphere)
-        months = rebuild_table(months, self.path("months"), sort_by=["DateKey"])
+        months = build("months", months, sort_by=["DateKey"])
         locations = dims.location_dim(self.table("mapping"), self.bands, self.other_zone)
-        locations = rebuild_table(locations, self.path("locations"), sort_by=["LocationKey"])
-        types = rebuild_table(dims.enum_dim(self.spark), self.path("visitor_types"))
+        locations = build("locations", locations, sort_by=["LocationKey"])
+        types = build("visitor_types", dims.enum_dim(self.spark))
         self._check_rules("months", months, quality.month_rules())
         self._check_rules("locations", locations, quality.location_rules())
         self._check_unique("months", months)
         self._check_unique("locations", locations)
-        if refresh_years is not None:
-            sources = {
-                name: frame.where(F.col("Year").isin(*refresh_years))
-                for name, frame in sources.items()
-            }
+        renewed = F.lit(True)
+        if refresh_years is not None and last is not None:
+            renewed = F.col("Year").isin(*refresh_years)
+            sources = {name: frame.where(renewed) for name, frame in sources.items()}
         fact = facts.conform_fact(**sources, locations=locations, types=types, months=months)
         detail = facts.build_spend_detail(sources["spend"], locations, types, months)
         for name, frame in (("fact", fact), ("spend_detail", detail)):
-            rebuild_table(
-                facts.with_calendar(frame).drop("MonthNumber"),
-                self.path(name),
-                partition_by=["Year"],
-                sort_by=["LocationKey", "DateKey"],
-                refresh=refresh_years is not None,
+            whole = facts.with_calendar(frame).drop("MonthNumber")
+            if refresh_years is not None and last is not None:
+                kept = self.spark.read.parquet(self._star_path(last, name)).where(~renewed)
+                whole = whole.unionByName(kept.withColumn("Year", F.col("Year").cast("int")))
+            written = build(
+                name, whole, partition_by=["Year"], sort_by=["LocationKey", "DateKey"]
             )
-        fact = self.table("fact")
-        self._check_unique("fact", fact)
-        for key, parent in (
-            ("DateKey", months),
-            ("LocationKey", locations),
-            ("VisitorTypeKey", types),
-        ):
-            self._check_orphans("fact", fact, key, parent, key)
+            if name == "fact":
+                self._check_rules("fact", written, [quality.not_null("FactID")])
+                self._check_unique("fact", written)
+            for key, parent in (
+                ("DateKey", months),
+                ("LocationKey", locations),
+                ("VisitorTypeKey", types),
+            ):
+                self._check_orphans(name, written, key, parent, key)
+        self._publish(version)
 
     # --- checks -----------------------------------------------------------------
 
@@ -240,7 +297,7 @@ class Warehouse:
             "missing_measures": quality.missing_measures(fact),
             "coverage_by_area": quality.coverage_by_area(fact, locations),
             "areas_represented": quality.areas_represented(fact, locations),
-            "month_completeness": quality.month_completeness(sources),
+            "month_completeness": quality.month_completeness(sources, self.table("months")),
             "coverage_gaps": quality.coverage_gaps(
                 sources["SpendData"], self.table("months"), locations
             ),
