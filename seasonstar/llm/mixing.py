@@ -223,9 +223,10 @@ def repeat_to_mix(documents: DataFrame, seed: int = 1) -> DataFrame:
         .groupBy("row_hash")
         .agg(F.sum(times).alias("__times"))
         .filter(F.col("__times") > 0)
+        .withColumnRenamed("row_hash", "__planned")
     )
     marked = documents.withColumn("__hash", row_hash(seed))
-    chosen = marked.join(plan, F.col("__hash") == F.col("row_hash")).dropDuplicates(["__hash"])
+    chosen = marked.join(plan, F.col("__hash") == F.col("__planned")).dropDuplicates(["__hash"])
     repeated = F.explode(F.sequence(F.lit(1).cast("long"), F.col("__times")))
     return chosen.withColumn("__pass", repeated).select(*documents.columns)
 
