@@ -301,6 +301,91 @@ class Demo:
         total = row("RTO", code, name, F.lit("All visitors"))
         return rows.select(F.inline(F.array(row(" RTO", code, name, segment), region, total)))
 
+    # --- rows that break rules or match no area --------------------------------
+
+    def _spoiled(self, usual: dict[str, Column], faults: list[dict[str, Column]]) -> DataFrame:
+        """A row per supplier and fault: the usual text with some columns replaced, the fault
+        chosen by the last digit of the supplier's key."""
+        digit = F.col("s_suppkey") % 10
+        columns = []
+        for name, value in usual.items():
+            for i, fault in enumerate(faults):
+                if name in fault:
+                    value = F.when(digit == i, fault[name]).otherwise(value)
+            columns.append(value.alias(name))
+        suppliers = self.table("supplier").join(
+            self._nations, F.col("s_nationkey") == F.col("nation")
+        )
+        return suppliers.where(digit < len(faults)).select(*columns)
+
+    @cached_property
+    def spoiled_nights(self) -> DataFrame:
+        """Guest nights with a negative and a blank value, no date, an unknown and a decomposed
+        area name, no property and no area."""
+        none, decomposed = F.lit(None).cast("string"), F.concat("name", F.lit("\u0301"))
+        usual = {
+            "Month": F.lit("1995-03-01"),
+            "Area type": F.lit("Regional Council"),
+            "Area": F.col("name"),
+            "Property": F.lit("Spoiled"),
+            "Measure": F.lit("Domestic guest nights"),
+            "Value": F.lit("7"),
+            "Flag": F.lit(""),
+        }
+        faults = [
+            {"Value": F.lit("-5")},
+            {"Value": F.lit(" ")},
+            {"Month": F.lit("soon")},
+            {"Area": F.lit("Atlantis"), "Area type": F.lit("RTO")},
+            {"Area": decomposed, "Area type": F.lit("RTO")},
+            {"Property": none},
+            {"Area": none},
+        ]
+        return self.raw_nights.unionByName(self._spoiled(usual, faults))
+
+    @cached_property
+    def spoiled_spend(self) -> DataFrame:
+        """Spending without date, product, origin or area, and of an unknown area."""
+        none = F.lit(None).cast("string")
+        usual = {
+            "Date": F.lit("1/03/1995"),
+            "RTO": F.lit(SPEND_LAYOUT.excluded_areas[0]),
+            "Product": F.lit("Spoiled"),
+            "Visitor Type": F.lit("International"),
+            "Origin": F.lit("Market A"),
+            "Annual Spend": F.lit("1"),
+            "Monthly Spend": F.lit("1"),
+        }
+        faults = [
+            {"Date": F.lit("soon")},
+            {"Product": none},
+            {"Origin": none},
+            {"RTO": F.concat(F.lit("Lost "), "name")},
+            {"RTO": none},
+        ]
+        return self.raw_spend.unionByName(self._spoiled(usual, faults))
+
+    @cached_property
+    def spoiled_visitors(self) -> DataFrame:
+        """Visitors with a negative and no count, no date, no name, and an unknown code."""
+        none = F.lit(None).cast("string")
+        usual = {
+            "Destination_code": F.lit("RTO01"),
+            "Destination": F.concat("name", F.lit(" RTO")),
+            "Population_segment": F.lit("Domestic visitor"),
+            "Date": F.lit("1995-03-01"),
+            "Monthly_unique_counts": F.lit("5"),
+            "Geographic_level_destination": F.lit("Region"),
+        }
+        faults = [
+            {"Monthly_unique_counts": F.lit("-5")},
+            {"Monthly_unique_counts": none},
+            {"Date": F.lit("soon")},
+            {"Destination": none},
+            {"Destination_code": F.lit("RTO99"), "Geographic_level_destination": F.lit("RTO")},
+        ]
+        return self.raw_visitors.unionByName(self._spoiled(usual, faults))
+
     # --- typed sources and star -----------------------------------------------
 
     @cached_property

@@ -128,21 +128,21 @@ def clean_spend(d: Demo) -> DataFrame:
 
 
 def _standardised(d: Demo):
-    """Source → (standardised rows, area keys, load window)."""
+    """Source, with spoiled rows added → (standardised rows, area keys, load window)."""
     mapping = d.mapping
     codes = mapping.select(F.col("RTO_Code").alias("AreaKey"), "RTO_Code")
     return {
         "nights": (
-            clean.standardise_nights(d.raw_nights, demo.NIGHTS_LAYOUT),
+            clean.standardise_nights(d.spoiled_nights, demo.NIGHTS_LAYOUT),
             clean.area_keys(mapping, clean.MAPPING.name),
             demo.WINDOW,
         ),
         "spend": (
-            clean.standardise_spend(d.raw_spend, demo.SPEND_LAYOUT),
+            clean.standardise_spend(d.spoiled_spend, demo.SPEND_LAYOUT),
             clean.area_keys(mapping, clean.MAPPING.label_ascii),
             demo.WINDOW,
         ),
-        "visitors": (clean.standardise_visitors(d.raw_visitors), codes, None),
+        "visitors": (clean.standardise_visitors(d.spoiled_visitors), codes, None),
     }
 
 
