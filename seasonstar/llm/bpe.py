@@ -1,9 +1,9 @@
 """Byte-level BPE through a table of distinct words.
 
-Texts are split into words by the tokenizer's own pattern in Spark. Documents are dealt to
-blocks of bounded size; each block asks for its distinct words, every distinct word of the
-corpus is encoded once, and the ids go back to the blocks that asked, where they are joined to
-the words by position. Decoding joins ids with the id-to-piece table, whose size is that of the
+Texts are split into words by the tokenizer's own pattern in Spark. Runs of documents, of
+bounded size, number their distinct words and ask for them; every distinct word of the corpus is
+encoded once, and the ids go back to the runs that asked, where they are joined to the numbered
+words by position. What is sent are compressed runs of numbers, words and ids, not a row per word. Decoding joins ids with the id-to-piece table, whose size is that of the
 vocabulary, and puts the pieces of a document together.
 """
 
@@ -11,9 +11,13 @@ from __future__ import annotations
 
 import hashlib
 import json
+import os
+import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
@@ -24,8 +28,15 @@ from seasonstar.llm.common import sent_by_value
 
 sent_by_value(__name__)
 
-#: Bytes of text in a block; a longer document is a block of its own size.
-BLOCK_BYTES = 24 << 20
+#: Bytes of text in a run at most, but for a longer document, which is a run of its own; runs end
+#: with their task. Bytes of text for each part of the word table, which then holds some 200,000
+#: distinct words.
+RUN_BYTES = 48 << 20
+PART_BYTES = 32 << 20
+#: Words whose ids are looked up at a time.
+WORDS_AT_A_TIME = 1 << 19
+#: Words at least so frequent in a run are numbered first, by frequency; the others by spelling.
+FREQUENT = 8
 #: The word pattern of the byte-level pre-tokenizer, white space as Unicode has it.
 SPACE = r"\p{IsWhite_Space}"
 WORDS = (
@@ -93,127 +104,284 @@ def _byte_alphabet() -> dict[str, int]:
 
 
 def _tokenizer(text: str) -> Tokenizer:
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark has given this task its cores
     made = Tokenizer.from_str(text)
     made.no_truncation()
     made.no_padding()
     return made
 
 
-def encode_words(words: DataFrame, vocabulary: Vocabulary) -> DataFrame:
-    """``words`` (block, word) with ``ids``: rows of a word come together and are encoded once."""
-    text = vocabulary.text
+def _blob(table: pa.Table) -> bytes:
+    """A table as compressed bytes: words and ids take a fraction of what rows of them take."""
+    sink = pa.BufferOutputStream()
+    options = pa.ipc.IpcWriteOptions(compression="zstd")
+    with pa.ipc.new_stream(sink, table.schema, options=options) as stream:
+        stream.write_table(table)
+    return sink.getvalue().to_pybytes()
+
+
+def _table(blob: bytes) -> pa.Table:
+    return pa.ipc.open_stream(blob).read_all()
+
+
+class _Run:
+    """Documents of a run: their ids and word counts, the distinct words, and word numbers."""
+
+    def __init__(self):
+        self.doc_ids, self.sizes, self.numbers, self.bytes = [], [], [], 0
+        self.place: dict[str, int] = {}
+
+    def add(self, rows: pa.RecordBatch, size: int) -> None:
+        lists = rows.column("words")
+        coded = lists.flatten().dictionary_encode()
+        words = coded.dictionary.to_pylist()
+        own = np.fromiter((self.place.setdefault(w, len(self.place)) for w in words), np.int32, len(words))
+        self.numbers.append(own[coded.indices.to_numpy()])
+        self.sizes.append(np.diff(lists.offsets.to_numpy()))
+        self.doc_ids.append(rows.column("doc_id"))
+        self.bytes += size
+
+    def blobs(self) -> tuple[bytes, bytes, bytes]:
+        """Documents, numbers of their words, and words by number: the frequent ones first, by
+        frequency, and the others by spelling, since both pack well in that order."""
+        numbers = np.concatenate(self.numbers)
+        count = np.bincount(numbers, minlength=len(self.place))
+        words = pa.array(list(self.place), pa.string())
+        spelling = pc.array_sort_indices(words).to_numpy()
+        rare = count[spelling] < FREQUENT
+        often = spelling[~rare]
+        order = np.concatenate([often[np.argsort(-count[often], kind="stable")], spelling[rare]])
+        place = np.empty(len(words), dtype=np.int32)
+        place[order] = np.arange(len(words), dtype=np.int32)
+        numbers = place[numbers]
+        sizes = pa.array(np.concatenate(self.sizes), pa.int32())
+        return (
+            _blob(pa.table({"doc_id": pa.chunked_array(self.doc_ids, pa.int64()), "size": sizes})),
+            _blob(
+                pa.table({"low": (numbers & 255).astype(np.uint8), "high": (numbers >> 8).astype(np.int32)})
+            ),
+            _blob(pa.table({"word": words.take(pa.array(order))})),
+        )
+
+
+def _runs(split: DataFrame) -> DataFrame:
+    """``split`` (doc_id, words) as a row per run: its digest, the documents with the numbers of
+    their words, and the words by number. Runs are cut from the rows as they are stored, so a
+    task that runs again cuts the same ones; if it ever did not, the digest would not be found."""
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def packed() -> pa.RecordBatch:
+            documents, numbers, words = run.blobs()
+            digest = hashlib.blake2b(documents + numbers + words, digest_size=16).digest()
+            return pa.RecordBatch.from_arrays(
+                [pa.array([x], pa.binary()) for x in (digest, documents, numbers, words)],
+                ["run", "documents", "numbers", "words"],
+            )
+
+        run = _Run()
+        for batch in batches:
+            lists = batch.column("words")
+            length = pc.binary_length(lists.flatten()).to_numpy(zero_copy_only=False)
+            upto = np.concatenate([[0], np.cumsum(length, dtype=np.int64)])
+            upto = upto[lists.offsets.to_numpy() - lists.offsets[0].as_py()]
+            begin = 0
+            while begin < batch.num_rows:
+                end = int(np.searchsorted(upto, upto[begin] + RUN_BYTES - run.bytes, side="right")) - 1
+                if end <= begin and run.doc_ids:
+                    yield packed()
+                    run = _Run()
+                    continue
+                end = max(end, begin + 1)
+                run.add(batch.slice(begin, end - begin), int(upto[end] - upto[begin]))
+                begin = end
+            pa.default_memory_pool().release_unused()
+        if run.doc_ids:
+            yield packed()
+
+    return split.select("doc_id", "words").mapInArrow(
+        pack, "run binary, documents binary, numbers binary, words binary"
+    )
+
+
+def _dealt(words: list[str], parts: int) -> list[tuple[int, np.ndarray]]:
+    """The places of the words that go to each part, by a hash of the word."""
+    part = np.fromiter((zlib.crc32(w.encode()) % parts for w in words), np.int64, len(words))
+    order = np.argsort(part, kind="stable")
+    starts = np.flatnonzero(np.diff(part[order], prepend=-1))
+    return [(int(part[own[0]]), own) for own in np.split(order, starts)[1:]]
 
-    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def _asked(runs: DataFrame, parts: int) -> DataFrame:
+    """The words of each run, dealt to the parts."""
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for run, blob in zip(batch.column("run"), batch.column("words"), strict=True):
+                words = _table(blob.as_py()).column("word").combine_chunks()
+                dealt = _dealt(words.to_pylist(), parts)
+                blobs = [_blob(pa.table({"word": words.take(pa.array(own))})) for _, own in dealt]
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array([part for part, _ in dealt], pa.int64()),
+                        pa.array([run.as_py()] * len(blobs), pa.binary()),
+                        pa.array(blobs, pa.binary()),
+                    ],
+                    ["part", "run", "blob"],
+                )
+
+    return runs.mapInArrow(ask, "part long, run binary, blob binary")
+
+
+def _answered(asked: DataFrame, text: str) -> DataFrame:
+    """Every request with the ids of its words, in its order. The requests of a part come together,
+    and each distinct word of a part is encoded at its first occurrence only."""
+
+    def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer = _tokenizer(text)
-        last, last_ids = None, []
+        last = None
         for batch in batches:
-            coded = batch.column("word").dictionary_encode()
-            distinct = coded.dictionary.to_pylist()
-            ids = [e.ids for e in tokenizer.encode_batch(
-                [w for w in distinct if w != last], add_special_tokens=False)]
-            if last in distinct:
-                ids.insert(distinct.index(last), last_ids)
-            if distinct:
-                last, last_ids = distinct[-1], ids[-1]
-            taken = pa.array(ids, pa.list_(pa.int32())).take(coded.indices)
+            blobs = []
+            for part, blob in zip(batch.column("part"), batch.column("blob"), strict=True):
+                if part != last:
+                    last, known, size, ids = part, {}, array("i"), array("i")
+                words = _table(blob.as_py()).column("word").to_pylist()
+                new = [word for word in words if word not in known]
+                for word, one in zip(new, tokenizer.encode_batch(new, add_special_tokens=False), strict=True):
+                    known[word] = len(known)
+                    size.append(len(one.ids))
+                    ids.extend(one.ids)
+                sizes = np.array(size, dtype=np.int32)
+                at = np.fromiter((known[word] for word in words), np.int64, len(words))
+                starts = np.cumsum(sizes, dtype=np.int64) - sizes
+                flat, _ = _ragged(np.array(ids, dtype=np.int32), starts[at], sizes[at])
+                blobs.append(
+                    _blob(pa.table({"size": sizes[at]})) + _blob(pa.table({"id": flat}))
+                )
             yield pa.RecordBatch.from_arrays(
-                [batch.column("block"), batch.column("word"), taken], ["block", "word", "ids"]
+                [batch.column("part"), batch.column("run"), pa.array(blobs, pa.binary())],
+                ["part", "run", "blob"],
             )
 
-    together = words.select("block", "word").repartition("word").sortWithinPartitions("word")
-    return together.mapInArrow(encode, "block long, word string, ids array<int>")
+    together = asked.repartition("part").sortWithinPartitions("part")
+    return together.mapInArrow(answer, "part long, run binary, blob binary")
 
 
-def _ids_by_position(words: pa.Array, table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-    """Ids of ``words`` one after the other, and where the ids of each word begin."""
-    place = pc.index_in(words, value_set=table.column("word").combine_chunks())
-    if place.null_count:
-        raise ValueError("a word is missing from the word table")
-    place = place.to_numpy(zero_copy_only=False)
-    lists = table.column("ids").combine_chunks()
-    first = lists.offsets.to_numpy()
-    flat = lists.values.to_numpy(zero_copy_only=False)
-    sizes = np.diff(first)[place]
-    starts = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
-    within = np.arange(starts[-1]) - np.repeat(starts[:-1], sizes)
-    return flat[np.repeat(first[place], sizes) + within], starts
+def _array(table: pa.Table, name: str) -> np.ndarray:
+    return table.column(name).combine_chunks().to_numpy(zero_copy_only=False)
+
+
+def _dictionary(words: list[str], answered: dict[int, bytes], parts: int) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of a run's words by number: all ids one after the other, and where a word's begin."""
+    at, size, ids = [np.empty(0, np.int64)], [np.empty(0, np.int32)], [np.empty(0, np.int32)]
+    for part, own in _dealt(words, parts):
+        if part not in answered:
+            raise ValueError("a run of documents was cut differently when it was read again")
+        reader = pa.BufferReader(answered[part])
+        at.append(own)
+        size.append(_array(pa.ipc.open_stream(reader).read_all(), "size"))
+        ids.append(_array(pa.ipc.open_stream(reader).read_all(), "id"))
+    place = np.argsort(np.concatenate(at), kind="stable")
+    sizes, flat = np.concatenate(size), np.concatenate(ids)
+    starts = np.cumsum(sizes, dtype=np.int64) - sizes
+    return _ragged(flat, starts[place], sizes[place])
+
+
+def _ragged(flat: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Stretches of ``flat`` one after the other, and where each begins in the result."""
+    begins = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
+    within = np.arange(begins[-1]) - np.repeat(begins[:-1], sizes)
+    return flat[np.repeat(starts, sizes) + within], begins
 
 
 def decode_ids(ids: list[int], pieces: list[bytes]) -> str:
-    """The text of ``ids``: their pieces, joined by id and read as UTF-8."""
+    """The text of ``ids``: each joined to its piece, and the pieces read as UTF-8."""
     return b"".join(map(pieces.__getitem__, ids)).decode("utf-8", "replace")
 
 
 def encode(
-    documents: DataFrame,
-    vocabulary: Vocabulary,
-    digest: bool = False,
-    block_bytes: int = BLOCK_BYTES,
+    documents: DataFrame, vocabulary: Vocabulary, digest: bool = False
 ) -> DataFrame:
-    """Per row of ``documents``: doc_id, ``ids`` and ``decoded``; with ``digest`` their hashes.
+    """Per row of ``documents``: doc_id, n_tokens and ``ids``; with ``digest`` the hashes of the
+    ids and of the text decoded from them.
 
-    Texts cross the network once, to their blocks; the exchange is shared by both sides of the
-    join. A NULL text is empty and has no ids. Rows may repeat. Other columns are ignored; an
-    empty table gives an empty result. Blocks hold ``block_bytes`` on average, and rows of a
-    block are decided by a hash of doc_id and text.
+    The numbered words of the texts cross the network once, compressed, to their ids; the exchange
+    is shared by both sides of the join. A NULL text is empty and has no ids. Rows may repeat.
+    Other columns are ignored; an empty table gives an empty result. ``documents`` has to be a
+    stored table, or anything else that gives its rows in the same order when read again.
     """
     text = F.coalesce("text", F.lit(""))
     total = documents.agg(F.sum(F.octet_length(text).cast("long"))).first()[0] or 0
-    blocks = max(1, -(-total // block_bytes))
-    block = F.pmod(F.xxhash64("doc_id", text), F.lit(blocks)).cast("long")
-    placed = documents.select("doc_id", text.alias("text"), block.alias("block")).repartition(
-        blocks, "block"
-    )
-    # the smallest doc_id makes both uses of the exchange read the same columns, so it is shared
-    asked = (
-        placed.select("block", "doc_id", F.explode(vocabulary.words(F.col("text"))).alias("word"))
-        .groupBy("block", "word")
-        .agg(F.min("doc_id").alias("first"))
-        .filter(F.col("first").isNotNull() | F.col("word").isNotNull())
-    )
-    answers = encode_words(asked, vocabulary)
-    split = placed.select("block", "doc_id", vocabulary.words(F.col("text")).alias("words"))
+    runs = _runs(documents.select("doc_id", vocabulary.words(text).alias("words")))
+    placed = runs.repartition("run")
+    parts = max(1, -(-total // PART_BYTES))
+    answers = _answered(_asked(placed, parts), vocabulary.text)
     pieces = vocabulary.pieces
     names = [str(i) for i in range(len(pieces))]
 
-    def join(rows: pa.Table, table: pa.Table) -> pa.Table:
-        lists = rows.column("words").combine_chunks()
-        ends = lists.offsets.to_numpy()
-        flat, starts = _ids_by_position(lists.flatten(), table)
-        bounds = starts[ends - ends[0]]
-        out: dict[str, list] = {"n": [], "a": [], "b": []}
-        for i in range(rows.num_rows):
-            ids = flat[bounds[i] : bounds[i + 1]].tolist()
-            decoded = decode_ids(ids, pieces)
-            out["n"].append(len(ids))
+    def join(rows: pa.Table, answered: pa.Table) -> pa.Table:
+        out: dict[str, list] = {name: [] for name in columns}
+
+        def finish(ids: list[int]) -> None:
+            out["n_tokens"].append(len(ids))
             if digest:
                 text_ids = ",".join(map(names.__getitem__, ids))
-                out["a"].append(hashlib.sha256(text_ids.encode()).hexdigest())
-                out["b"].append(hashlib.sha256(decoded.encode()).hexdigest())
+                decoded = decode_ids(ids, pieces)
+                out["ids_sha256"].append(hashlib.sha256(text_ids.encode()).hexdigest())
+                out["decoded_sha256"].append(hashlib.sha256(decoded.encode()).hexdigest())
             else:
-                out["a"].append(ids)
-                out["b"].append(decoded)
-        kind = pa.string() if digest else pa.list_(pa.int32())
-        return pa.table(
-            {
-                "doc_id": rows.column("doc_id"),
-                "n_tokens": pa.array(out["n"], pa.int64()),
-                "ids_sha256" if digest else "ids": pa.array(out["a"], kind),
-                "decoded_sha256" if digest else "decoded": pa.array(out["b"], pa.string()),
-            }
-        )
-
-    schema = (
-        "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
+                out["ids"].append(ids)
+
+        # rows are runs that are equal, so one dictionary does for all of them
+        found = dict(zip(answered.column("part").to_pylist(), answered.column("blob").to_pylist(), strict=True))
+        words = _table(rows.column("words")[0].as_py()).column("word").to_pylist()
+        flat, begins = _dictionary(words, found, parts)
+        width = np.diff(begins)
+        for row in range(rows.num_rows):
+            table = _table(rows.column("numbers")[row].as_py())
+            numbers = _array(table, "low") + (_array(table, "high") << 8)
+            own = _table(rows.column("documents")[row].as_py())
+            ends = np.concatenate([[0], np.cumsum(_array(own, "size"), dtype=np.int64)])
+            out["doc_id"] += own.column("doc_id").to_pylist()
+            first = 0
+            while first < own.num_rows:  # some documents at a time
+                last = int(np.searchsorted(ends, ends[first] + WORDS_AT_A_TIME, side="right")) - 1
+                last = max(last, first + 1)
+                some = numbers[ends[first] : ends[last]]
+                ids, starts = _ragged(flat, begins[some], width[some])
+                bounds = starts[ends[first : last + 1] - ends[first]]
+                for begin, end in zip(bounds, bounds[1:], strict=False):
+                    finish(ids[begin:end].tolist())
+                first = last
+        return pa.table({name: pa.array(out[name], kind) for name, kind in columns.items()})
+
+    columns = {"doc_id": pa.int64(), "n_tokens": pa.int64()} | (
+        {"ids_sha256": pa.string(), "decoded_sha256": pa.string()}
         if digest
-        else "doc_id long, n_tokens long, ids array<int>, decoded string"
+        else {"ids": pa.list_(pa.int32())}
+    )
+    schema = "doc_id long, n_tokens long, " + (
+        "ids_sha256 string, decoded_sha256 string" if digest else "ids array<int>"
     )
-    return split.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(join, schema)
+    return placed.groupBy("run").cogroup(answers.groupBy("run")).applyInArrow(join, schema)
 
 
-def op6_bpe(documents: DataFrame, path: str | None = None) -> DataFrame:
-    if path is None:
-        import public_tokenizers
+def decode(tokens: DataFrame, vocabulary: Vocabulary) -> DataFrame:
+    """``tokens`` (column ``ids``) with ``text``, joined from the id-to-piece table, which has the
+    bounded size of the vocabulary and goes to every task. NULL ids are an empty text."""
+    pieces = vocabulary.pieces
+
+    @F.pandas_udf("string")
+    def decoded(ids: pd.Series) -> pd.Series:
+        return ids.map(lambda x: "" if x is None else decode_ids(x.tolist(), pieces))
+
+    return tokens.withColumn("text", decoded("ids"))
+
 
-        path = public_tokenizers.path("byte_bpe_50k.json")
-    return encode(documents, Vocabulary(path), digest=True)
+def public_path(name: str = "byte_bpe_50k.json") -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op6_bpe(documents: DataFrame, path: str | None = None) -> DataFrame:
+    return encode(documents, Vocabulary(path or public_path()), digest=True)
