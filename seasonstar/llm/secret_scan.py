@@ -39,8 +39,10 @@ MAX_SAMPLES = 20_000
 SAMPLE_DOCUMENTS = 2_000
 #: Log-likelihood ratio, in nats per character, from which a token counts as random.
 MIN_RATIO = 0.5
-#: Imagined observations of every pair of characters, so that no probability is zero.
-PRIOR = 0.5
+#: Imagined observations: of every character, and of what follows a character, in the shares that
+#: characters have anyway. So no probability is zero, and what never follows an unseen character
+#: is judged by how rare it is.
+PRIOR, FOLLOWERS = 0.5, 20.0
 
 _NONE = "array<struct<start:int,kind:int,end:int>>"
 
@@ -156,7 +158,9 @@ def labelled_samples(
     return some(matched, 1).unionAll(some(plain, 0))
 
 
-def train(samples: DataFrame, prior: float = PRIOR) -> list[float]:
+def train(
+    samples: DataFrame, prior: float = PRIOR, followers: float = FOLLOWERS
+) -> list[float]:
     """Log-likelihood ratio of every pair of characters, random over ordinary.
 
     ``samples`` has ``label`` and ``value``. What comes to the driver is a count for each label
@@ -168,13 +172,17 @@ def train(samples: DataFrame, prior: float = PRIOR) -> list[float]:
         .count()
         .collect()
     )
-    tables = {label: [prior] * (WIDTH * WIDTH) for label in (0, 1)}
+    tables = {label: [0.0] * (WIDTH * WIDTH) for label in (0, 1)}
     for label, pair, count in counted:
         tables[label][pair] += count
     logs = {}
     for label, pairs in tables.items():
-        totals = [sum(pairs[i * WIDTH : (i + 1) * WIDTH]) for i in range(WIDTH)]
-        logs[label] = [log(count / totals[i // WIDTH]) for i, count in enumerate(pairs)]
+        seen = [prior + sum(pairs[c::WIDTH]) for c in range(WIDTH)]
+        share = [n / sum(seen) for n in seen]
+        after = [sum(pairs[i * WIDTH : (i + 1) * WIDTH]) + followers for i in range(WIDTH)]
+        logs[label] = [
+            log((n + followers * share[i % WIDTH]) / after[i // WIDTH]) for i, n in enumerate(pairs)
+        ]
     return [a - b for a, b in zip(logs[1], logs[0], strict=True)]
 
 
