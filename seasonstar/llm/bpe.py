@@ -319,17 +319,24 @@ def encode(
     names = [str(i) for i in range(len(pieces))]
 
     def join(rows: pa.Table, answered: pa.Table) -> pa.Table:
-        out: dict[str, list] = {name: [] for name in columns}
+        out = []
 
-        def finish(ids: list[int]) -> None:
-            out["n_tokens"].append(len(ids))
+        def finish(doc_ids: pa.ChunkedArray, ids: np.ndarray, bounds: np.ndarray) -> None:
+            made = {"doc_id": doc_ids, "n_tokens": pa.array(np.diff(bounds), pa.int64())}
             if digest:
-                text_ids = ",".join(map(names.__getitem__, ids))
-                decoded = decode_ids(ids, pieces)
-                out["ids_sha256"].append(hashlib.sha256(text_ids.encode()).hexdigest())
-                out["decoded_sha256"].append(hashlib.sha256(decoded.encode()).hexdigest())
+                hashes: list[tuple[str, str]] = []
+                for begin, end in zip(bounds, bounds[1:], strict=False):
+                    own = ids[begin:end].tolist()
+                    text_ids = ",".join(map(names.__getitem__, own)).encode()
+                    decoded = decode_ids(own, pieces).encode()
+                    hashes.append(tuple(hashlib.sha256(x).hexdigest() for x in (text_ids, decoded)))
+                made["ids_sha256"] = pa.array([h[0] for h in hashes], pa.string())
+                made["decoded_sha256"] = pa.array([h[1] for h in hashes], pa.string())
             else:
-                out["ids"].append(ids)
+                made["ids"] = pa.ListArray.from_arrays(
+                    pa.array(bounds, pa.int32()), pa.array(ids, pa.int32())
+                )
+            out.append(pa.table(made).cast(pa.schema(list(columns.items()))))
 
         # rows are runs that are equal, so one dictionary does for all of them
         found = dict(zip(answered.column("part").to_pylist(), answered.column("blob").to_pylist(), strict=True))
@@ -341,7 +348,6 @@ def encode(
             numbers = _array(table, "low") + (_array(table, "high") << 8)
             own = _table(rows.column("documents")[row].as_py())
             ends = np.concatenate([[0], np.cumsum(_array(own, "size"), dtype=np.int64)])
-            out["doc_id"] += own.column("doc_id").to_pylist()
             first = 0
             while first < own.num_rows:  # some documents at a time
                 last = int(np.searchsorted(ends, ends[first] + WORDS_AT_A_TIME, side="right")) - 1
@@ -349,10 +355,10 @@ def encode(
                 some = numbers[ends[first] : ends[last]]
                 ids, starts = _ragged(flat, begins[some], width[some])
                 bounds = starts[ends[first : last + 1] - ends[first]]
-                for begin, end in zip(bounds, bounds[1:], strict=False):
-                    finish(ids[begin:end].tolist())
+                finish(own.column("doc_id").slice(first, last - first), ids, bounds)
                 first = last
-        return pa.table({name: pa.array(out[name], kind) for name, kind in columns.items()})
+        pa.default_memory_pool().release_unused()
+        return pa.concat_tables(out)
 
     columns = {"doc_id": pa.int64(), "n_tokens": pa.int64()} | (
         {"ids_sha256": pa.string(), "decoded_sha256": pa.string()}
