@@ -2,7 +2,8 @@
 
 Two first-order models over characters, one of random strings and one of ordinary
 identifiers, are trained from labelled samples: values that the patterns find, and words
-outside of them. Long tokens whose likelihood under the first exceeds that under the second by
+outside of them. The first also learns the usual alphabets of random strings in fixed shares, as
+the values found may all be of one kind. Long tokens whose likelihood under the first exceeds that under the second by
 enough per character are reported as kind ``markov``. All of it is expressions of one row; the
 model is a table of fixed size.
 """
@@ -37,6 +38,18 @@ WIDTH = len(ALPHABET) + 1
 #: ordinary identifiers are taken from (in expectation).
 MAX_SAMPLES = 20_000
 SAMPLE_DOCUMENTS = 2_000
+#: Alphabets that random strings are written in, by kind. The random model counts every kind with
+#: KIND_PAIRS pairs of characters, dealt evenly to its alphabets and in them to all pairs, as
+#: strings of KIND_LENGTH characters have them on average; and the values found with as many
+#: pairs at most. So what the patterns find cannot crowd out the kinds they do not find. The
+#: signs - _ / are left to what is found: they join words and paths, which would look random.
+RANDOM_KINDS = {
+    "hex": ("0123456789abcdef", "0123456789ABCDEF"),
+    "base32": (ALPHABET[:26] + "234567",),
+    "base62": (ALPHABET[:62],),
+    "base64": (ALPHABET[:62] + "+",),
+}
+KIND_PAIRS, KIND_LENGTH = 100_000, 32
 #: Log-likelihood ratio, in nats per character, from which a token counts as random.
 MIN_RATIO = 0.5
 #: Imagined observations: of every character, and of what follows a character, in the shares that
@@ -158,13 +171,30 @@ def labelled_samples(
     return some(matched, 1).unionAll(some(plain, 0))
 
 
+def random_pairs() -> list[float]:
+    """Pairs of characters, by number, of random strings of every kind."""
+    out = [0.0] * (WIDTH * WIDTH)
+    for alphabets in RANDOM_KINDS.values():
+        for letters in alphabets:
+            numbers = [ALPHABET.index(c) + 1 for c in letters]
+            strings = KIND_PAIRS / KIND_LENGTH / len(alphabets)
+            for first in numbers:
+                out[first] += strings / len(numbers)
+                for second in numbers:
+                    pairs = strings * (KIND_LENGTH - 1) / len(numbers) ** 2
+                    out[first * WIDTH + second] += pairs
+    return out
+
+
 def train(
     samples: DataFrame, prior: float = PRIOR, followers: float = FOLLOWERS
 ) -> list[float]:
     """Log-likelihood ratio of every pair of characters, random over ordinary.
 
     ``samples`` has ``label`` and ``value``. What comes to the driver is a count for each label
-    and pair, at most 2 * WIDTH ** 2. Without samples of a label, its model is uniform.
+    and pair, at most 2 * WIDTH ** 2. The random model knows the pairs of RANDOM_KINDS besides its
+    samples, which weigh as much as one kind at most. Without samples of label 0, its model is
+    uniform.
     """
     counted = (
         samples.select("label", F.explode(let(_numbers(F.col("value")), _pairs)).alias("pair"))
@@ -175,6 +205,8 @@ def train(
     tables = {label: [0.0] * (WIDTH * WIDTH) for label in (0, 1)}
     for label, pair, count in counted:
         tables[label][pair] += count
+    weight = min(1.0, KIND_PAIRS / max(sum(tables[1]), 1))
+    tables[1] = [weight * n + m for n, m in zip(tables[1], random_pairs(), strict=True)]
     logs = {}
     for label, pairs in tables.items():
         seen = [prior + sum(pairs[c::WIDTH]) for c in range(WIDTH)]
