@@ -136,11 +136,12 @@ def _pairs(numbers: Column) -> Column:
 def labelled_samples(
     documents: DataFrame, max_samples: int = MAX_SAMPLES, sample_documents: int = SAMPLE_DOCUMENTS
 ) -> DataFrame:
-    """At most ``max_samples`` strings of each ``label``: 1 random, 0 ordinary.
+    """At most ``max_samples`` distinct strings of each ``label``: 1 random, 0 ordinary.
 
     Values of pattern matches anywhere are label 1. Identifiers of documents without a match,
     from about ``sample_documents`` documents chosen by a hash of their text, are label 0. Of
-    each label those with the smallest hashes are kept, so reruns agree.
+    each label those with the smallest hashes are kept, so reruns agree. A string counts once,
+    however many copies there are.
     """
     text = F.coalesce("text", F.lit(""))
     rows = documents.select(text.alias("text"))
@@ -165,7 +166,7 @@ def labelled_samples(
     )
 
     def some(values: DataFrame, label: int) -> DataFrame:
-        kept = values.orderBy(F.xxhash64("value"), "value").limit(max_samples)
+        kept = values.distinct().orderBy(F.xxhash64("value"), "value").limit(max_samples)
         return kept.select(F.lit(label).alias("label"), "value")
 
     return some(matched, 1).unionAll(some(plain, 0))
