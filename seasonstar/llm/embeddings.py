@@ -29,7 +29,7 @@ SAMPLE = 4096
 ITERATIONS = 20
 MOST_BITS = 128
 #: Share of simulated pairs at the threshold that the tables have to bring together; tables
-#: are added until then, up to the last number.
+#: are added until then, up to the last number, and keys shortened if that is not enough.
 FOUND, MOST_TABLES = 0.995, 256
 #: The radius holds this share of simulated pairs at the threshold.
 INSIDE = 0.9999
@@ -69,7 +69,8 @@ def _rotation(projected: np.ndarray, random: np.random.Generator) -> np.ndarray:
 
 
 def learn(sample: np.ndarray, count: int, threshold: float = THRESHOLD, seed: int = 1) -> Coder:
-    """Codes for about ``count`` vectors: keys as long as a bucket of one vector asks for.
+    """Codes for about ``count`` vectors: keys as long as a bucket of one vector asks for, shorter
+    if MOST_TABLES of them bring too few pairs together.
 
     How many tables that takes, and the radius, come from simulated partners of the sample at
     exactly the threshold. Each rotation starts from another random one.
@@ -96,6 +97,12 @@ def learn(sample: np.ndarray, count: int, threshold: float = THRESHOLD, seed: in
         if found[-1] >= FOUND or tables == MOST_TABLES:
             tables = min(tables, int(np.argmax(found >= FOUND)) + 1) if found[-1] >= FOUND else tables
             break
+    while found[-1] < FOUND and key_bits > 1:
+        key_bits -= 1
+        same = (one == two)[:, : tables * key_bits].reshape(len(one), tables, key_bits).all(axis=2)
+        found = np.maximum.accumulate(same, axis=1).mean(axis=0)
+    if found[-1] < FOUND:
+        raise ValueError(f"{tables} tables bring together {found[-1]:.4f} of the pairs at {threshold}")
     projection = projection[:, : max(tables * key_bits, 256)]
     distance = (one != two)[:, : projection.shape[1]].sum(axis=1)
     radius = int(np.quantile(distance, INSIDE)) + 1

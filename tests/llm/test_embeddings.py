@@ -4,6 +4,7 @@ import math
 import random
 
 import numpy as np
+import pytest
 
 from seasonstar.llm import embeddings
 
@@ -99,6 +100,24 @@ def test_copies_are_handled_once(spark):
     assert {(r.n_links, r.component_id) for r in found} == {(499, 0)}
 
 
+def test_keys_are_shortened_for_vectors_around_a_common_mean(monkeypatch):
+    monkeypatch.setattr(embeddings, "MOST_TABLES", 32)
+    random = np.random.default_rng(6)
+    vectors = random.standard_normal((1_000, 32)) + 2.0
+    coder = embeddings.learn(vectors, 10_000_000)
+    assert coder.key_bits < 24
+    unit = vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
+    noise = random.standard_normal(unit.shape)
+    noise -= (noise * unit).sum(axis=1, keepdims=True) * unit
+    noise /= np.linalg.norm(noise, axis=1, keepdims=True)
+    partner = 0.95 * unit + math.sqrt(1 - 0.95**2) * noise
+    keys = [coder.keys(coder.bits(v)) for v in (unit, partner)]
+    assert (keys[0] == keys[1]).any(axis=1).mean() >= 0.98
+    monkeypatch.setattr(embeddings, "FOUND", 1.1)
+    with pytest.raises(ValueError, match="bring together"):
+        embeddings.learn(vectors, 10_000_000)
+
+
 def test_rotation_is_orthogonal_and_codes_are_balanced():
     vectors = planted(800, 0, 0, 32, 5).astype(np.float64) + 0.3
     coder = embeddings.learn(vectors, 800)
