@@ -185,6 +185,12 @@ def text_hash() -> Column:
     return F.xxhash64("text")
 
 
+def _row_name() -> list[Column]:
+    """What a row is found by: doc_ids may be NULL, or have several texts."""
+    own = F.coalesce("doc_id", F.lit(0)).alias("id")
+    return [F.col("doc_id").isNull().alias("no_id"), own, F.col("text_hash")]
+
+
 def _banded(classes: DataFrame) -> DataFrame:
     """A row per class and band: a hash of the band and its values, and the class's key."""
 
@@ -272,11 +278,6 @@ def _verified(blocks: DataFrame, threshold: float, tolerance: float) -> DataFram
     def verify(table: pa.Table) -> pa.Table:
         table = table.sort_by("key")
         keys = table.column("key").to_pylist()
-        # repeated rows of a document bring its class more than once
-        fresh = [i == 0 or keys[i] != keys[i - 1] for i in range(len(keys))]
-        if not all(fresh):
-            table = table.filter(pa.array(fresh))
-            keys = table.column("key").to_pylist()
         block = table.column("block").to_numpy()
         copies = table.column("copies").to_numpy()
         packed = b"".join(table.column("signature").to_pylist())
@@ -338,6 +339,7 @@ def jaccard_links(
         .groupBy("key")
         .agg(
             F.min("doc_id").alias("doc_id"),
+            F.min(F.struct(*_row_name())).alias("row"),
             F.count(F.lit(1)).alias("copies"),
             F.max("bytes").alias("bytes"),
             F.first("signature").alias("signature"),
@@ -402,8 +404,11 @@ def _cluster_links(
         .withColumn("block", F.floor(F.coalesce(before, F.lit(0)) / BLOCK_BYTES).cast("int"))
         .withColumn("last", F.max("block").over(Window.partitionBy("cluster")))
     )
+    named = rows.withColumn("text_hash", text_hash())
+    texts = named.select(*_row_name(), "text").dropDuplicates(["no_id", "id", "text_hash"])
     blocks = (
-        _checked(placed.drop("bytes").join(rows, "doc_id"))
+        placed.select("cluster", "block", "last", "key", "copies", "signature", "row.*")
+        .join(texts, ["no_id", "id", "text_hash"])
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("last"))))
         .withColumn("low", F.least("block", "other"))
         .withColumn("high", F.greatest("block", "other"))
@@ -415,22 +420,6 @@ def _cluster_links(
     )
 
 
-def _checked(joined: DataFrame) -> DataFrame:
-    """Rows whose text has the shingle set that ``key`` names: a doc_id may have several texts."""
-    names = joined.columns
-
-    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts, keys = batch.column("text"), batch.column("key")
-            right = [
-                hashlib.blake2b(shingles(t.as_py()).tobytes(), digest_size=16).digest() == k.as_py()
-                for t, k in zip(texts, keys, strict=True)
-            ]
-            yield batch.filter(pa.array(right, pa.bool_())).select(names)
-
-    return joined.mapInArrow(check, joined.schema)
-
-
 def drop_near_duplicates(
     documents: DataFrame, threshold: float = THRESHOLD, tolerance: float = TOLERANCE
 ) -> DataFrame:

@@ -88,6 +88,16 @@ def test_one_row_of_each_class_stays(spark):
     assert texts == Counter({(r[0], r[1]): 2 if r[1] is None else 1 for r in AWKWARD})
 
 
+def test_near_copies_without_an_id_are_linked(spark):
+    words = [f"w{i}" for i in range(60)]
+    near = [" ".join([*words, end]) for end in ("one", "two", "three")]
+    rows = [(None, near[0]), (None, near[1]), (None, near[1]), (7, near[2]), (7, "of another kind, quite")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    found = Counter((r.doc_id, r.class_id, r.n_links) for r in jaccard.op5_jaccard(frame).collect())
+    assert found == Counter({(None, 7, 3): 3, (7, 7, 3): 1, (7, 7, 0): 1})
+    assert jaccard.drop_near_duplicates(frame).count() == 2
+
+
 def test_word_hashes_do_not_depend_on_the_pieces(monkeypatch):
     text = " ".join(f"wörd{i % 97}" for i in range(3000)) + " " + "y" * 3000 + " end"
     whole = jaccard.word_hashes(text)
