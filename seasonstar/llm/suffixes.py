@@ -301,13 +301,19 @@ def _packed(rows: DataFrame) -> DataFrame:
 
 def _documents(rows: pa.Table, copies: pa.Table | None = None) -> Iterator[tuple]:
     """doc_id (NULL: below all others), text as bytes and whether it is a copy, of the documents
-    of a block."""
-    later = set(copies.column("doc_id").to_pylist()) if copies is not None else set()
+    of a block. Copies are told by doc_id and hash, as a doc_id may have several texts."""
+    later: dict[int, set[bytes]] = {}
+    if copies is not None:
+        told = zip(copies.column("doc_id").to_pylist(), copies.column("blob").to_pylist(), strict=True)
+        for doc_id, mark in told:
+            later.setdefault(doc_id, set()).add(mark)
     for blob in rows.column("blob"):
         table = _table(blob.as_py())
         for doc_id, text in zip(table.column("doc_id"), table.column("text"), strict=True):
             doc_id = NO_ID if doc_id.as_py() is None else doc_id.as_py()
-            yield doc_id, text.as_py().encode("utf-8", "replace"), doc_id in later
+            data = text.as_py().encode("utf-8", "replace")
+            marks = later.get(doc_id)
+            yield doc_id, data, marks is not None and hashlib.sha256(data).digest() in marks
 
 
 def _of_kind(told: pa.Table, kind: int) -> pa.Table:
@@ -581,7 +587,7 @@ def remove_repeats(
             "block",
             F.lit(0).alias("kind"),
             "doc_id",
-            F.lit(None).cast("binary").alias("blob"),
+            F.unhex("mark").alias("blob"),
         )
     )
     hashes = _tell_hashes(_ask_hashes(placed, copies, parts))

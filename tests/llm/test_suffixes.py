@@ -65,6 +65,15 @@ def test_awkward_and_empty_tables(spark):
     assert suffixes.op7_suffix_dedup(empty(spark)).collect() == []
 
 
+def test_another_text_with_the_id_of_a_copy_stays(spark):
+    rnd = random.Random(5)
+    one, two = ("".join(rnd.choices("abcdef ", k=300)) for _ in range(2))
+    documents = [(1, one), (5, one), (5, two), (6, two[:150] + "x")]
+    frame = spark.createDataFrame(documents, "doc_id long, text string")
+    found = suffixes.remove_repeats(frame, digest=True).collect()
+    assert sorted(map(tuple, found)) == sorted(brute(documents))
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.lists(LETTERS, max_size=40), st.sampled_from([0, 8, 32]))
 def test_deep_shallow_order_is_sorted_order(strings, shallow):
