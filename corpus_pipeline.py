@@ -41,8 +41,9 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of every document."""
-    return bpe.encode(docs, bpe.Vocabulary(bpe.public_path()))
+    """Token ids of every document, and the text decoded from them."""
+    vocabulary = bpe.Vocabulary(bpe.public_path())
+    return bpe.decode(bpe.encode(docs, vocabulary), vocabulary)
 
 
 STAGES = [

@@ -71,3 +71,11 @@ def test_registered_queries():
         assert len([x for x in names if x.startswith(f"op{n}_")]) == 1
     assert set(entry.oracle_sql()) <= names
     assert DOCS.startswith("doc_id")
+
+
+def test_the_last_stage_decodes_what_it_encodes(spark):
+    rows = [(1, "déjà vu, load_table(7)\n\n  tail"), (1, "another text"), (2, ""), (None, "no id")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    found = corpus_pipeline.tokens(spark, frame, "").collect()
+    assert Counter((r.doc_id, r.text) for r in found) == Counter(rows)
+    assert all(bool(r.ids) == bool(r.text) for r in found)
