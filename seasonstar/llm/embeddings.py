@@ -97,8 +97,9 @@ def learn(sample: np.ndarray, count: int, threshold: float = THRESHOLD, seed: in
         if found[-1] >= FOUND or tables == MOST_TABLES:
             tables = min(tables, int(np.argmax(found >= FOUND)) + 1) if found[-1] >= FOUND else tables
             break
-    while found[-1] < FOUND and key_bits > 1:
+    while found[-1] < FOUND and key_bits:
         key_bits -= 1
+        tables = tables if key_bits else 1  # one cell of all vectors, as for a sample of one
         same = (one == two)[:, : tables * key_bits].reshape(len(one), tables, key_bits).all(axis=2)
         found = np.maximum.accumulate(same, axis=1).mean(axis=0)
     if found[-1] < FOUND:
