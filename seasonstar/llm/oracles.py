@@ -91,7 +91,61 @@ FROM (
 )
 """
 
+
+
+def _clustering(centroids: int = 16, rounds: int = 3, width: int = 64, scale: int = 64) -> str:
+    """Plain k-means by comparing every vector with every centroid, a block of CTEs per round."""
+    assigned = """
+a{r} AS (
+    SELECT row, vector, number, centroid,
+           list_sum(list_transform(list_zip(vector, centroid),
+                                   lambda p: (p[1] - p[2]) * (p[1] - p[2]))) AS distance
+    FROM kept, c{r}
+    QUALIFY row_number() OVER (PARTITION BY row ORDER BY distance, number) = 1
+)"""
+    moved = """
+parts{r} AS (
+    SELECT number, place, CAST(sum(vector[place]) AS HUGEINT) AS total, count(*) AS n
+    FROM a{r}, range(1, {width} + 1) AS places(place) GROUP BY number, place
+),
+means{r} AS (
+    SELECT number, list((total - (((total % n) + n) % n)) // n ORDER BY place) AS centroid
+    FROM parts{r} GROUP BY number
+),
+c{after} AS (
+    SELECT number, coalesce(m.centroid, c.centroid) AS centroid
+    FROM c{r} AS c LEFT JOIN means{r} AS m USING (number)
+)"""
+    steps = ",".join(
+        assigned.format(r=r) + "," + moved.format(r=r, after=r + 1, width=width) for r in range(rounds)
+    )
+    return f"""
+WITH usable AS (
+    SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings
+),
+kept AS (
+    SELECT row_number() OVER () AS row, vec_id,
+           list_transform(v, lambda x: CAST(floor({scale} * x) AS HUGEINT)) AS vector
+    FROM usable
+    WHERE len(v) = {width} AND len(list_filter(v, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+),
+ranked AS (
+    SELECT row_number() OVER (ORDER BY sha256('1:' || coalesce(CAST(vec_id AS VARCHAR), '')), vector)
+               AS place, vector AS centroid
+    FROM kept
+),
+c0 AS (SELECT place - 1 AS number, centroid FROM ranked WHERE place <= {centroids}),{steps},{assigned.format(r=rounds)},
+sums AS (SELECT number, sum(distance) AS cluster_inertia FROM a{rounds} GROUP BY number)
+SELECT vec_id, CAST(number AS INTEGER) AS cluster, CAST(distance AS BIGINT) AS distance,
+       CAST(cluster_inertia AS BIGINT) AS cluster_inertia,
+       CAST((SELECT sum(cluster_inertia) FROM sums) AS BIGINT) AS inertia,
+       sha256(array_to_string(centroid, ',')) AS centroid_sha256
+FROM a{rounds} JOIN kept USING (row) JOIN sums USING (number)
+"""
+
+
 ORACLES: dict[str, str] = {
     "op2_cleaning": CLEANING,
     "op4_chat_formatting": CHAT,
+    "op11_clustering": _clustering(),
 }

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from seasonstar.llm import bpe, chat, cleaning, embeddings, jaccard, language, mixing, secret_scan, sharding, suffixes
+from seasonstar.llm import bpe, chat, cleaning, clustering, embeddings, jaccard, language, mixing, secret_scan, sharding, suffixes
 from seasonstar.llm.common import table
 from seasonstar.llm.oracles import ORACLES
 
@@ -28,4 +28,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_mixing": _over("documents", mixing.op8_mixing),
     "op9_embeddings": _over("embeddings", embeddings.op9_embeddings),
     "op10_secret_scan": _over("documents", secret_scan.op10_secret_scan),
+    "op11_clustering": _over("embeddings", clustering.op11_clustering),
 }

@@ -1,0 +1,134 @@
+"""Clusters against plain k-means in Python integers; awkward, large and tied vectors."""
+
+import hashlib
+import math
+import random
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from seasonstar.llm import clustering
+
+SCHEMA = "vec_id long, embedding array<double>, label int"
+
+
+def brute(rows, k=16, rounds=3, width=64):
+    """(vec_id, cluster, distance) of every usable row, and the final centroids."""
+    kept = [
+        (i, [math.floor(64 * x) if abs(x) < 2**60 else 64 * int(x) for x in v])
+        for i, v, *_ in rows
+        if v is not None
+        and len(v) == width
+        and all(x is not None and math.isfinite(x) for x in v)
+    ]
+    order = lambda r: (hashlib.sha256(f"1:{'' if r[0] is None else r[0]}".encode()).hexdigest(), r[1])
+    centroids = [v for _, v in sorted(kept, key=order)[:k]]
+
+    def nearest(v):
+        return min((sum((a - b) ** 2 for a, b in zip(v, c, strict=True)), n) for n, c in enumerate(centroids))
+
+    for _ in range(rounds):
+        own = [nearest(v)[1] for _, v in kept]
+        for n in range(len(centroids)):
+            inside = [v for (_, v), c in zip(kept, own, strict=True) if c == n]
+            if inside:
+                centroids[n] = [sum(col) // len(inside) for col in zip(*inside, strict=True)]
+    found = []
+    for i, v in kept:
+        distance, n = nearest(v)
+        found.append((i, n, distance if distance < 2**63 else None))
+    return found, centroids
+
+
+def result(frame):
+    key = lambda r: tuple((x is not None, x) for x in r)
+    return sorted((tuple(r) for r in frame.collect()), key=key)
+
+
+def check(spark, rows, k=16, rounds=3, parts=3):
+    frame = spark.createDataFrame(rows, SCHEMA).repartition(parts)
+    done = clustering.cluster(frame, centroids=k, rounds=rounds)
+    found, centroids = brute(rows, k, rounds)
+    key = lambda r: tuple((x is not None, x) for x in r)
+    assert result(done.rows) == sorted(found, key=key)
+    assert done.centroids == centroids
+    return done
+
+
+def groups(count, centres, seed, spread=0.1):
+    rnd = np.random.default_rng(seed)
+    middle = rnd.standard_normal((centres, 64))
+    return [
+        (i, (middle[i % centres] + spread * rnd.standard_normal(64)).tolist(), 0) for i in range(count)
+    ]
+
+
+@pytest.mark.parametrize("seed, spread", [(1, 0.05), (2, 0.5), (3, 3.0)])
+def test_equals_plain_clustering(spark, seed, spread):
+    check(spark, groups(700, 20, seed, spread))
+
+
+def test_more_rounds_and_other_counts(spark):
+    check(spark, groups(300, 7, 4), k=5, rounds=8)
+    check(spark, groups(40, 3, 5), k=1, rounds=2)
+
+
+def test_only_expired_gaps_are_rescanned(spark):
+    rows = groups(2000, 16, 6, 0.02)
+    done = check(spark, rows, rounds=6)
+    assert done.rescanned[0] == len(rows)
+    assert done.rescanned[-1] < len(rows) / 4
+
+
+def test_blocks_do_not_change_the_result(spark, monkeypatch):
+    monkeypatch.setattr(clustering, "BLOCK_ROWS", 7)
+    check(spark, groups(200, 9, 7, 0.4), parts=2)
+
+
+def test_awkward_vectors(spark):
+    rnd = random.Random(8)
+    good = [[rnd.uniform(-1, 1) for _ in range(64)] for _ in range(30)]
+    rows = [(i, v, 1) for i, v in enumerate(good)]
+    rows += [(0, good[0], 1), (0, good[0], 1), (None, good[1], None), (None, good[2], 3)]
+    rows += [(50, None, 1), (51, [], 1), (52, [0.5] * 63, 1), (53, [0.5] * 65, 1)]
+    rows += [(54, [None] + [0.5] * 63, 1), (55, [math.nan] * 64, 1), (56, [math.inf] + [0.0] * 63, 1)]
+    rows += [(57, [0.0] * 64, 1), (58, [-0.0] * 64, 1)]
+    check(spark, rows)
+
+
+def test_ties_go_to_the_smaller_number(spark):
+    rows = [(i, [float(i % 2)] + [0.0] * 63, 0) for i in range(40)]
+    rows += [(100 + i, [0.5] + [0.0] * 63, 0) for i in range(10)]
+    check(spark, rows, k=4)
+
+
+def test_components_beyond_exact_doubles(spark):
+    rnd = random.Random(9)
+    sizes = [1.0, 1e5, 1e9, 1e18, 1e40, 1e200, 1.7e308]
+    rows = [(i, [rnd.uniform(-1, 1) * sizes[i % 7] for _ in range(64)], 0) for i in range(70)]
+    done = check(spark, rows, k=6)
+    assert None in done.inertia
+
+
+def test_empty_tables_and_clashing_columns(spark):
+    none = spark.createDataFrame([], SCHEMA)
+    assert clustering.op11_clustering(none).collect() == []
+    assert clustering.op11_clustering(spark.createDataFrame([(1, None, 1)], SCHEMA)).collect() == []
+    rows = groups(50, 4, 10)
+    plain = spark.createDataFrame(rows, SCHEMA)
+    names = "vector cluster distance inertia ids kind sums row".split()
+    more = plain.select("*", *[F.lit("extra").alias(n) for n in names])
+    assert result(clustering.op11_clustering(more)) == result(clustering.op11_clustering(plain))
+
+
+def test_digest(spark):
+    rows = groups(120, 5, 11, 0.3)
+    found, centroids = brute(rows)
+    out = result(clustering.op11_clustering(spark.createDataFrame(rows, SCHEMA)))
+    inside = {}
+    for _, n, d in found:
+        inside[n] = inside.get(n, 0) + d
+    text = [hashlib.sha256(",".join(map(str, c)).encode()).hexdigest() for c in centroids]
+    total = sum(inside.values())
+    assert out == sorted((i, n, d, inside[n], total, text[n]) for i, n, d in found)
