@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from seasonstar.llm import bpe, chat, cleaning, clustering, embeddings, jaccard, language, mixing, repair, secret_scan, sharding, suffixes
+from seasonstar.llm import bpe, chat, cleaning, clustering, embeddings, jaccard, language, mixing, repair, secret_scan, sharding, suffixes, url_filter
 from seasonstar.llm.common import table
 from seasonstar.llm.oracles import ORACLES
 
@@ -29,5 +29,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_embeddings": _over("embeddings", embeddings.op9_embeddings),
     "op10_secret_scan": _over("documents", secret_scan.op10_secret_scan),
     "op11_clustering": _over("embeddings", clustering.op11_clustering),
+    "op12_url_filter": _over("pages", url_filter.op12_url_filter),
     "op13_repair": _over("conversations", repair.op13_repair),
 }
