@@ -156,9 +156,9 @@ def cheapest_words(name: str, costs: dict[str, int], total_cost: int) -> list[st
 def segmented(names: DataFrame, counts: DataFrame) -> DataFrame:
     """``name`` and its ``words``, a row per distinct ``name`` of ``names``.
 
-    ``counts`` has ``word`` and ``n``. All pieces of the names are joined to it, the words found come
-    back in one row per name, of some 1,200 pieces at most, and a Viterbi search per name takes the
-    cheapest. A name longer than LONGEST_NAME is one word.
+    ``counts`` has ``word`` and ``n``. All distinct pieces of names are joined to it, the words found
+    come back in one row per name, of some 1,200 pieces at most, and a Viterbi search per name takes
+    the cheapest. A name longer than LONGEST_NAME is one word.
     """
     total = counts.agg(F.sum("n")).first()[0] or 1
     whole = F.round(F.ln(F.lit(float(total))) * MICRO).cast("long")
@@ -171,7 +171,9 @@ def segmented(names: DataFrame, counts: DataFrame) -> DataFrame:
     pieces = starts.select("name", "at", F.explode(F.sequence(F.lit(1), most)).alias("size")).select(
         "name", F.expr("substr(name, at, size)").alias("piece")
     )
-    found = salted_join(pieces.distinct(), known, "piece")
+    pieces = written(pieces.distinct(), "url-pieces")
+    # words are many: only those that are a piece of some name are dealt to several tasks
+    found = salted_join(pieces, known.join(pieces.select("piece").distinct(), "piece"), "piece")
     lists = found.groupBy("name").agg(F.map_from_entries(F.collect_list(F.struct("piece", "cost"))).alias("costs"))
     rows = short.join(lists, "name", "left").select("name", "costs", whole.alias("whole"))
 
