@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from seasonstar.llm.common import sent_by_value
+from seasonstar.llm.common import give_back, lean, sent_by_value
 
 sent_by_value(__name__)
 
@@ -199,7 +199,7 @@ def _runs(split: DataFrame) -> DataFrame:
             yield packed()
 
     return split.select("doc_id", "words").mapInArrow(
-        pack, "run binary, documents binary, numbers binary, words binary"
+        lean(pack), "run binary, documents binary, numbers binary, words binary"
     )
 
 
@@ -229,7 +229,7 @@ def _asked(runs: DataFrame, parts: int) -> DataFrame:
                     ["part", "run", "blob"],
                 )
 
-    return runs.mapInArrow(ask, "part long, run binary, blob binary")
+    return runs.mapInArrow(lean(ask), "part long, run binary, blob binary")
 
 
 def _answered(asked: DataFrame, text: str) -> DataFrame:
@@ -263,7 +263,7 @@ def _answered(asked: DataFrame, text: str) -> DataFrame:
             )
 
     together = asked.repartition("part").sortWithinPartitions("part")
-    return together.mapInArrow(answer, "part long, run binary, blob binary")
+    return together.mapInArrow(lean(answer), "part long, run binary, blob binary")
 
 
 def _array(table: pa.Table, name: str) -> np.ndarray:
@@ -299,10 +299,10 @@ def decode_ids(ids: list[int], pieces: list[bytes]) -> str:
 
 
 def encode(
-    documents: DataFrame, vocabulary: Vocabulary, digest: bool = False
+    documents: DataFrame, vocabulary: Vocabulary, digest: bool = False, text_too: bool = False
 ) -> DataFrame:
-    """Per row of ``documents``: doc_id, n_tokens and ``ids``; with ``digest`` the hashes of the
-    ids and of the text decoded from them.
+    """Per row of ``documents``: doc_id, n_tokens and ``ids``, with ``text_too`` also the ``text``
+    decoded from them; with ``digest`` the hashes of the ids and of that text instead.
 
     The numbered words of the texts cross the network once, compressed, to their ids; the exchange
     is shared by both sides of the join. A NULL text is empty and has no ids. Rows may repeat.
@@ -336,6 +336,14 @@ def encode(
                 made["ids"] = pa.ListArray.from_arrays(
                     pa.array(bounds, pa.int32()), pa.array(ids, pa.int32())
                 )
+                if text_too:
+                    made["text"] = pa.array(
+                        [
+                            decode_ids(ids[begin:end].tolist(), pieces)
+                            for begin, end in zip(bounds, bounds[1:], strict=False)
+                        ],
+                        pa.string(),
+                    )
             out.append(pa.table(made).cast(pa.schema(list(columns.items()))))
 
         # rows are runs that are equal, so one dictionary does for all of them
@@ -357,17 +365,18 @@ def encode(
                 bounds = starts[ends[first : last + 1] - ends[first]]
                 finish(own.column("doc_id").slice(first, last - first), ids, bounds)
                 first = last
-        pa.default_memory_pool().release_unused()
+        del found, flat, begins, width
+        give_back()
         return pa.concat_tables(out)
 
-    columns = {"doc_id": pa.int64(), "n_tokens": pa.int64()} | (
-        {"ids_sha256": pa.string(), "decoded_sha256": pa.string()}
-        if digest
-        else {"ids": pa.list_(pa.int32())}
-    )
-    schema = "doc_id long, n_tokens long, " + (
-        "ids_sha256 string, decoded_sha256 string" if digest else "ids array<int>"
-    )
+    columns = {"doc_id": pa.int64(), "n_tokens": pa.int64()}
+    schema = "doc_id long, n_tokens long"
+    if digest:
+        columns |= {"ids_sha256": pa.string(), "decoded_sha256": pa.string()}
+        schema += ", ids_sha256 string, decoded_sha256 string"
+    else:
+        columns |= {"ids": pa.list_(pa.int32())} | ({"text": pa.string()} if text_too else {})
+        schema += ", ids array<int>" + (", text string" if text_too else "")
     return placed.groupBy("run").cogroup(answers.groupBy("run")).applyInArrow(join, schema)
 
 

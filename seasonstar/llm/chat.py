@@ -6,8 +6,9 @@ Grammar of the formatted text::
     turn         = "<s>[INST] " role " [/INST]" text "</s>"
 
 Roles and texts may hold the control strings ``<s> </s> [INST] [/INST]``. A turn is
-first rendered as it is and parsed back; if the parser does not return the same role
-and text, its content is escaped: every control string, with however many backslashes
+first rendered as it is and parsed back; the parser reads every control string as a mark, so a turn
+with one in its role or text is outside the grammar. If the parser does not return the same role
+and text, the content is escaped: every control string, with however many backslashes
 after its first character, gets one backslash more. The parser takes one backslash out
 of every control string that has one, so escaping any text and parsing it gives the
 text back. Rendering goes on through these forms until the turn comes back identical.
@@ -25,6 +26,7 @@ MIDDLE = " [/INST]"
 CLOSE = "</s>"
 #: A control string split after its first character, with the escapes that may stand there.
 CONTROL = r"([<\[])(\\*)(/?s>|/?INST\])"
+BARE = r"</?s>|\[/?INST\]"
 ESCAPED = r"([<\[])\\(\\*)(/?s>|/?INST\])"
 
 
@@ -46,16 +48,18 @@ def _parsed_turn(piece: Column) -> Column:
     fits = piece.startswith(OPEN) & (at > len(OPEN))
     role = F.substr(piece, F.lit(len(OPEN) + 1), at - len(OPEN) - 1)
     text = F.substr(piece, at + len(MIDDLE))
+    inside = role.rlike(BARE) | text.rlike(BARE)
     return F.when(
-        fits, F.struct(unescape(role).alias("role"), unescape(text).alias("text"))
+        fits & ~inside, F.struct(unescape(role).alias("role"), unescape(text).alias("text"))
     )
 
 
 def parse(formatted: Column) -> Column:
     """The turns of a formatted text, as an array of role and text.
 
-    Deterministic: closing marks end turns, and the first middle mark of a turn ends
-    its role. A text outside the grammar gives NULL in the place of the broken turn.
+    Deterministic: closing marks end turns, the first middle mark of a turn ends its role, and
+    no other mark may stand in a turn. A text outside the grammar gives NULL in the place of
+    the broken turn.
     """
     pieces = F.split(formatted, F.lit(CLOSE), F.lit(-1))
     return F.transform(F.slice(pieces, 1, F.size(pieces) - 1), _parsed_turn)

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import sys
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -39,3 +42,35 @@ def sent_by_value(name: str) -> None:
     """Functions of module ``name`` travel to the executors whole, so the package need not be
     installed there."""
     cloudpickle.register_pickle_by_value(sys.modules[name])
+
+
+def lean(step: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """``step`` for a Python worker that gives memory back, after each batch and at its end.
+
+    Workers serve one task after the other, of any stage; what an allocator keeps for later is
+    memory that the next stage's own workers do not have.
+    """
+
+    def run(batches: Iterator) -> Iterator:
+        try:
+            for made in step(batches):
+                yield made
+                del made
+                pa.default_memory_pool().release_unused()
+        finally:
+            give_back()
+
+    return run
+
+
+def give_back() -> None:
+    """Free memory of this process goes back to the system."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of the GNU C library
+    if trim is not None:
+        trim(0)
+
+
+# the wrapped steps run where this package need not be installed
+sent_by_value(__name__)

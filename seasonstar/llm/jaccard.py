@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from seasonstar.llm.common import sent_by_value, written
+from seasonstar.llm.common import give_back, lean, sent_by_value, written
 from seasonstar.llm.graph import components, roots_of
 
 sent_by_value(__name__)
@@ -43,7 +43,7 @@ _BYTE = _random.integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.u
 _PLACE = _random.integers(0, 1 << 63, SHINGLE_WORDS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _SCALE = _random.integers(0, 1 << 31, VALUES, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
 _SHIFT = _random.integers(0, 1 << 32, VALUES, dtype=np.uint32)
-_BASE = 0x9E3779B97F4A7C15
+_BASE, _MASK = 0x9E3779B97F4A7C15, (1 << 64) - 1
 _IS_SPACE = np.zeros(256, dtype=bool)
 _IS_SPACE[[9, 10, 11, 12, 13, 32]] = True
 
@@ -67,44 +67,43 @@ def _mixed(values: np.ndarray) -> np.ndarray:
 
 
 def word_hashes(text: str) -> np.ndarray:
-    """64-bit hashes of the words of a text, read in pieces that end between words.
+    """64-bit hashes of the words of a text, read in pieces of fixed size.
 
-    A word's hash is a polynomial of its bytes, the difference of two running sums.
+    A word's hash is a polynomial of its bytes, the difference of two running sums; a word that
+    goes on in the next piece takes its sum and length there.
     """
     data = np.frombuffer(text.encode("utf-8", "replace"), dtype=np.uint8)
-    found, at = [], 0
-    while at < len(data):
-        end = min(at + BYTES_AT_A_TIME, len(data))
-        if end < len(data):
-            spaces = np.flatnonzero(_IS_SPACE[data[at:end]])
-            if len(spaces):
-                end = at + int(spaces[-1]) + 1
-            else:  # a word longer than a piece
-                rest = np.flatnonzero(_IS_SPACE[data[end:]])
-                end = end + int(rest[0]) + 1 if len(rest) else len(data)
-        piece = data[at:end]
-        at = end
+    found: list[np.ndarray] = []
+    open_sum, open_size = 0, 0
+    for at in range(0, len(data), BYTES_AT_A_TIME):
+        piece = data[at : at + BYTES_AT_A_TIME]
         inside = ~_IS_SPACE[piece]
         edges = np.flatnonzero(np.diff(np.concatenate([[False], inside, [False]]).astype(np.int8)))
-        if not len(edges):
-            continue
         starts, ends = edges[::2], edges[1::2]
-        if len(piece) >= len(_power_table[0]):
-            _power_table[:] = [
-                _powers(_BASE, 2 * len(piece)),
-                _powers(pow(_BASE, -1, 1 << 64), 2 * len(piece)),
-            ]
         sums = np.zeros(len(piece) + 1, dtype=np.uint64)
-        np.cumsum(_BYTE[piece] * _power_table[0][: len(piece)], out=sums[1:])
-        words = (sums[ends] - sums[starts]) * _power_table[1][starts]
-        found.append(_mixed(words + (ends - starts).astype(np.uint64)))
+        np.cumsum(_BYTE[piece] * _POWERS[: len(piece)], out=sums[1:])
+        words = (sums[ends] - sums[starts]) * _INVERSE[starts]
+        sizes = (ends - starts).astype(np.uint64)
+        if open_size and len(starts) and starts[0] == 0:
+            whole = open_sum + int(words[0]) * pow(_BASE, open_size, 1 << 64)
+            words[0] = whole & _MASK
+            sizes[0] += np.uint64(open_size)
+            open_size = 0
+        if open_size:
+            found.append(_mixed(np.array([open_sum + open_size & _MASK], dtype=np.uint64)))
+            open_size = 0
+        if len(ends) and ends[-1] == len(piece):
+            open_sum, open_size = int(words[-1]), int(sizes[-1])
+            words, sizes = words[:-1], sizes[:-1]
+        found.append(_mixed(words + sizes))
+    if open_size:
+        found.append(_mixed(np.array([open_sum + open_size & _MASK], dtype=np.uint64)))
     return np.concatenate(found) if found else np.empty(0, dtype=np.uint64)
 
 
-_power_table = [
-    _powers(_BASE, BYTES_AT_A_TIME + 1),
-    _powers(pow(_BASE, -1, 1 << 64), BYTES_AT_A_TIME + 1),
-]
+#: Powers of the base, and of its inverse, for the places of a piece.
+_POWERS = _powers(_BASE, BYTES_AT_A_TIME + 1)
+_INVERSE = _powers(pow(_BASE, -1, 1 << 64), BYTES_AT_A_TIME + 1)
 
 
 def shingles(text: str | None) -> np.ndarray:
@@ -176,7 +175,7 @@ def _signed(documents: DataFrame) -> DataFrame:
         "text",
     )
     return rows.mapInArrow(
-        sign, "doc_id long, text_hash long, bytes long, key binary, signature binary"
+        lean(sign), "doc_id long, text_hash long, bytes long, key binary, signature binary"
     )
 
 
@@ -210,7 +209,7 @@ def _banded(classes: DataFrame) -> DataFrame:
                 ["band", "key"],
             )
 
-    return classes.select("key", "signature").mapInArrow(bands, "band long, key binary")
+    return classes.select("key", "signature").mapInArrow(lean(bands), "band long, key binary")
 
 
 def _random_odd(count: int) -> np.ndarray:
@@ -304,6 +303,8 @@ def _verified(blocks: DataFrame, threshold: float, tolerance: float) -> DataFram
         np.add.at(linked, pairs[:, 1], copies[pairs[:, 0]])
         root = roots_of(len(keys), pairs)
         used = np.flatnonzero(linked)
+        del sets
+        give_back()
         return pa.table(
             {
                 "key": pa.array([keys[i] for i in used], pa.binary()),

@@ -12,11 +12,11 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from seasonstar.llm.common import sent_by_value
+from seasonstar.llm.common import lean, sent_by_value
 
 sent_by_value(__name__)
 
@@ -91,15 +91,16 @@ def document_frequencies(texts: DataFrame, slots: int = SLOTS) -> np.ndarray:
     rows come to the driver.
     """
 
-    def count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(slots, dtype=np.int64)
-        for frame in frames:
-            for text in frame["text"]:
-                total += gram_counts(text, slots) > 0
+        for batch in batches:
+            for text in batch.column("text"):
+                total += gram_counts(text.as_py(), slots) > 0
         used = np.flatnonzero(total)
-        yield pd.DataFrame({"slot": used.astype(np.int32), "n": total[used]})
+        arrays = [pa.array(used, pa.int32()), pa.array(total[used], pa.int64())]
+        yield pa.RecordBatch.from_arrays(arrays, ["slot", "n"])
 
-    rows = texts.select("text").mapInPandas(count, "slot int, n long")
+    rows = texts.select("text").mapInArrow(lean(count), "slot int, n long")
     found = np.zeros(slots, dtype=np.int64)
     for slot, n in rows.groupBy("slot").agg(F.sum("n")).collect():
         found[slot] = n
@@ -116,17 +117,21 @@ def _sampled(labelled: DataFrame, counts: dict[str, int], most: int) -> list[tup
     place = F.pmod(F.xxhash64("text"), F.lit(scale))
     chosen = labelled.withColumn("place", place).filter(F.col("place") < limits[F.col("lang")])
 
-    def pack(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
             packed = []
-            for text in frame["text"]:
-                counts = gram_counts(text)
+            for text in batch.column("text"):
+                counts = gram_counts(text.as_py())
                 used = np.flatnonzero(counts).astype(np.int32)
                 packed.append(used.tobytes() + counts[used].astype(np.int32).tobytes())
-            yield pd.DataFrame({"lang": frame["lang"], "place": frame["place"], "packed": packed})
-
-    rows = chosen.select("lang", "place", "text").mapInPandas(
-        pack, "lang string, place long, packed binary"
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("lang"), batch.column("place"), pa.array(packed, pa.binary())],
+                ["lang", "place", "packed"],
+            )
+
+    # a text counts once for each language it is given, however many copies there are
+    rows = chosen.select("lang", "place", "text").distinct().mapInArrow(
+        lean(pack), "lang string, place long, packed binary"
     )
     found = sorted((r["place"], r["lang"], bytes(r["packed"])) for r in rows.collect())
     return [(lang, packed) for _, lang, packed in found]
@@ -206,11 +211,13 @@ def predicted(model: Model | None) -> Column:
     if model is None:
         return F.lit(None).cast("struct<lang_pred:string,score:double>")
 
-    @F.pandas_udf("lang_pred string, score double")
-    def predict(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    @F.arrow_udf("struct<lang_pred:string,score:double>")
+    def predict(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in texts:
-            found = [(None, None) if t is None else model.predict(t) for t in batch]
-            yield pd.DataFrame(found, columns=["lang_pred", "score"])
+            found = [(None, None) if not t.is_valid else model.predict(t.as_py()) for t in batch]
+            columns = zip(*found, strict=True) if found else ((), ())
+            arrays = [pa.array(c, k) for c, k in zip(columns, (pa.string(), pa.float64()), strict=True)]
+            yield pa.StructArray.from_arrays(arrays, ["lang_pred", "score"])
 
     return predict(F.col("text"))
 
