@@ -222,21 +222,23 @@ def predicted(model: Model | None) -> Column:
     return predict(F.col("text"))
 
 
-def identify(documents: DataFrame, model: Model | None) -> DataFrame:
-    """``documents`` with ``lang_pred`` and ``score``, from the whole of each text alone.
+def identify(
+    documents: DataFrame, model: Model | None, names: tuple[str, str] = ("lang_pred", "score")
+) -> DataFrame:
+    """``documents`` with a language and its score under ``names``, from the whole of each text alone.
 
     A NULL text, one without a letter, and any text when nothing was learned, is ``und`` with
-    score 0. Columns of the result names are replaced; rows are neither moved nor merged.
+    score 0. Columns of these names are replaced, all others stay as they are; repeated rows stay, and
+    an empty table gives an empty result. Equal scores go to the language that sorts first.
     """
+    lang, score = names
     found = documents.withColumn("__found", predicted(model))
     sure = F.coalesce(F.col("text").rlike(HAS_LETTER), F.lit(False)) & F.col(
         "__found.lang_pred"
     ).isNotNull()
     return (
-        found.withColumn(
-            "lang_pred", F.when(sure, F.col("__found.lang_pred")).otherwise(UNKNOWN)
-        )
-        .withColumn("score", F.when(sure, F.col("__found.score")).otherwise(0.0))
+        found.withColumn(lang, F.when(sure, F.col("__found.lang_pred")).otherwise(UNKNOWN))
+        .withColumn(score, F.when(sure, F.col("__found.score")).otherwise(0.0))
         .drop("__found")
     )
 
@@ -248,6 +250,7 @@ def fold() -> Column:
 
 
 def op3_language_id(documents: DataFrame) -> DataFrame:
+    """Languages of all documents, learned from the folds not held out; see ``train``, ``identify``."""
     model = train(documents.filter(~fold()))
     rows = documents.select("doc_id", "text", fold().alias("held_out"))
     return identify(rows, model).select("doc_id", "held_out", "lang_pred", "score")

@@ -29,6 +29,10 @@ HEX = r"[0-9a-f]{32,}"
 KINDS = ("assign", "access", "hex", "markov")
 #: Tokens that the models judge.
 TOKEN = r"[A-Za-z0-9+/_=-]{20,}"
+#: Whole tokens with letters and digits: what the models judge, and neither learns as ordinary.
+MIXED = (
+    r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]*[0-9])(?=[0-9+/_=-]*[A-Za-z])[A-Za-z0-9+/_=-]{20,}"
+)
 #: Ordinary identifiers that the second model is trained on.
 IDENTIFIER = r"(?<![A-Za-z0-9])[A-Za-z][A-Za-z0-9_-]{5,}"
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-."
@@ -57,6 +61,8 @@ MIN_RATIO = 0.5
 #: is judged by how rare it is.
 PRIOR, FOLLOWERS = 0.5, 20.0
 
+#: Values whose running results are made at a time.
+CHUNK = 256
 _NONE = "array<struct<start:int,kind:int,end:int>>"
 
 
@@ -64,8 +70,43 @@ def _all(text: Column, pattern: str, group: int = 0) -> Column:
     return F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
 
 
+def running(values: Column, combine, start: int = 0) -> Column:
+    """``combine`` of all values up to each one, in arrays of any length.
+
+    Spark appends to an array by copying it, so prefixes are made in chunks of CHUNK values and the
+    chunks' own totals are put before them: work per value stays the same in long arrays.
+    """
+    numbers = "array<int>"
+
+    def prefixes(items: Column, inclusive: bool) -> Column:
+        first = F.struct(F.lit(start).alias("total"), F.array().cast(numbers).alias("out"))
+
+        def step(state: Column, x: Column) -> Column:
+            total = combine(state["total"], x)
+            shown = total if inclusive else state["total"]
+            return F.struct(
+                total.alias("total"), F.concat(state["out"], F.array(shown)).alias("out")
+            )
+
+        return F.aggregate(items, first, step, lambda s: s["out"])
+
+    def joined(chunks: Column) -> Column:
+        before = prefixes(F.transform(chunks, lambda c: F.element_at(c, -1)), inclusive=False)
+        return let(
+            before,
+            lambda b: F.flatten(
+                F.transform(chunks, lambda c, k: F.transform(c, lambda x: combine(F.get(b, k), x)))
+            ),
+        )
+
+    last = ((F.size(values) - 1) / CHUNK).cast("int")
+    cut = F.transform(F.sequence(F.lit(0), last), lambda k: F.slice(values, k * CHUNK + 1, CHUNK))
+    chunks = F.transform(cut, lambda c: prefixes(c, inclusive=True))
+    return F.when(F.size(values) == 0, F.array().cast(numbers)).otherwise(let(chunks, joined))
+
+
 def _spans(text: Column, pattern: str, kind: int, good) -> Column:
-    """Matches of ``pattern`` as an array of (start, kind, end), if ``good(match, i)`` holds.
+    """Matches of ``pattern`` as an array of (start, kind, end), if ``good(match, i, values)`` holds.
 
     The pieces between the matches and the matches themselves, added up in turn, give the
     places in code points. Texts without a match are not split at all.
@@ -73,28 +114,24 @@ def _spans(text: Column, pattern: str, kind: int, good) -> Column:
     nothing = F.array().cast(_NONE)
 
     def placed(parts: Column) -> Column:
-        steps = F.transform(
-            parts["match"],
-            lambda m, i: F.struct(
-                F.length(F.get(parts["piece"], i)).alias("gap"),
-                F.length(m).alias("size"),
-                good(m, i, parts["value"]).alias("good"),
-            ),
-        )
-
-        def step(state: Column, x: Column) -> Column:
-            begin = state["at"] + x["gap"]
-            end = begin + x["size"]
-            span = F.struct(
-                begin.alias("start"), F.lit(kind).alias("kind"), end.alias("end")
-            )
-            longer = F.concat(state["found"], F.array(span))
-            return F.struct(
-                end.alias("at"), F.when(x["good"], longer).otherwise(state["found"]).alias("found")
+        sizes = F.transform(parts["match"], lambda m: F.length(m))
+        lengths = F.transform(sizes, lambda n, i: n + F.length(F.get(parts["piece"], i)))
+
+        def spans(ends: Column) -> Column:
+            every = F.transform(
+                parts["match"],
+                lambda m, i: F.when(
+                    good(m, i, parts["value"]),
+                    F.struct(
+                        (F.get(ends, i) - F.length(m)).alias("start"),
+                        F.lit(kind).alias("kind"),
+                        F.get(ends, i).alias("end"),
+                    ),
+                ),
             )
+            return F.filter(every, lambda x: x.isNotNull())
 
-        start = F.struct(F.lit(0).alias("at"), nothing.alias("found"))
-        return F.aggregate(steps, start, step, lambda s: s["found"])
+        return let(let(lengths, lambda n: running(n, lambda a, b: a + b)), spans)
 
     value = _all(text, pattern, 2) if kind == 0 else F.array().cast("array<string>")
     parts = F.struct(
@@ -138,10 +175,12 @@ def labelled_samples(
 ) -> DataFrame:
     """At most ``max_samples`` distinct strings of each ``label``: 1 random, 0 ordinary.
 
-    Values of pattern matches anywhere are label 1. Identifiers of documents without a match,
-    from about ``sample_documents`` documents chosen by a hash of their text, are label 0. Of
-    each label those with the smallest hashes are kept, so reruns agree. A string counts once,
-    however many copies there are.
+    Values of pattern matches anywhere are label 1. Identifiers of documents without any match,
+    from about ``sample_documents`` documents chosen by a hash of their text, are label 0; tokens
+    like those to be judged are cut out before, as a random one that no pattern finds may be among
+    them. Prose hardly has digits or joined words, so every identifier also gives a form with them,
+    see ``_formed``. Of each label those with the smallest hashes are kept, so reruns agree. A
+    string counts once, however many copies there are.
     """
     text = F.coalesce("text", F.lit(""))
     rows = documents.select(text.alias("text"))
@@ -161,15 +200,48 @@ def labelled_samples(
     share = min(scale, sample_documents * scale // count)
     plain = (
         rows.filter(F.pmod(F.xxhash64("text"), F.lit(scale)) < share)
-        .filter(~(F.col("text").rlike(ASSIGN) | F.col("text").rlike(HEX)))
-        .select(F.explode(_all(F.col("text"), IDENTIFIER)).alias("value"))
+        .filter(
+            ~(F.col("text").rlike(ASSIGN) | F.col("text").rlike(ACCESS) | F.col("text").rlike(HEX))
+        )
+        .select(
+            F.explode(
+                _all(F.regexp_replace("text", F.lit(MIXED), F.lit(" ")), IDENTIFIER)
+            ).alias("value")
+        )
     )
 
-    def some(values: DataFrame, label: int) -> DataFrame:
-        kept = values.distinct().orderBy(F.xxhash64("value"), "value").limit(max_samples)
+    def some(values: DataFrame, label: int, most: int) -> DataFrame:
+        kept = values.distinct().orderBy(F.xxhash64("value"), "value").limit(most)
         return kept.select(F.lit(label).alias("label"), "value")
 
-    return some(matched, 1).unionAll(some(plain, 0))
+    names = some(plain, 0, max_samples // 2)
+    forms = names.select("label", _formed(F.col("value")).alias("value"))
+    return some(matched, 1, max_samples).unionAll(names).unionAll(forms)
+
+
+def _formed(word: Column) -> Column:
+    """An ordinary form with digits, signs or joined words; the word's hash says which one."""
+    pick = lambda seed, most: F.pmod(F.xxhash64(word, F.lit(seed)), F.lit(most))
+    two = lambda seed, most: F.lpad(pick(seed, most).cast("string"), 2, "0")
+    year = F.concat((pick(2, 60) + 1970).cast("string"))
+    number, small = pick(3, 4096).cast("string"), pick(4, 20).cast("string")
+    day = F.concat_ws("-", year, two(5, 13), two(6, 32))
+    time = F.concat_ws("-", two(7, 24), two(8, 60), two(9, 60))
+    title = F.initcap(F.regexp_replace(word, "[_-]", ""))
+    half = F.lower(F.substring(word, 1, 4))
+    forms = [
+        F.concat(word, small),
+        F.concat_ws("_", half, F.lower(word), year),
+        F.concat_ws("_", word, F.concat(number, F.lit("x"), pick(10, 4096).cast("string")), half),
+        F.concat(half, title, small, title),
+        F.concat(half, title, F.initcap(half)),
+        F.concat_ws("-", F.upper(word), small, F.upper(half)),
+        F.concat_ws("-", F.upper(half), number, small, word),
+        F.concat(day, F.lit("T"), time, F.lit("Z")),
+        F.concat_ws("_", half, day, time),
+        F.concat_ws("-", word, F.concat(F.lit("v"), small), small, number),
+    ]
+    return F.get(F.array(*forms), pick(1, len(forms)).cast("int"))
 
 
 def random_pairs() -> list[float]:
@@ -240,12 +312,25 @@ def all_spans(text: Column, ratios: list[float], min_ratio: float = MIN_RATIO) -
     """
 
     def joined(found: Column) -> Column:
-        base, more = found["base"], found["more"]
-        apart = F.filter(
-            more,
-            lambda m: ~F.exists(base, lambda b: (b["start"] < m["end"]) & (m["start"] < b["end"])),
+        return F.when(F.size(found["more"]) == 0, found["base"]).otherwise(
+            let(F.sort_array(F.concat(found["base"], found["more"])), apart)
+        )
+
+    def apart(spans: Column) -> Column:
+        """Of sorted spans those that are base ones or meet none: no base span before ends after
+        their start, and the next one, which is a base one if it starts before their end, does not."""
+        ends = F.transform(spans, lambda x: F.when(x["kind"] < 3, x["end"]).otherwise(0))
+        return let(
+            running(ends, lambda a, b: F.greatest(a, b)),
+            lambda upto: F.filter(
+                spans,
+                lambda x, i: (x["kind"] < 3)
+                | (
+                    (F.get(upto, i) <= x["start"])
+                    & F.coalesce(F.get(spans, i + 1)["start"] >= x["end"], F.lit(True))
+                ),
+            ),
         )
-        return F.sort_array(F.concat(base, apart))
 
     text = F.coalesce(text, F.lit(""))
     return let(
@@ -315,6 +400,8 @@ def written_spans(spans: Column) -> Column:
 
 
 def op10_secret_scan(documents: DataFrame) -> DataFrame:
+    """Counts and digests of the spans of all documents; see ``scan`` and ``all_spans``."""
+
     def digest(spans: Column) -> Column:
         of = lambda kind: F.size(F.filter(spans, lambda x: x["kind"] == kind)).cast("long")
         base = F.filter(spans, lambda x: x["kind"] < 3)

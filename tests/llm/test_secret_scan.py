@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 
 import pytest
 from helpers import AWKWARD, awkward, empty
@@ -121,7 +122,93 @@ def test_copies_take_no_place_of_other_strings(spark):
     documents = secrets.unionAll(many).unionAll(names).unionAll(more)
     rows = secret_scan.labelled_samples(documents, max_samples=40).collect()
     assert sorted(r.value for r in rows if r.label == 1) == sorted(values)
-    assert sorted(r.value for r in rows if r.label == 0) == sorted(f"name{v}" for v in values)
+    ordinary = [r.value for r in rows if r.label == 0]
+    assert len(ordinary) == 40 and set(f"name{v}" for v in values) <= set(ordinary)
+
+
+def test_nothing_random_is_learned_as_ordinary(spark):
+    rnd = random.Random(6)
+    hidden = ["".join(rnd.choices(secret_scan.ALPHABET[:64], k=24)) + "k7" for _ in range(50)]
+    keys = ["AKIA" + "".join(rnd.choices(secret_scan.ALPHABET[:26], k=16)) for _ in range(50)]
+    texts = [f"see {v} here+{v}" for v in hidden] + [f"key {v} landeth" for v in keys]
+    texts += ["ordinary words and reandon"] * 5
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    ordinary = [r.value for r in secret_scan.labelled_samples(frame).collect() if r.label == 0]
+    assert "ordinary" in ordinary and "landeth" not in ordinary
+    assert not any(v[i : i + 12] in o for o in ordinary for v in hidden + keys for i in (0, 8))
+
+
+ORDINARY = [
+    "2024-01-15T10-30-00Z",
+    "image_1024x768_thumbnail",
+    "getUserById2AndUpdateCache",
+    "CHAPTER-12-INTRODUCTION",
+    "ISO-8859-1-encoded-text",
+    "annual_report_2023_final_v2",
+    "backup_2021-11-05_23-59-59",
+    "release-notes-v2-10-3-draft",
+]
+
+
+@pytest.mark.parametrize("sf", ["0.01", "0.1"])
+def test_ordinary_identifiers_with_digits_are_left_alone(spark, sf):
+    documents = spark.read.parquet(f"/root/testdata/sf{sf}/documents.parquet")
+    ratios = secret_scan.train(secret_scan.labelled_samples(documents))
+    rnd = random.Random(9)
+    letters = secret_scan.ALPHABET[:62]
+    noise = ["".join(rnd.choices(letters, k=30)) + "k7" for _ in range(200)]
+    frame = spark.createDataFrame([(v,) for v in ORDINARY + noise], "text string")
+    rows = secret_scan.scan(frame, ratios).collect()
+    assert [r.text for r in rows if r.spans and r.text in ORDINARY] == []
+    assert sum(bool(r.spans) for r in rows) >= 0.99 * len(noise)
+
+
+def markov(text, ratios, base_spans):
+    """Tokens with letters and digits, scored a character at a time; those apart from base spans."""
+    out = []
+    for match in re.finditer(r"[A-Za-z0-9+/_=-]{20,}", text):
+        token, last, score = match[0], 0, 0.0
+        for c in token:
+            number = secret_scan.ALPHABET.index(c) + 1
+            score += ratios[last * secret_scan.WIDTH + number]
+            last = number
+        mixed = re.search("[0-9]", token) and re.search("[A-Za-z]", token)
+        meets = any(a < match.end() and match.start() < b for a, _, b in base_spans)
+        if mixed and not meets and score >= len(token) * secret_scan.MIN_RATIO:
+            out.append((match.start(), 3, match.end()))
+    return out
+
+
+def test_markov_spans_equal_plain_scoring(spark):
+    rnd = random.Random(10)
+    letters = secret_scan.ALPHABET[:64]
+    parts = ["token=", "é ", " ", "password: ", "/", "AKIA", "reandon_landeth_", "\n", "deadbeef" * 5]
+    texts = []
+    for _ in range(300):
+        pick = lambda: rnd.choice(parts) if rnd.random() < 0.5 else "".join(rnd.choices(letters, k=rnd.randrange(30)))
+        texts.append("".join(pick() for _ in range(rnd.randrange(1, 900 if not texts else 20))))
+    documents = spark.read.parquet(f"{SF_DIR}/documents.parquet")
+    ratios = secret_scan.train(secret_scan.labelled_samples(documents))
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = {r.doc_id: [tuple(s) for s in r.spans] for r in secret_scan.scan(frame, ratios).collect()}
+    expected = {i: sorted(base(t) + markov(t, ratios, base(t))) for i, t in enumerate(texts)}
+    assert found == expected and sum(k == 3 for spans in found.values() for _, k, _ in spans) > 20
+
+
+def test_time_per_match_stays_the_same_in_long_texts(spark):
+    ratios = [1.0] * secret_scan.WIDTH**2
+
+    def seconds(lines):
+        text = "".join(f"token=secret{i:08d} and x{i:020d}y\n" for i in range(lines))
+        frame = spark.createDataFrame([(1, text)], "doc_id long, text string")
+        start = time.perf_counter()
+        (row,) = secret_scan.scan(frame, ratios).select(F.size("spans").alias("n")).collect()
+        assert row.n == 2 * lines
+        return time.perf_counter() - start
+
+    seconds(100)
+    small, large = seconds(4_000), seconds(40_000)
+    assert large < 15 * small + 5
 
 
 def test_redaction_takes_every_span_out(spark):
