@@ -1,7 +1,10 @@
 """The corpus pipeline: raw documents to token ids, a written table after every stage.
 
 Each stage takes (spark, docs, sf_dir), with docs the table of the stage before it, and all but
-the last return the columns of ``documents``.
+the last return the columns of ``documents``, whatever other names these have. An empty table
+goes through all stages as one. A NULL text has no language and goes in the first; so does a text
+without a letter. Repeated rows and equal texts stay one in the second, the one with the smallest
+doc_id. The operators' docstrings say how each of them breaks ties.
 """
 
 from __future__ import annotations
@@ -18,8 +21,8 @@ MIN_LANGUAGE_SCORE = 0.5
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is recognised; those without one, or unsure, go."""
-    found = language.identify(docs, language.train(docs))
-    sure = (F.col("lang_pred") != language.UNKNOWN) & (F.col("score") >= MIN_LANGUAGE_SCORE)
+    found = language.identify(docs, language.train(docs), ("__lang", "__score"))
+    sure = (F.col("__lang") != language.UNKNOWN) & (F.col("__score") >= MIN_LANGUAGE_SCORE)
     return found.filter(sure).select(*docs.columns)
 
 
@@ -43,7 +46,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every document, and the text decoded from them."""
     vocabulary = bpe.Vocabulary(bpe.public_path())
-    return bpe.decode(bpe.encode(docs, vocabulary), vocabulary)
+    return bpe.encode(docs, vocabulary, text_too=True)
 
 
 STAGES = [
