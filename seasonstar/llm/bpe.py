@@ -31,7 +31,7 @@ sent_by_value(__name__)
 #: Bytes of text in a run at most, but for a longer document, which is a run of its own; runs end
 #: with their task. Bytes of text for each part of the word table, which then holds some 200,000
 #: distinct words.
-RUN_BYTES = 48 << 20
+RUN_BYTES = 16 << 20
 PART_BYTES = 32 << 20
 #: Words whose ids are looked up at a time.
 WORDS_AT_A_TIME = 1 << 19

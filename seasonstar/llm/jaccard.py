@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from seasonstar.llm.common import give_back, lean, sent_by_value, written
+from seasonstar.llm.common import lean, sent_by_value, written
 from seasonstar.llm.graph import components, roots_of
 
 sent_by_value(__name__)
@@ -303,8 +303,6 @@ def _verified(blocks: DataFrame, threshold: float, tolerance: float) -> DataFram
         np.add.at(linked, pairs[:, 1], copies[pairs[:, 0]])
         root = roots_of(len(keys), pairs)
         used = np.flatnonzero(linked)
-        del sets
-        give_back()
         return pa.table(
             {
                 "key": pa.array([keys[i] for i in used], pa.binary()),
