@@ -16,11 +16,12 @@ from pyspark.sql import functions as F
 
 from seasonstar.functions.calendar import month_name
 from seasonstar.functions.numeric import (
-    exact_avg,
     exact_sum,
     percent_change,
     percent_of,
     round_half_up,
+    series_avg,
+    series_sum,
 )
 from seasonstar.operators.fact import with_calendar
 from seasonstar.sources.layouts import DOMESTIC, INTERNATIONAL, YEARS, ZONES
@@ -44,7 +45,7 @@ def index_to_own_mean(
 
     A series must be bounded (a calendar); a zero mean gives NULL.
     """
-    mean = exact_avg(F.col(value), Window.partitionBy(*keys))
+    mean = series_avg(F.col(value), Window.partitionBy(*keys))
     return rows.withColumn(alias, percent_of(F.col(value), mean))
 
 
@@ -78,7 +79,7 @@ def seasonality_profile(
         "total",
     ).repartition("AnalysisLevel", "Area")
     averages = leveled.groupBy("AnalysisLevel", "Area", "Island", "MonthNumber").agg(
-        exact_avg(F.col("total")).alias("AvgMonthly")
+        series_avg(F.col("total")).alias("AvgMonthly")
     )
     return index_to_own_mean(averages, ["AnalysisLevel", "Area"], "AvgMonthly", "Index")
 
@@ -174,7 +175,7 @@ def demand_periods(
         )
         .where(F.col("Driver").isNotNull())
     )
-    mean = exact_avg(F.col("Driver"), Window.partitionBy("LocationKey"))
+    mean = series_avg(F.col("Driver"), Window.partitionBy("LocationKey"))
     return months.withColumn("Low", F.col("Driver") < mean).where("HasResponse")
 
 
@@ -195,8 +196,8 @@ def counter_demand_changes(
     )
     averages = []
     for name, column in measures:
-        averages.append(exact_avg(F.when(low, F.col(column))).alias(f"Low{name}"))
-        averages.append(exact_avg(F.when(~low, F.col(column))).alias(f"Other{name}"))
+        averages.append(series_avg(F.when(low, F.col(column))).alias(f"Low{name}"))
+        averages.append(series_avg(F.when(~low, F.col(column))).alias(f"Other{name}"))
     per_area = rows.groupBy("LocationKey").agg(F.count_if(low).alias("LowDemandMonths"), *averages)
     changes = [
         percent_change(F.col(f"Low{name}"), F.col(f"Other{name}")).alias(f"{name}Change")
@@ -263,8 +264,8 @@ def exposure_score(
     """Question 3: dependence on one visitor type, concentration in the ``k`` peak
     months, and their mean, per area.
 
-    Each calendar month is averaged over the years separately per type; ties
-    between months go to the earlier month. The score is taken from the
+    The fact has one cell per area, month and type. Each calendar month is averaged over the
+    years separately per type; ties between months go to the earlier month. The score is taken from the
     unrounded shares.
     """
     cells = _analysis_cells(
@@ -275,11 +276,11 @@ def exposure_score(
     yearly = (
         cells.repartition("LocationKey")
         .groupBy(*area, "Year", "MonthNumber", "VisitorType")
-        .agg(exact_sum(F.col(measure)).alias("total"))
+        .agg(series_sum(F.col(measure)).alias("total"))
     )
 
     def type_average(name: str) -> Column:
-        average = exact_avg(F.when(F.col("VisitorType") == name, F.col("total")))
+        average = series_avg(F.when(F.col("VisitorType") == name, F.col("total")))
         return F.coalesce(average, F.lit(0.0))
 
     months = (
@@ -293,10 +294,10 @@ def exposure_score(
         F.when(F.col("PeakRank") <= k, month_name(F.col("MonthNumber"))),
     )
     shares = ranked.groupBy(*area).agg(
-        percent_of(exact_sum(F.col("dependent")), exact_sum(F.col("combined"))).alias("dependence"),
+        percent_of(series_sum(F.col("dependent")), series_sum(F.col("combined"))).alias("dependence"),
         percent_of(
-            exact_sum(F.when(F.col("PeakRank") <= k, F.col("combined")).otherwise(0.0)),
-            exact_sum(F.col("combined")),
+            series_sum(F.when(F.col("PeakRank") <= k, F.col("combined")).otherwise(0.0)),
+            series_sum(F.col("combined")),
         ).alias("concentration"),
         F.expr("listagg(PeakName, ', ') WITHIN GROUP (ORDER BY PeakRank)").alias("PeakMonths"),
     )

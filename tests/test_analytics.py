@@ -233,3 +233,20 @@ def test_windows_are_partitioned_by_area(spark, locations, types):
         for line in optimized.split("\n"):
             if "Window [" in line:
                 assert "LocationKey" in line or "Area" in line
+
+
+@pytest.mark.parametrize("name", ["exposure_score", "counter_demand", "seasonality_index"])
+def test_generated_methods_are_small_enough_to_be_compiled(spark, name):
+    """The virtual machine never compiles methods of more than 8,000 bytes."""
+    from seasonstar.plans.queries import QUERIES
+
+    spark.conf.set("spark.sql.adaptive.enabled", "false")  # else stages are generated as they run
+    try:
+        frame = QUERIES[name](spark, "/root/testdata/sf0.001")
+        plan = frame._jdf.queryExecution().executedPlan()
+        debug = getattr(getattr(spark._jvm.org.apache.spark.sql.execution.debug, "package$"), "MODULE$")
+        stages = spark._jvm.scala.jdk.javaapi.CollectionConverters.asJava(debug.codegenStringSeq(plan))
+        sizes = [stage._3().maxMethodCodeSize() for stage in stages]
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    assert sizes and max(sizes) < 8000

@@ -266,6 +266,29 @@ def test_exact_sum(spark):
     assert total(sorted(mixed))[0] == total(sorted(mixed, key=abs))[0]
 
 
+def test_series_sum(spark):
+    from pyspark.sql import Window
+
+    from seasonstar.functions.numeric import series_avg, series_sum
+
+    def total(values):
+        frame = spark.createDataFrame([(v,) for v in values], "v double")
+        return tuple(frame.agg(series_sum(F.col("v")), series_avg(F.col("v"))).first())
+
+    assert total([0.1] * 10) == (1.0, 0.1)
+    assert total([None, 2.5, None]) == (2.5, 2.5)
+    assert total([None]) == total([]) == (None, None)
+    assert total([1e19, 1.0, -1e19])[0] == 1.0
+    assert total([float("inf"), 1.0])[0] == float("inf")
+    assert total([float("nan"), 1.0])[0] != total([float("nan"), 1.0])[0]
+    random = Random(7)
+    mixed = [random.uniform(-1, 1) * 10.0 ** random.randint(-8, 8) for _ in range(84)]
+    assert total(mixed)[0] == fsum(mixed)
+    frame = spark.createDataFrame([(i % 3, v) for i, v in enumerate(mixed)], "k int, v double").repartition(5)
+    over = frame.select("k", series_sum(F.col("v"), Window.partitionBy("k")).alias("s")).distinct()
+    assert sorted(tuple(r) for r in over.collect()) == [(k, fsum(mixed[k::3])) for k in range(3)]
+
+
 def test_surrogate_key_is_unique_for_all_keys(spark):
     from seasonstar.operators.fact import MOST_TYPES, surrogate_key
 
