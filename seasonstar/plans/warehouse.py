@@ -3,21 +3,21 @@
 Every stage reads the tables of the stage before, so a lost executor never
 reaches back past the last written table. Nothing is deleted: raw files stay.
 
-Each source is parsed once into a staging table, checked there in columnar
-form, and only then replaces its clean table. The star is written as a new
-version beside the last one, checked as a whole, and then published by one
-small appended table, so a failed check leaves everything readable as it was.
+The clean tables are one set of versions, the star another: all tables of a set
+are written beside the last version, checked, and published in one step, so a
+killed job or a failed check leaves everything readable as it was. Row rules are
+counted by the job that writes a table; uniqueness and references of several
+tables are one more.
 """
 
 from __future__ import annotations
 
 import os
-import uuid
 from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import reduce
 
-from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from seasonstar.operators import analytics, clean, dims, quality
@@ -37,6 +37,7 @@ from seasonstar.sources.layouts import (
     Window,
 )
 from seasonstar.sources.tables import MALFORMED, read_text_csv, rebuild_table
+from seasonstar.sources.versions import ConflictError, Version, VersionedTables
 
 GRAINS = {
     "mapping": [("RTO_Code",), (clean.MAPPING.name,), (clean.MAPPING.label_ascii,)],
@@ -48,9 +49,8 @@ GRAINS = {
     "fact": [("FactID",), facts.FACT_GRAIN],
 }
 ON_VIOLATION = ("fail", "quarantine")
-#: Tables of a star version, and the table that lists the published versions.
+#: Tables of a star version; all others belong to a version of the clean tables.
 STAR = ("months", "locations", "visitor_types", "fact", "spend_detail")
-VERSIONS = "star/versions"
 
 
 class LoadError(ValueError):
@@ -65,6 +65,12 @@ class RawPaths:
     spend: str
 
 
+def _counted(rows: DataFrame, name: str, fault: str) -> DataFrame:
+    return rows.agg(F.count(F.lit(1)).alias("n")).select(
+        F.lit(name).alias("name"), F.lit(fault).alias("fault"), "n"
+    )
+
+
 class Warehouse:
     """The tables under one root folder (on a cluster: shared storage)."""
 
@@ -84,35 +90,24 @@ class Warehouse:
         self.years = years
         self.hemisphere = hemisphere
 
-    def path(self, table: str) -> str:
-        if table in STAR:
-            version = self.version()
-            if version is None:
-                raise LoadError("no star has been built")
-            return self._star_path(version, table)
-        return os.path.join(self.root, table)
+        self.clean = VersionedTables(spark, os.path.join(root, "clean"))
+        self.star = VersionedTables(spark, os.path.join(root, "star"))
 
-    def _star_path(self, version: str, table: str) -> str:
-        return os.path.join(self.root, "star", version, table)
+    def path(self, table: str) -> str:
+        """Where the current version of ``table`` is."""
+        version = (self.star if table in STAR else self.clean).current()
+        if version is None:
+            raise LoadError("no star has been built" if table in STAR else "nothing has been loaded")
+        return version.path(table)
 
     def version(self) -> str | None:
         """The star version published last."""
-        try:
-            published = self.spark.read.parquet(os.path.join(self.root, VERSIONS))
-        except AnalysisException:
-            return None
-        last = published.orderBy(F.desc("number")).limit(1).collect()
-        return last[0]["version"] if last else None
-
-    def _publish(self, version: str) -> None:
-        path = os.path.join(self.root, VERSIONS)
-        number = 1
-        if self.version() is not None:
-            number += self.spark.read.parquet(path).agg(F.max("number")).first()[0]
-        row = self.spark.range(1, numPartitions=1).select(
-            F.lit(number).alias("number"), F.lit(version).alias("version")
-        )
-        row.write.mode("append").parquet(path)
+        current = self.star.current()
+        return current and current.name
+
+    def expire(self, keep: int = 2, unfinished_hours: float = 24.0) -> list[str]:
+        """Remove old versions of both sets, and what killed jobs have left; see ``VersionedTables``."""
+        return [n for tables in (self.clean, self.star) for n in tables.expire(keep, unfinished_hours)]
 
     def table(self, table: str) -> DataFrame:
         return self.spark.read.parquet(self.path(table))
@@ -132,16 +127,17 @@ class Warehouse:
         on_violation: str = "fail",
         multi_line: bool = False,
     ) -> None:
-        """Clean all four sources, the mapping first since the others refer to it.
+        """Clean all four sources, the mapping first since the others refer to it, all or nothing.
 
         ``on_violation="quarantine"`` loads the rows that pass their rules and
         keeps the others, with the failed rule names, under ``quarantine/``, and
         malformed records with their raw text under ``quarantine/<name>_records``.
         Otherwise either fails the load. Broken uniqueness or unknown area codes
-        always do.
+        always do. If another load is published meanwhile, this one fails.
         """
         if on_violation not in ON_VIOLATION:
             raise ValueError(f"on_violation must be one of {ON_VIOLATION}, got {on_violation!r}")
+        draft = self.clean.begin()
 
         def text(name: str, path: str, layout) -> DataFrame:
             if on_violation == "fail":
@@ -150,14 +146,25 @@ class Warehouse:
                 self.spark, path, layout.columns, on_malformed="capture", multi_line=multi_line
             )
             broken = records.where(F.col(MALFORMED).isNotNull())
-            rebuild_table(broken, self.path(f"quarantine/{name}_records"))
+            rebuild_table(broken, draft.path(f"quarantine/{name}_records"))
             return records.where(F.col(MALFORMED).isNull()).drop(MALFORMED)
 
-        mapping = clean.clean_mapping(
-            text("mapping", raw.mapping, mapping_layout), mapping_layout
-        )
-        self._replace("mapping", mapping, quality.mapping_rules(), on_violation)
-        mapping = self.table("mapping")
+        def build(name: str, frame: DataFrame, rules: list[quality.Rule]) -> DataFrame:
+            options = {"sort_by": ["RTO_Code"]}
+            if name != "mapping":
+                options = {"partition_by": ["Year"], "sort_by": ["RTO_Code", "Month"]}
+            if on_violation == "quarantine":
+                parsed = rebuild_table(frame, draft.path(f"parsed/{name}"))
+                frame, failed = quality.quarantine(parsed, rules)
+                rebuild_table(failed, draft.path(f"quarantine/{name}"))
+                rules = []
+            if name != "mapping":
+                frame = frame.withColumn("Year", F.year("Month"))
+            return self._build(draft, name, frame, rules, **options)
+
+        mapping = clean.clean_mapping(text("mapping", raw.mapping, mapping_layout), mapping_layout)
+        mapping = build("mapping", mapping, quality.mapping_rules())
+        self._verify({"mapping": mapping}, {})
         visitors = clean.clean_visitors(
             text("visitors", raw.visitors, visitor_layout), visitor_layout, visitor_window
         )
@@ -165,111 +172,109 @@ class Warehouse:
             text("nights", raw.nights, nights_layout), mapping, nights_layout, window, blank
         )
         spend = clean.clean_spend(text("spend", raw.spend, spend_layout), mapping, spend_layout, window)
-        for name, frame, rules in (
-            ("visitors", visitors, quality.visitor_rules()),
-            ("nights", nights, quality.nights_rules()),
-            ("spend", spend, quality.spend_rules()),
-        ):
-            self._replace(name, frame, rules, on_violation, parent=mapping)
-
-    def _replace(
-        self,
-        name: str,
-        frame: DataFrame,
-        rules: list[quality.Rule],
-        on_violation: str,
-        parent: DataFrame | None = None,
-    ) -> None:
-        """Stage, check, then replace the clean table."""
-        staged = rebuild_table(frame, self.path(f"staging/{name}"))
-        if on_violation == "quarantine":
-            staged, failed = quality.quarantine(staged, rules)
-            rebuild_table(failed, self.path(f"quarantine/{name}"))
-        else:
-            self._check_rules(name, staged, rules)
-        self._check_unique(name, staged)
-        if parent is None:
-            rebuild_table(staged, self.path(name), sort_by=["RTO_Code"])
-            return
-        self._check_orphans(name, staged, "RTO_Code", parent, "RTO_Code")
-        with_year = staged.withColumn("Year", F.year("Month"))
-        rebuild_table(
-            with_year, self.path(name), partition_by=["Year"], sort_by=["RTO_Code", "Month"]
-        )
+        tables = {
+            "visitors": build("visitors", visitors, quality.visitor_rules()),
+            "nights": build("nights", nights, quality.nights_rules()),
+            "spend": build("spend", spend, quality.spend_rules()),
+        }
+        self._verify(tables, dict.fromkeys(tables, [("RTO_Code", mapping, "RTO_Code")]))
+        self._publish(self.clean, draft)
 
     # --- clean → star -----------------------------------------------------------
 
     def build_star(self, refresh_years: Sequence[int] | None = None) -> None:
-        """Dimensions and facts from the clean tables, all or nothing.
+        """Dimensions and facts from one version of the clean tables, all or nothing.
 
         With ``refresh_years`` only those years of the facts are computed again,
         after revised months have been loaded, and the other years are taken over
         from the last version; the dimensions are always rebuilt. A year that no
         source holds any more leaves no row. Only a version that passes every
-        check is published; the versions before stay on storage.
+        check is published; the versions before stay on storage until ``expire``.
+        A load that is published meanwhile does not change what is read here, and
+        a star that is published meanwhile fails this one.
         """
-        sources = {name: self.table(name) for name in ("spend", "nights", "visitors")}
-        last = self.version()
-        version = f"v-{uuid.uuid4().hex}"
-
-        def build(name: str, frame: DataFrame, **options) -> DataFrame:
-            return rebuild_table(frame, self._star_path(version, name), **options)
-
+        loaded = self.clean.current()
+        if loaded is None:
+            raise LoadError("nothing has been loaded")
+        read = lambda name: self.spark.read.parquet(loaded.path(name))
+        sources = {name: read(name) for name in ("spend", "nights", "visitors")}
+        last = self.star.current()
+        draft = self.star.begin(clean=loaded.name)
         months = dims.month_dim(*sources.values(), hemisphere=self.hemisphere)
-        months = build("months", months, sort_by=["DateKey"])
-        locations = dims.location_dim(self.table("mapping"), self.bands, self.other_zone)
-        locations = build("locations", locations, sort_by=["LocationKey"])
-        types = build("visitor_types", dims.enum_dim(self.spark))
-        self._check_rules("months", months, quality.month_rules())
-        self._check_rules("locations", locations, quality.location_rules())
-        self._check_unique("months", months)
-        self._check_unique("locations", locations)
+        months = self._build(draft, "months", months, quality.month_rules(), sort_by=["DateKey"])
+        locations = dims.location_dim(read("mapping"), self.bands, self.other_zone)
+        locations = self._build(
+            draft, "locations", locations, quality.location_rules(), sort_by=["LocationKey"]
+        )
+        types = self._build(draft, "visitor_types", dims.enum_dim(self.spark), [])
         renewed = F.lit(True)
         if refresh_years is not None and last is not None:
             renewed = F.col("Year").isin(*refresh_years)
             sources = {name: frame.where(renewed) for name, frame in sources.items()}
         fact = facts.conform_fact(**sources, locations=locations, types=types, months=months)
         detail = facts.build_spend_detail(sources["spend"], locations, types, months)
+        tables = {"months": months, "locations": locations}
         for name, frame in (("fact", fact), ("spend_detail", detail)):
             whole = facts.with_calendar(frame).drop("MonthNumber")
             if refresh_years is not None and last is not None:
-                kept = self.spark.read.parquet(self._star_path(last, name)).where(~renewed)
+                kept = self.spark.read.parquet(last.path(name)).where(~renewed)
                 whole = whole.unionByName(kept.withColumn("Year", F.col("Year").cast("int")))
-            written = build(
-                name, whole, partition_by=["Year"], sort_by=["LocationKey", "DateKey"]
+            rules = [quality.not_null("FactID")] if name == "fact" else []
+            tables[name] = self._build(
+                draft, name, whole, rules, partition_by=["Year"], sort_by=["LocationKey", "DateKey"]
             )
-            if name == "fact":
-                self._check_rules("fact", written, [quality.not_null("FactID")])
-                self._check_unique("fact", written)
-            for key, parent in (
-                ("DateKey", months),
-                ("LocationKey", locations),
-                ("VisitorTypeKey", types),
-            ):
-                self._check_orphans(name, written, key, parent, key)
-        self._publish(version)
-
-    # --- checks -----------------------------------------------------------------
-
-    def _check_rules(self, name: str, frame: DataFrame, rules: list[quality.Rule]) -> None:
-        broken = quality.rule_violations(frame, rules).where("Violations > 0").collect()
-        if broken:
-            raise LoadError(f"{name}: " + ", ".join(f"{r.Rule} ({r.Violations})" for r in broken))
-
-    def _check_unique(self, name: str, frame: DataFrame) -> None:
-        for grain in GRAINS[name]:
-            # A unique constraint lets NULLs repeat.
-            known = frame.dropna(subset=list(grain))
-            copies = quality.duplicates(known, grain).count()
-            if copies:
-                raise LoadError(f"{name}: {copies} duplicate values of {', '.join(grain)}")
-
-    def _check_orphans(
-        self, name: str, frame: DataFrame, key: str, parent: DataFrame, parent_key: str
+        parents = [
+            ("DateKey", months, "DateKey"),
+            ("LocationKey", locations, "LocationKey"),
+            ("VisitorTypeKey", types, "VisitorTypeKey"),
+        ]
+        self._verify(tables, {"fact": parents, "spend_detail": parents})
+        self._publish(self.star, draft)
+
+    # --- writing and checks -----------------------------------------------------
+
+    def _build(
+        self, draft: Version, name: str, frame: DataFrame, rules: list[quality.Rule], **options
+    ) -> DataFrame:
+        """Write a table of a draft, counting broken rules on the way."""
+        path = draft.path(name)
+        if not rules:
+            return rebuild_table(frame, path, **options)
+        seen = Observation()
+        broken = [F.count_if(rule.violated).alias(f"r{i}") for i, rule in enumerate(rules)]
+        written = rebuild_table(frame.observe(seen, *broken), path, **options)
+        if any(seen.get.values()):
+            # a task that ran twice may have counted twice: the numbers to report are counted again
+            found = quality.rule_violations(written, rules).where("Violations > 0").collect()
+            if found:
+                raise LoadError(f"{name}: " + ", ".join(f"{r.Rule} ({r.Violations})" for r in found))
+        return written
+
+    def _verify(
+        self,
+        tables: dict[str, DataFrame],
+        parents: dict[str, list[tuple[str, DataFrame, str]]],
     ) -> None:
-        unknown = quality.orphans(frame, key, parent, parent_key).count()
-        if unknown:
-            raise LoadError(f"{name}: {unknown} values of {key} without a parent row")
+        """Uniqueness and references of all ``tables`` in one job."""
+        counts = []
+        for name, frame in tables.items():
+            for grain in GRAINS.get(name, ()):
+                # A unique constraint lets NULLs repeat.
+                known = frame.dropna(subset=list(grain))
+                fault = f"duplicate values of {', '.join(grain)}"
+                counts.append(_counted(quality.duplicates(known, grain), name, fault))
+            for key, parent, parent_key in parents.get(name, ()):
+                unknown = quality.orphans(frame, key, parent, parent_key)
+                counts.append(_counted(unknown, name, f"values of {key} without a parent row"))
+        found = reduce(DataFrame.unionAll, counts).where("n > 0").collect()
+        if found:
+            raise LoadError("; ".join(f"{r.name}: {r.n} {r.fault}" for r in found))
+
+    def _publish(self, tables: VersionedTables, draft: Version) -> None:
+        try:
+            tables.publish(draft)
+        except ConflictError as error:
+            raise LoadError(str(error)) from error
 
     # --- reading ----------------------------------------------------------------
 

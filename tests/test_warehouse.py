@@ -4,12 +4,14 @@ import csv
 import datetime as dt
 import os
 import re
+from concurrent.futures import ThreadPoolExecutor
 
 import pytest
 
 from seasonstar.plans.warehouse import LoadError, RawPaths, Warehouse
 from seasonstar.sources.layouts import MappingLayout, NightsLayout, SpendLayout, VisitorLayout
 from seasonstar.sources.tables import read_text_csv, rebuild_table
+from seasonstar.sources.versions import ConflictError, VersionedTables
 
 AREAS = ((7, "Harbour", "Visit Harbour"), (12, "Taupō", "Lake Taupo"), (30, "Hills", None))
 
@@ -164,6 +166,137 @@ def test_a_failed_star_leaves_the_last_one(spark, raw, tmp_path):
     assert warehouse.table("spend_detail").where("Year = 2025").count() == 96
 
 
+def everything(warehouse):
+    return {name: sorted(map(str, warehouse.table(name).collect())) for name in ("mapping", "visitors", "nights", "spend")}
+
+
+def test_a_refused_source_leaves_all_four_tables(spark, raw, tmp_path):
+    warehouse = Warehouse(spark, str(tmp_path / "wh"))
+    warehouse.load(raw)
+    before, version = everything(warehouse), warehouse.clean.current()
+    with open(raw.mapping, "a", encoding="utf-8") as handle:
+        handle.write("31,Far,Far,Far,Far,1\n")
+    withdraw(raw.visitors, "/2025")
+    with open(raw.spend, "a", encoding="utf-8") as handle:
+        handle.write("2/01/2024,Lake Taupo,Food,New Zealand,Anywhere,0,1\n")
+    for how in ("fail", "quarantine"):
+        with pytest.raises(LoadError, match="duplicate values"):
+            warehouse.load(raw, on_violation=how)
+        assert warehouse.clean.current() == version and everything(warehouse) == before
+
+
+@pytest.mark.parametrize("killed_at", ["mapping", "visitors", "spend", "fact", "publish"])
+def test_a_killed_job_leaves_everything(spark, raw, tmp_path, monkeypatch, killed_at):
+    from seasonstar.plans import warehouse as module
+
+    warehouse = Warehouse(spark, str(tmp_path / "wh"))
+    warehouse.load(raw)
+    warehouse.build_star()
+    versions = warehouse.clean.current(), warehouse.star.current()
+    before, fact = everything(warehouse), sorted(warehouse.table("fact").collect())
+    withdraw(raw.visitors, "/2025")
+
+    class Killed(BaseException):
+        pass
+
+    build, publish = module.rebuild_table, VersionedTables.publish
+
+    def dying(frame, path, **options):
+        if path.endswith(f"/{killed_at}"):
+            frame.limit(1).write.parquet(path)  # some files, and no word of success
+            raise Killed
+        return build(frame, path, **options)
+
+    def dying_publish(tables, version):
+        if killed_at == "publish":
+            raise Killed
+        return publish(tables, version)
+
+    monkeypatch.setattr(module, "rebuild_table", dying)
+    monkeypatch.setattr(VersionedTables, "publish", dying_publish)
+    with pytest.raises(Killed):
+        if killed_at != "fact":
+            warehouse.load(raw)
+        warehouse.build_star()
+    assert (warehouse.clean.current(), warehouse.star.current()) == versions
+    assert everything(warehouse) == before and sorted(warehouse.table("fact").collect()) == fact
+    assert warehouse.expire(unfinished_hours=1) == []
+    assert len(warehouse.expire(unfinished_hours=-1)) == 1
+    assert everything(warehouse) == before
+
+
+def test_two_builders_never_share_a_number(spark, raw, tmp_path, monkeypatch):
+    one, two = (Warehouse(spark, str(tmp_path / "wh")) for _ in range(2))
+    one.load(raw)
+    one.build_star()
+    begin = VersionedTables.begin
+
+    def overtaken(tables, **made_from):
+        draft = begin(tables, **made_from)
+        monkeypatch.setattr(VersionedTables, "begin", begin)
+        two.load(raw) if tables.root.endswith("clean") else two.build_star()
+        return draft
+
+    for job in (lambda: one.load(raw), one.build_star):
+        monkeypatch.setattr(VersionedTables, "begin", overtaken)
+        with pytest.raises(LoadError, match="published by another job"):
+            job()
+    for tables in (one.clean, one.star):
+        history = tables.history()
+        assert [v.number for v in history] == [1, 2] and len({v.name for v in history}) == 2
+    assert one.star.current().made_from == {"clean": one.clean.current().name}
+    one.load(raw)
+    assert [v.number for v in two.clean.history()] == [1, 2, 3]
+
+
+def test_publishing_checks_for_the_number_itself(spark, tmp_path):
+    tables = VersionedTables(spark, str(tmp_path / "set"))
+    assert tables.current() is None
+    with pytest.raises(LookupError):
+        tables.table("t")
+    drafts = [tables.begin() for _ in range(8)]
+    for draft in drafts:
+        spark.range(1).write.parquet(draft.path("t"))
+
+    def publish(draft):
+        try:
+            return tables.publish(draft).number
+        except ConflictError:
+            return None
+
+    with ThreadPoolExecutor(8) as pool:
+        done = list(pool.map(publish, drafts))
+    assert [n for n in done if n is not None] == [1]
+    assert tables.current().name == drafts[done.index(1)].name
+
+
+def test_old_versions_expire(spark, raw, tmp_path):
+    warehouse = Warehouse(spark, str(tmp_path / "wh"))
+    for _ in range(4):
+        warehouse.load(raw)
+    kept = [v.name for v in warehouse.clean.history()[-2:]]
+    assert len(warehouse.expire(keep=2)) == 2
+    assert [v.name for v in warehouse.clean.history()] == kept
+    folders = {n for n in os.listdir(tmp_path / "wh" / "clean") if n.startswith("v-")}
+    assert folders == set(kept) and warehouse.table("visitors").count() == 144
+    with pytest.raises(ValueError):
+        warehouse.expire(keep=0)
+
+
+def test_checks_take_one_job_beside_the_writes(spark, raw, tmp_path):
+    warehouse = Warehouse(spark, str(tmp_path / "wh"))
+    store = spark._jsparkSession.sharedState().statusStore()
+    started = store.executionsCount()
+    warehouse.load(raw)
+    loaded = store.executionsCount()
+    warehouse.build_star()
+    built = store.executionsCount()
+    # two looks at every header, four writes, two checks, and the mapping measured for two joins
+    assert loaded - started == 2 * 4 + 4 + 2 + 2
+    # five writes and one check
+    assert built - loaded == 5 + 1
+
+
 def test_malformed_records(spark, raw, tmp_path):
     with open(raw.nights, "a", encoding="utf-8") as handle:
         handle.write("2024-01-01,RTO,Taupō RTO,Cabin, extra,Domestic guest nights,7,\n")
