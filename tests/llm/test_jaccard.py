@@ -136,3 +136,24 @@ def test_components(spark):
         i: int(root[i]) for i in range(1000) if root[i] != i
     }
     assert components(spark.createDataFrame([], "u long, v long")).collect() == []
+
+
+def test_words_across_pieces_hash_like_whole_ones():
+    size = jaccard.BYTES_AT_A_TIME
+    mask = (1 << 64) - 1
+
+    def whole(word):
+        total = len(word)
+        for i, byte in enumerate(word):
+            total += int(jaccard._BYTE[byte]) * pow(jaccard._BASE, i, 1 << 64)
+        return int(jaccard._mixed(np.array([total & mask], dtype=np.uint64))[0])
+
+    words = ["a", "x" * (size - 2), "é" * 5, "yz" * size, "b", "c" * (size - 1), "last" * 40]
+    for text in (" ".join(words), "\n".join(words) + " ", " " * (size - 1) + " ".join(words[::-1])):
+        assert jaccard.word_hashes(text).tolist() == [whole(w.encode()) for w in text.split()]
+
+
+def test_a_very_long_word_leaves_no_larger_tables():
+    before = jaccard._POWERS.nbytes + jaccard._INVERSE.nbytes
+    assert len(jaccard.word_hashes("x" * 20_000_000)) == 1
+    assert jaccard._POWERS.nbytes + jaccard._INVERSE.nbytes == before
