@@ -89,7 +89,10 @@ def rebuild_table(
     elif refresh:
         raise ValueError("refresh needs partition_by")
     writer.parquet(path)
-    return frame.sparkSession.read.parquet(path)
+    reader = frame.sparkSession.read
+    if partition_by:  # without rows there is no file to take the schema from
+        reader = reader.schema(frame.schema)
+    return reader.parquet(path)
 
 
 @cache

@@ -15,9 +15,11 @@ import os
 import time
 import uuid
 from dataclasses import dataclass, field
+from functools import reduce
 
 from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 PUBLISHED = "_published"
 
@@ -34,6 +36,8 @@ class Version:
     name: str
     number: int
     made_from: dict[str, str] = field(default_factory=dict)
+    #: Table → folder of a version → the partitions of that table that this version takes from there.
+    parts: dict[str, dict[str, list[int]]] = field(default_factory=dict)
 
     def path(self, table: str) -> str:
         return os.path.join(self.root, self.name, table)
@@ -65,7 +69,35 @@ class VersionedTables:
         version = self.current()
         if version is None:
             raise LookupError(f"nothing has been published under {self.root}")
-        return self.spark.read.parquet(version.path(name))
+        return self.read(version, name)
+
+    def read(self, version: Version, name: str) -> DataFrame:
+        """A table of ``version``, with the partitions it shares with older versions."""
+        parts = version.parts.get(name)
+        if not parts:
+            return self.spark.read.parquet(version.path(name))
+        column = self.partition_column(version, name)
+        taken = [
+            self.spark.read.parquet(os.path.join(self.root, folder, name)).where(
+                F.col(column).isin(values)
+            )
+            for folder, values in parts.items()
+        ]
+        return reduce(DataFrame.unionByName, taken)
+
+    def holds(self, version: Version, name: str) -> bool:
+        return name in version.parts or self._files().exists(self._path(version.name, name))
+
+    def partition_column(self, version: Version, name: str) -> str:
+        folder = next(iter(version.parts.get(name, {})), version.name)
+        return self._partitions(os.path.join(folder, name))[0][0]
+
+    def partitions(self, version: Version, name: str) -> dict[str, list[int]]:
+        """Where the partitions of a table, numbered by one column, are: folder → values."""
+        if name in version.parts:
+            return version.parts[name]
+        found = [int(value) for _, value in self._partitions(os.path.join(version.name, name))]
+        return {version.name: sorted(found)} if found else {}
 
     # --- writing ----------------------------------------------------------------
 
@@ -77,7 +109,9 @@ class VersionedTables:
     def publish(self, version: Version) -> Version:
         """Make ``version`` the current one, unless another was published since it was begun."""
         number = version.number + 1
-        text = json.dumps({"version": version.name, "made_from": version.made_from})
+        text = json.dumps(
+            {"version": version.name, "made_from": version.made_from, "parts": version.parts}
+        )
         target = self._file(number)
         draft = self._path(PUBLISHED, f".{version.name}")
         stream = self._files().create(draft, True)
@@ -103,11 +137,14 @@ class VersionedTables:
     def expire(self, keep: int = 2, unfinished_hours: float = 24.0) -> list[str]:
         """Remove all but the last ``keep`` published versions, and folders that were never published
         and have not changed for so long; the names of those removed. Running readers of a removed
-        version fail, so keep as many as are built while the longest query runs."""
+        version fail, so keep as many as are built while the longest query runs. A folder that a
+        kept version shares partitions with stays; once none does, it counts as never published."""
         if keep < 1:
             raise ValueError("the current version has to be kept")
         files, history = self._files(), self.history()
         kept = {version.name for version in history[-keep:]}
+        for version in history[-keep:]:
+            kept.update(folder for parts in version.parts.values() for folder in parts)
         published = {version.name for version in history}
         for version in history[:-keep]:
             files.delete(self._file(version.number), False)
@@ -140,6 +177,10 @@ class VersionedTables:
         path = self._path(folder)
         return list(self._files().listStatus(path)) if self._files().exists(path) else []
 
+    def _partitions(self, folder: str) -> list[list[str]]:
+        names = [status.getPath().getName() for status in self._listed(folder)]
+        return [name.split("=", 1) for name in names if "=" in name]
+
     def _numbers(self) -> list[int]:
         names = [status.getPath().getName() for status in self._listed(PUBLISHED)]
         return [int(name) for name in names if name.isdigit()]
@@ -156,7 +197,8 @@ class VersionedTables:
         finally:
             stream.close()
         read = json.loads(text)
-        return Version(self.root, read["version"], number, read["made_from"])
+        # publications of earlier releases share nothing
+        return Version(self.root, read["version"], number, read["made_from"], read.get("parts", {}))
 
     def _rename(self, draft, target) -> None:
         """Rename, but fail if ``target`` exists."""
