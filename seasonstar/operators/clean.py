@@ -10,6 +10,8 @@ area mapping measures small.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -37,6 +39,8 @@ from seasonstar.sources.layouts import (
 MAPPING = MappingLayout()
 
 _BLANKS = ("null", "zero")
+#: Reasons of rows that pass all filters and are not loaded.
+UNKNOWN_AREA, OUTSIDE = "area unknown", "outside the window"
 
 
 def _raw(name: str) -> Column:
@@ -51,15 +55,26 @@ def _in_window(window: Window | None) -> Column:
     return F.coalesce(F.col("Month").between(F.lit(low), F.lit(high)), F.lit(False))
 
 
-def _parsed_once(raw: DataFrame, kept: Column, kept_only: bool, *columns: Column) -> DataFrame:
-    """``columns`` and ``Kept`` of each row, or of the kept rows only.
+def _parsed_once(
+    raw: DataFrame, filters: dict[str, Column], kept_only: bool, trace: bool, *columns: Column
+) -> DataFrame:
+    """``columns`` and ``Kept`` of each row, or of the kept rows only, which pass all ``filters``.
 
     The columns come out of a generator with one row per row. Filters on its output stay above
-    it, where they would otherwise be moved to the scan and parse each text again.
+    it, where they would otherwise be moved to the scan and parse each text again. ``trace``
+    adds ``Failed``, the name of the first filter a row fails, and the row itself as ``Raw``.
     """
+    kept = reduce(Column.__and__, filters.values())
     rows = raw.where(kept) if kept_only else raw
     flag = F.lit(True) if kept_only else F.coalesce(kept, F.lit(False))
-    return rows.select(F.inline(F.array(F.struct(*columns, flag.alias("Kept")))))
+    extra = []
+    if trace:
+        failed = [F.when(F.coalesce(~f, F.lit(True)), F.lit(name)) for name, f in filters.items()]
+        extra = [
+            F.coalesce(*failed).alias("Failed"),
+            F.struct(*[_raw(name) for name in raw.columns]).alias("Raw"),
+        ]
+    return rows.select(F.inline(F.array(F.struct(*columns, flag.alias("Kept"), *extra))))
 
 
 def clean_mapping(raw: DataFrame, layout: MappingLayout = MAPPING) -> DataFrame:
@@ -80,16 +95,21 @@ def area_keys(mapping: DataFrame, column: str) -> DataFrame:
 
 
 def standardise_visitors(
-    raw: DataFrame, layout: VisitorLayout = VisitorLayout(), kept_only: bool = False
+    raw: DataFrame,
+    layout: VisitorLayout = VisitorLayout(),
+    kept_only: bool = False,
+    trace: bool = False,
 ) -> DataFrame:
     code = lenient_int(last_chars(trimmed(_raw(layout.code)), 2)).try_cast("int")
-    kept = (trimmed(_raw(layout.level)) == layout.level_kept) & trimmed(_raw(layout.segment)).isin(
-        *layout.types
-    )
+    filters = {
+        "area level": trimmed(_raw(layout.level)) == layout.level_kept,
+        "visitor type": trimmed(_raw(layout.segment)).isin(*layout.types),
+    }
     return _parsed_once(
         raw,
-        kept,
+        filters,
         kept_only,
+        trace,
         code.alias("AreaKey"),
         remove_all(_raw(layout.destination), layout.suffix).alias("Destination"),
         recode(_raw(layout.segment), layout.types).alias("Visitor_type"),
@@ -113,6 +133,7 @@ def standardise_nights(
     layout: NightsLayout = NightsLayout(),
     blank: str = "null",
     kept_only: bool = False,
+    trace: bool = False,
 ) -> DataFrame:
     """Guest nights; a blank value is NULL, or 0 with ``blank="zero"``."""
     if blank not in _BLANKS:
@@ -121,17 +142,18 @@ def standardise_nights(
     nights = lenient_int(value)
     if blank == "null":
         nights = F.when(trimmed(value) != "", nights)
-    kept = (
-        (trimmed(_raw(layout.level)) == layout.level_kept)
-        & (trimmed(_raw(layout.area)) != layout.national_area)
-        & (trimmed(_raw(layout.property_type)) != layout.total_property)
-        & trimmed(_raw(layout.measure)).isin(*layout.types)
-        & (F.coalesce(trimmed(_raw(layout.flag)), F.lit("")) != layout.suppressed)
-    )
+    filters = {
+        "area level": trimmed(_raw(layout.level)) == layout.level_kept,
+        "area excluded": trimmed(_raw(layout.area)) != layout.national_area,
+        "total of properties": trimmed(_raw(layout.property_type)) != layout.total_property,
+        "visitor type": trimmed(_raw(layout.measure)).isin(*layout.types),
+        "suppressed": F.coalesce(trimmed(_raw(layout.flag)), F.lit("")) != layout.suppressed,
+    }
     return _parsed_once(
         raw,
-        kept,
+        filters,
         kept_only,
+        trace,
         strip_suffix(_raw(layout.area), layout.suffix).alias("AreaKey"),
         month_start(_raw(layout.month)).alias("Month"),
         trimmed(_raw(layout.property_type)).alias("Property"),
@@ -155,15 +177,20 @@ def clean_nights(
 
 
 def standardise_spend(
-    raw: DataFrame, layout: SpendLayout = SpendLayout(), kept_only: bool = False
+    raw: DataFrame,
+    layout: SpendLayout = SpendLayout(),
+    kept_only: bool = False,
+    trace: bool = False,
 ) -> DataFrame:
-    kept = ~trimmed(_raw(layout.area)).isin(*layout.excluded_areas) & trimmed(
-        _raw(layout.type)
-    ).isin(*layout.types)
+    filters = {
+        "area excluded": ~trimmed(_raw(layout.area)).isin(*layout.excluded_areas),
+        "visitor type": trimmed(_raw(layout.type)).isin(*layout.types),
+    }
     return _parsed_once(
         raw,
-        kept,
+        filters,
         kept_only,
+        trace,
         trimmed(_raw(layout.area)).alias("AreaKey"),
         month_start(_raw(layout.month)).alias("Month"),
         trimmed(_raw(layout.product)).alias("Product"),
@@ -225,3 +252,40 @@ def reconcile_rows(rows: DataFrame, keys: DataFrame, window: Window | None = Non
         total(F.col("Kept") & F.col("Matched")).alias("MatchedRows"),
         total(F.col("Kept") & F.col("Matched") & F.col("InWindow")).alias("LoadedRows"),
     )
+
+
+def dropped_rows(rows: DataFrame, keys: DataFrame, window: Window | None = None) -> DataFrame:
+    """Every row that the load leaves out, as it was read (``Raw``), with the ``Reason``.
+
+    ``rows`` come from a standardise function with ``trace=True``. The reason is the first filter
+    that a row fails, in the order of the filters (a filter on a missing value fails), then an
+    area key the mapping does not have, then a month outside the window or missing; so the counts
+    per reason add up to the steps of ``reconcile_rows``. One pass, joined as the load joins.
+    """
+    known = keys.withColumnRenamed("RTO_Code", "__code").withColumn("__known", F.lit(True))
+    reason = F.coalesce(
+        F.col("Failed"),
+        F.when(F.col("__known").isNull(), F.lit(UNKNOWN_AREA)),
+        F.when(~_in_window(window), F.lit(OUTSIDE)),
+    )
+    joined = dim_join(rows, known, ["AreaKey"], how="left")
+    return joined.select(reason.alias("Reason"), "AreaKey", "Month", "Raw").where("Reason IS NOT NULL")
+
+
+def drop_reasons(dropped: DataFrame) -> DataFrame:
+    """Rows per reason of ``dropped_rows``."""
+    return dropped.groupBy("Reason").agg(F.count(F.lit(1)).alias("Rows"))
+
+
+def near_keys(rows: DataFrame, keys: DataFrame) -> DataFrame:
+    """Unmatched text keys that are canonically equal to a known one, with that key and its area.
+
+    A letter with a mark can be one character or two (``ō`` or ``o`` and U+0304), which look the
+    same and do not match. Only distinct unmatched keys are compared, under Unicode collation;
+    a key that differs in letter, mark, case or width is another key.
+    """
+    lost = unmatched_keys(rows, keys).withColumn("__same", F.collate("AreaKey", "UNICODE"))
+    known = keys.select(
+        F.collate("AreaKey", "UNICODE").alias("__same"), F.col("AreaKey").alias("KnownKey"), "RTO_Code"
+    )
+    return lost.join(known, "__same").select("AreaKey", "KnownKey", "RTO_Code", "Rows")

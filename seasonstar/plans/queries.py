@@ -127,22 +127,22 @@ def clean_spend(d: Demo) -> DataFrame:
     )
 
 
-def _standardised(d: Demo):
+def _standardised(d: Demo, trace: bool = False):
     """Source, with spoiled rows added → (standardised rows, area keys, load window)."""
     mapping = d.mapping
     codes = mapping.select(F.col("RTO_Code").alias("AreaKey"), "RTO_Code")
     return {
         "nights": (
-            clean.standardise_nights(d.spoiled_nights, demo.NIGHTS_LAYOUT),
+            clean.standardise_nights(d.spoiled_nights, demo.NIGHTS_LAYOUT, trace=trace),
             clean.area_keys(mapping, clean.MAPPING.name),
             demo.WINDOW,
         ),
         "spend": (
-            clean.standardise_spend(d.spoiled_spend, demo.SPEND_LAYOUT),
+            clean.standardise_spend(d.spoiled_spend, demo.SPEND_LAYOUT, trace=trace),
             clean.area_keys(mapping, clean.MAPPING.label_ascii),
             demo.WINDOW,
         ),
-        "visitors": (clean.standardise_visitors(d.spoiled_visitors), codes, None),
+        "visitors": (clean.standardise_visitors(d.spoiled_visitors, trace=trace), codes, None),
     }
 
 
@@ -166,6 +166,31 @@ def reconcile_rows(d: Demo) -> DataFrame:
     )
 
 
+def drop_reasons(d: Demo) -> DataFrame:
+    """How many rows of each source are left out, by the first reason."""
+    return _union(
+        [
+            _with_source(name, clean.drop_reasons(clean.dropped_rows(rows, keys, window)))
+            for name, (rows, keys, window) in _standardised(d, trace=True).items()
+        ]
+    )
+
+
+def near_keys(d: Demo) -> DataFrame:
+    """Guest nights whose area names end in a macron, written in one character, in two, or left out."""
+    one, two = "\u014d", "o\u0304"
+    end = (
+        F.when(text.lenient_int("Value") % 3 == 0, one)
+        .when(text.lenient_int("Value") % 3 == 1, two)
+        .otherwise("o")
+    )
+    area = clean.strip_suffix(F.col("Area"), demo.NIGHTS_LAYOUT.suffix)
+    raw = d.spoiled_nights.withColumn("Area", F.concat(area, end))
+    keys = clean.area_keys(d.mapping, clean.MAPPING.name)
+    keys = keys.withColumn("AreaKey", F.concat("AreaKey", F.lit(one)))
+    return clean.near_keys(clean.standardise_nights(raw, demo.NIGHTS_LAYOUT), keys)
+
+
 # --- star ---------------------------------------------------------------------------
 
 
@@ -368,6 +393,8 @@ QUERIES: dict[str, Query] = {
         clean_spend,
         unmatched_keys,
         reconcile_rows,
+        drop_reasons,
+        near_keys,
         month_dim,
         location_dim,
         visitor_type_dim,

@@ -137,3 +137,49 @@ def test_nfd_names_are_reported(spark, mapping):
     assert clean.clean_nights(raw, mapping).count() == 0
     keys = clean.area_keys(mapping, clean.MAPPING.name)
     assert clean.unmatched_keys(clean.standardise_nights(raw), keys).first().Rows == 1
+
+
+def test_dropped_rows_name_the_first_reason(spark, mapping):
+    rows = [
+        ("1/01/2024", "Lake Taupo", "Food", "New Zealand", "x", "1", "1"),  # loaded
+        ("1/01/2024", "non-RTO - Kawerau", "Food", "Total", "x", "1", "1"),  # fails both filters
+        ("1/01/2024", None, "Food", "New Zealand", "x", "1", "1"),
+        ("1/01/2024", "Lake Taupo", "Food", "Total", "x", "1", "1"),
+        ("1/01/2024", "Lake Taupo", "Food", None, "x", "1", "1"),
+        ("1/12/2023", "Atlantis", "Food", "New Zealand", "x", "1", "1"),  # unknown before early
+        ("1/12/2023", "Lake Taupo", "Food", "New Zealand", "x", "1", "1"),
+        ("soon", "Lake Taupo", "Food", "New Zealand", "x", "1", "1"),
+        ("soon", "Lake Taupo", "Food", "New Zealand", "x", "1", "1"),  # a repeated row counts
+    ]
+    raw = text_frame(spark, SpendLayout(), rows)
+    keys = clean.area_keys(mapping, clean.MAPPING.label_ascii)
+    window = (M(2024, 1, 1), M(2026, 6, 1))
+    std = clean.standardise_spend(raw, trace=True)
+    dropped = clean.dropped_rows(std, keys, window)
+    got = sorted(((r.Reason, tuple(r.Raw)) for r in dropped.collect()), key=repr)
+    reasons = (
+        *["area excluded"] * 2, *["visitor type"] * 2, "area unknown", *["outside the window"] * 3
+    )
+    assert got == sorted(zip(reasons, rows[1:], strict=True), key=repr)
+    counts = {r.Reason: r.Rows for r in clean.drop_reasons(dropped).collect()}
+    raw_rows, kept, matched, loaded = clean.reconcile_rows(std, keys, window).first()
+    assert counts["area excluded"] + counts["visitor type"] == raw_rows - kept
+    assert counts["area unknown"] == kept - matched
+    assert counts["outside the window"] == matched - loaded
+    assert clean.dropped_rows(std.limit(0), keys, window).isEmpty()
+    # without a window a row without a month is loaded, as the cleaners do
+    assert clean.dropped_rows(std, keys).where("Reason = 'outside the window'").isEmpty()
+
+
+def test_near_keys(spark, mapping):
+    def names(*texts):
+        rows = [("2024-01-01", "RTO", f"{t} RTO", "Motel", "Domestic guest nights", "1", "") for t in texts]
+        return clean.standardise_nights(text_frame(spark, NightsLayout(), rows))
+
+    keys = clean.area_keys(mapping, clean.MAPPING.name)
+    two = "Taupo\u0304"
+    rows = names("Taup\u014d", two, two, "Taupo", "taup\u014d", "Taupo\u0301", "Atlantis", "")
+    assert [tuple(r) for r in clean.near_keys(rows, keys).collect()] == [(two, "Taup\u014d", 12, 2)]
+    # the other way round: the mapping in two characters
+    keys = keys.replace({"Taup\u014d": two}, subset=["AreaKey"])
+    assert [tuple(r) for r in clean.near_keys(rows, keys).collect()] == [("Taup\u014d", two, 12, 1)]
