@@ -22,12 +22,13 @@ ROUNDS = 4
 def number_rows(rows: DataFrame, key: str, tie: list[str], buckets: int = BUCKETS) -> DataFrame:
     """``rows`` with ``row_number``: 0 to count - 1, decided by the rows alone.
 
-    Rows are ordered by a hash bucket of ``key``, then ``key``, then ``tie``. Each
-    bucket is numbered on its own and shifted by the rows of the buckets before it,
-    so no task ever holds more than a bucket's sorted, spillable run. Rows equal in
-    ``key`` and ``tie`` are interchangeable. A NULL key is a key like any other.
+    Rows are ordered by a hash bucket of ``key`` and ``tie``, then ``key``, then ``tie``.
+    Each bucket is numbered on its own and shifted by the rows of the buckets before it,
+    so no task ever holds more than a bucket's sorted, spillable run, and a key that many
+    different rows share is spread over all buckets. Rows equal in ``key`` and ``tie`` are
+    interchangeable, and one run. A NULL key is a key like any other.
     """
-    bucket = F.pmod(F.xxhash64(F.col(key)), F.lit(buckets)).cast("int")
+    bucket = F.pmod(F.xxhash64(F.col(key), *tie), F.lit(buckets)).cast("int")
     before = Window.orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = (
         rows.select(bucket.alias("__bucket"))

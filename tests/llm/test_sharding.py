@@ -4,6 +4,7 @@ import zlib
 
 import pytest
 from helpers import AWKWARD, awkward, empty
+from pyspark.sql import functions as F
 
 from seasonstar.llm import sharding
 
@@ -12,8 +13,6 @@ SF_DIR = "/root/testdata/sf0.001"
 
 @pytest.mark.parametrize("count", [1, 2, 3, 6, 7, 12, 50, 1009])
 def test_every_number_is_hit_once(spark, count):
-    from pyspark.sql import functions as F
-
     for seed in (1, 2):
         place = sharding.permuted(spark, F.col("id"), count, seed)
         found = [r.p for r in spark.range(count).select(place.alias("p")).collect()]
@@ -53,3 +52,17 @@ def test_awkward_and_empty_tables(spark):
     assert len(places) == len(AWKWARD) and all(s < 2 for _, s in places)
     assert {r["size"] for r in rows if r.doc_id == 2} == {1}
     assert sharding.op1_sharding(empty(spark)).collect() == []
+
+
+def test_rows_of_one_key_are_spread(spark):
+    rows = spark.range(20_000).select(
+        F.lit(None).cast("long").alias("doc_id"), F.concat(F.lit("text "), "id").alias("text")
+    )
+    numbered = sharding.number_rows(rows, "doc_id", ["text"], buckets=64)
+    assert sorted(r.row_number for r in numbered.select("row_number").collect()) == list(range(20_000))
+    # neighbours in number are a bucket, so its rows are those of one hash
+    bucket = F.pmod(F.xxhash64("doc_id", "text"), F.lit(64)).alias("bucket")
+    sizes = [r["count"] for r in numbered.groupBy(bucket).count().collect()]
+    assert len(sizes) == 64 and max(sizes) < 2 * sorted(sizes)[32]
+    runs = numbered.groupBy(bucket).agg((F.max("row_number") - F.min("row_number") + 1 - F.count("*")).alias("gap"))
+    assert runs.where("gap != 0").isEmpty()
