@@ -9,8 +9,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from seasonstar.functions import text
+from seasonstar.functions.numeric import round_half_up
 from seasonstar.operators import analytics, clean, dims, quality
 from seasonstar.operators import fact as facts
+from seasonstar.operators.selection import exact_median
 from seasonstar.plans import demo
 from seasonstar.plans.demo import Demo
 from seasonstar.sources.layouts import DOMESTIC, INTERNATIONAL, VisitorLayout
@@ -374,6 +376,13 @@ def top_exposed_areas(d: Demo) -> DataFrame:
     return analytics.top_exposed_areas(exposure_score(d))
 
 
+def spend_median(d: Demo) -> DataFrame:
+    """The middle spending row of each visitor type and origin, of which a few hold all rows."""
+    keys = ["Visitor_type", "Origin"]
+    medians = exact_median(d.spend, keys, "Monthly_Spend_Million", "MedianMillion")
+    return medians.withColumn("MedianMillion", round_half_up(F.col("MedianMillion"), 9))
+
+
 def index_to_own_mean(d: Demo) -> DataFrame:
     """International visitors and domestic spending, each against its own average month."""
     series = (("VisitorCount", INTERNATIONAL), ("SpendMillion", DOMESTIC))
@@ -418,6 +427,7 @@ QUERIES: dict[str, Query] = {
         counter_demand_summary,
         exposure_score,
         top_exposed_areas,
+        spend_median,
         index_to_own_mean,
     )
 }
