@@ -48,7 +48,7 @@ class Coder:
     radius: int
 
     def bits(self, vectors: np.ndarray) -> np.ndarray:
-        unit = vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
+        unit = _unit(vectors)
         return (unit - self.mean) @ self.projection > 0
 
     def keys(self, bits: np.ndarray) -> np.ndarray:
@@ -58,6 +58,12 @@ class Coder:
         return cut.astype(np.int64) @ weight
 
 
+def _unit(vectors: np.ndarray) -> np.ndarray:
+    """By the largest component first: the square of a tiny or a huge one is no double."""
+    scaled = vectors / np.abs(vectors).max(axis=1, keepdims=True)
+    return scaled / np.linalg.norm(scaled, axis=1, keepdims=True)
+
+
 def _rotation(projected: np.ndarray, random: np.random.Generator) -> np.ndarray:
     """Iterative quantisation: the rotation that brings the rows near to their signs."""
     rotation = np.linalg.qr(random.standard_normal((projected.shape[1],) * 2))[0]
@@ -76,7 +82,7 @@ def learn(sample: np.ndarray, count: int, threshold: float = THRESHOLD, seed: in
     exactly the threshold. Each rotation starts from another random one.
     """
     random = np.random.default_rng(seed)
-    unit = sample / np.linalg.norm(sample, axis=1, keepdims=True)
+    unit = _unit(sample)
     mean = unit.mean(axis=0)
     noise = random.standard_normal(unit.shape)
     noise -= (noise * unit).sum(axis=1, keepdims=True) * unit

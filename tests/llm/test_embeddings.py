@@ -124,3 +124,17 @@ def test_rotation_is_orthogonal_and_codes_are_balanced():
     gram = coder.projection[:, :32].T @ coder.projection[:, :32]
     assert np.allclose(gram, np.eye(32), atol=1e-8)
     assert abs(coder.bits(vectors).mean(axis=0) - 0.5).max() < 0.12
+
+
+def test_tiny_and_huge_doubles(spark):
+    vectors = planted(60, 6, 3, 16, 9).astype(np.float64)
+    scale = np.array([1e-230, 1.0, 1e230])[np.arange(len(vectors)) % 3][:, None]
+    one = embeddings.learn(vectors * scale, 100)
+    assert np.isfinite(one.projection).all() and np.isfinite(one.mean).all()
+    assert (one.bits(vectors) == one.bits(vectors * scale)).mean() > 0.999
+    rows = [(i, [float(x) for x in v]) for i, v in enumerate(vectors * scale)]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    links = brute(vectors)
+    assert {r.vec_id: r.n_links for r in embeddings.op9_embeddings(frame).collect()} == {
+        i: int(n) for i, n in enumerate(links.sum(axis=1))
+    }
