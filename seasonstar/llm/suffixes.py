@@ -10,6 +10,10 @@ in both tell which of the strings around an anchor are equal, and so which of th
 Documents are dealt to blocks of bounded size. Blocks ask, parts answer; what is sent are
 compressed tables of hashes, of the distinct surroundings of anchors, and of results, never
 the occurrences of a string one by one. A string that is everywhere is sent once by each block.
+
+An anchor may be frequent and stand in other surroundings each time, as a short line in very many
+documents does. The surroundings of anchors with more than ``MANY_FORMS`` of them are not sent:
+their strings are, dealt by their own hash and only if that hash occurs twice, and sorted alike.
 """
 
 from __future__ import annotations
@@ -34,6 +38,8 @@ OFFSETS = LENGTH - GRAM + 1
 SHALLOW, KEY = 32, 8
 #: Bytes of text in a block, and parts that hashes and surroundings are dealt to for each block.
 BLOCK_BYTES, PARTS_PER_BLOCK = 8 << 20, 1
+#: Surroundings of one anchor hash, counted by block, from which strings are dealt one by one.
+MANY_FORMS = 1 << 16
 #: Bytes whose hashes are computed at a time.
 BYTES_AT_A_TIME = 1 << 16
 _PLACE_BITS = 17
@@ -144,6 +150,32 @@ def _anchors(piece: np.ndarray, starts: np.ndarray, ends: np.ndarray, strings: n
     return at, gram[at], around, row
 
 
+def strings_around(
+    texts: list[bytes], index: np.ndarray, place: np.ndarray
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The strings of LENGTH bytes that hold the anchors at ``place`` of texts ``index``, each
+    start once: which text, start, and hash."""
+    found: list[tuple] = []
+    edges = np.flatnonzero(np.diff(index, prepend=-1, append=-1))
+    for a, b in zip(edges, edges[1:], strict=False):
+        data = texts[index[a]]
+        starts = (place[a:b, None] - np.arange(OFFSETS)).ravel()
+        starts = np.unique(starts[(starts >= 0) & (starts <= len(data) - LENGTH)])
+        pieces = np.flatnonzero(np.diff(starts // BYTES_AT_A_TIME, prepend=-1))
+        for own in np.split(starts, pieces)[1:]:
+            size = int(own[-1] - own[0]) + LENGTH
+            piece = np.frombuffer(data, np.uint8, size, int(own[0]))
+            sums = np.zeros(size + 1, dtype=np.uint64)
+            np.cumsum(_BYTE[piece] * _UP[:size], out=sums[1:])
+            at = own - own[0]
+            hashes = _mixed((sums[at + LENGTH] - sums[at]) * _DOWN[at])
+            found.append((np.full(len(own), index[a]), own, hashes))
+    if not found:
+        nothing = np.empty(0, dtype=np.int64)
+        return nothing, nothing, nothing.astype(np.uint64)
+    return tuple(np.concatenate(column) for column in zip(*found, strict=True))
+
+
 # ---------------------------------------------------------------- deep-shallow sorting
 
 
@@ -353,90 +385,153 @@ def _short(hashes: np.ndarray) -> np.ndarray:
     return hashes >> np.uint64(64 - HASH_BITS)
 
 
+def _dealt_hashes(block: int, hashes: np.ndarray, forms: np.ndarray, parts: int) -> pa.Table:
+    """Distinct ``hashes`` of a block, whether each occurs twice in it, and in how many forms."""
+    order = np.lexsort((forms, hashes))
+    hashes, forms = hashes[order], forms[order]
+    new_hash = np.diff(hashes, prepend=hashes[:1] ^ np.uint64(1)) != 0
+    new_form = new_hash | (np.diff(forms, prepend=forms[:1]) != 0)
+    starts = np.flatnonzero(new_hash)
+    count = np.diff(starts, append=len(hashes))
+    different = np.add.reduceat(new_form.astype(np.int64), starts) if len(starts) else starts
+    hashes = hashes[starts]
+
+    def make(own: np.ndarray) -> bytes:
+        return _blob(
+            step=pa.array(np.diff(hashes[own], prepend=np.uint64(0))),
+            twice=pa.array(count[own] > 1),
+            forms=pa.array(different[own]),
+        )
+
+    return _dealt(block, _part_of(hashes, parts), make)
+
+
 def _ask_hashes(placed: DataFrame, copies: DataFrame, parts: int) -> DataFrame:
-    """The distinct anchor hashes of each block, and whether they occur twice in it."""
+    """The distinct anchor hashes of each block."""
 
     def ask(rows: pa.Table, told: pa.Table) -> pa.Table:
         texts = [data for _, data, copy in _documents(rows, told) if not copy]
-        hashes = _short(anchors(texts)[2])
-        hashes, count = np.unique(hashes, return_counts=True)
+        _, _, hashes, around = anchors(texts)
         block = rows.column("block")[0].as_py() if rows.num_rows else 0
-
-        def make(own: np.ndarray) -> bytes:
-            steps = np.diff(hashes[own], prepend=np.uint64(0))
-            return _blob(step=pa.array(steps), twice=pa.array(count[own] > 1))
-
-        return _dealt(block, _part_of(hashes, parts), make)
+        return _dealt_hashes(block, _short(hashes), around, parts)
 
     return placed.groupBy("block").cogroup(copies.groupBy("block")).applyInArrow(ask, _ASKED)
 
 
-def _tell_hashes(asked: DataFrame) -> DataFrame:
-    """For each block, those of its hashes that occur twice anywhere."""
+def _tell_hashes(asked: DataFrame, kind: int, many_forms: int) -> DataFrame:
+    """For each block, those of its hashes that occur twice anywhere, and which of them have
+    more than ``many_forms`` forms."""
 
     def tell(table: pa.Table) -> pa.Table:
         blobs = [_table(b.as_py()) for b in table.column("blob")]
         hashes = [np.cumsum(_array(b, "step"), dtype=np.uint64) for b in blobs]
-        twice = np.concatenate([h[_array(b, "twice")] for h, b in zip(hashes, blobs, strict=True)])
-        known, count = np.unique(np.concatenate(hashes), return_counts=True)
-        known = np.union1d(known[count > 1], twice)
-        answers = [np.intersect1d(h, known, assume_unique=True) for h in hashes]
+        twice = np.concatenate([_array(b, "twice") for b in blobs])
+        forms = np.concatenate([_array(b, "forms") for b in blobs])
+        known, which, count = np.unique(
+            np.concatenate(hashes), return_inverse=True, return_counts=True
+        )
+        again = count > 1
+        again[which[twice]] = True
+        many = np.bincount(which, weights=forms, minlength=len(known)) > many_forms
+        answers, at = [], 0
+        for own in hashes:
+            mine = which[at : at + len(own)]
+            at += len(own)
+            mine = np.sort(mine[again[mine]])
+            steps = np.diff(known[mine], prepend=np.uint64(0))
+            answers.append(_blob(step=pa.array(steps), many=pa.array(many[mine])))
         return pa.table(
             {
                 "block": table.column("block"),
-                "kind": pa.array([1] * len(blobs), pa.int32()),
+                "kind": pa.array([kind] * len(blobs), pa.int32()),
                 "doc_id": pa.nulls(len(blobs), pa.int64()),
-                "blob": pa.array(
-                    [_blob(step=pa.array(np.diff(a, prepend=np.uint64(0)))) for a in answers],
-                    pa.binary(),
-                ),
+                "blob": pa.array(answers, pa.binary()),
             }
         )
 
     return asked.groupBy("part").applyInArrow(tell, _TOLD)
 
 
+def _known(told: pa.Table, kind: int) -> tuple[np.ndarray, np.ndarray]:
+    """The sorted hashes that a block was told of, and which of them have many forms."""
+    answers = [_table(b.as_py()) for b in _of_kind(told, kind).column("blob")]
+    if not answers:
+        return np.empty(0, dtype=np.uint64), np.empty(0, dtype=bool)
+    known = np.concatenate([np.cumsum(_array(a, "step"), dtype=np.uint64) for a in answers])
+    many = np.concatenate([_array(a, "many") for a in answers])
+    order = np.argsort(known)
+    return known[order], many[order]
+
+
+def _ask_strings(placed: DataFrame, told: DataFrame, parts: int) -> DataFrame:
+    """The distinct hashes of the strings around anchors that have many forms."""
+
+    def ask(rows: pa.Table, told: pa.Table) -> pa.Table:
+        known, many = _known(told, 1)
+        if not many.any():
+            return _dealt(0, np.empty(0, dtype=np.int64), lambda own: b"")
+        texts = [data for _, data, copy in _documents(rows, _of_kind(told, 0)) if not copy]
+        index, place, hashes, _ = anchors(texts)
+        mine = _among(_short(hashes), known[many])
+        _, _, strings = strings_around(texts, index[mine], place[mine])
+        block = rows.column("block")[0].as_py()
+        return _dealt_hashes(block, strings, np.zeros(len(strings), dtype=np.uint64), parts)
+
+    return placed.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(ask, _ASKED)
+
+
 def _ask_surroundings(placed: DataFrame, told: DataFrame, parts: int) -> DataFrame:
-    """The distinct surroundings of anchors with such a hash, with their first place in the block."""
+    """The distinct surroundings of anchors whose hash occurs twice, with their first place in
+    the block. Of anchors with many forms, the distinct strings whose hash occurs twice."""
 
     def ask(rows: pa.Table, told: pa.Table) -> pa.Table:
-        answers = [_table(b.as_py()) for b in _of_kind(told, 1).column("blob")]
-        known = [np.cumsum(_array(a, "step"), dtype=np.uint64) for a in answers]
-        known = np.unique(np.concatenate(known)) if known else np.empty(0, dtype=np.uint64)
+        known, many = _known(told, 1)
         own = [x for x in _documents(rows, _of_kind(told, 0)) if not x[2]]
-        texts, ids = [x[1] for x in own], np.array([x[0] for x in own])
+        texts, ids = [x[1] for x in own], np.array([x[0] for x in own], dtype=np.int64)
         index, place, hashes, around = anchors(texts)
         hashes = _short(hashes)
-        mine = np.flatnonzero(_among(hashes, known))
-        if not len(mine):
-            return _dealt(0, np.empty(0, dtype=np.int64), lambda own: b"")
+        each = np.flatnonzero(_among(hashes, known[many]))
+        text_s, start, string = strings_around(texts, index[each], place[each])
+        asked = np.flatnonzero(_among(string, _known(told, 3)[0]))
+        text_s, start, string = text_s[asked], start[asked], string[asked]
+        mine = np.flatnonzero(_among(hashes, known[~many]))
         index, place, hashes, around = index[mine], place[mine], hashes[mine], around[mine]
-        order = np.lexsort((place, ids[index], around))
-        sorted_around = around[order]
-        first = order[np.concatenate([[True], sorted_around[1:] != sorted_around[:-1]])]
+
+        def firsts(text: np.ndarray, at: np.ndarray, form: np.ndarray) -> np.ndarray:
+            order = np.lexsort((at, ids[text], form))
+            return order[np.diff(form[order], prepend=form[order][:1] ^ np.uint64(1)) != 0]
+
+        first, first_s = firsts(index, place, around), firsts(text_s, start, string)
+        if not len(first) + len(first_s):
+            return _dealt(0, np.empty(0, dtype=np.int64), lambda own: b"")
+        part = _part_of(np.concatenate([hashes[first], string[first_s]]), parts)
+        alone = np.arange(len(part)) >= len(first)
+        text = np.concatenate([index[first], text_s[first_s]])
+        at = np.concatenate([place[first], start[first_s]])
+        form = np.concatenate([around[first], string[first_s]])
 
         def make(own: np.ndarray) -> bytes:
-            rows_ = first[own]
-            cut = [(texts[t], p) for t, p in zip(index[rows_].tolist(), place[rows_].tolist(), strict=True)]
-            before = [d[max(0, p - OFFSETS + 1) : p] for d, p in cut]
-            after = [d[p : p + LENGTH] for d, p in cut]
+            cut = list(zip(text[own].tolist(), at[own].tolist(), alone[own].tolist(), strict=True))
+            before = [b"" if a else texts[t][max(0, p - OFFSETS + 1) : p] for t, p, a in cut]
+            after = [texts[t][p : p + LENGTH] for t, p, _ in cut]
             return _blob(
-                around=pa.array(around[rows_]),
-                doc_id=pa.array(ids[index[rows_]], pa.int64()),
-                place=pa.array(place[rows_], pa.int64()),
+                around=pa.array(form[own]),
+                alone=pa.array(alone[own]),
+                doc_id=pa.array(ids[text[own]], pa.int64()),
+                place=pa.array(at[own], pa.int64()),
                 before=pa.array(before, pa.binary()),
                 after=pa.array(after, pa.binary()),
             )
 
-        block = rows.column("block")[0].as_py()
-        return _dealt(block, _part_of(hashes[first], parts), make)
+        return _dealt(rows.column("block")[0].as_py(), part, make)
 
     return placed.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(ask, _ASKED)
 
 
 def _tell_strings(asked: DataFrame) -> DataFrame:
     """For each block and surroundings, at which offsets the string around the first place of the
-    block also starts earlier. This is where suffixes are sorted."""
+    block also starts earlier. This is where suffixes are sorted. A string sent alone has nothing
+    before it, and is told at offset 0."""
 
     def tell(table: pa.Table) -> pa.Table:
         blobs = [_table(b.as_py()) for b in table.column("blob")]
@@ -458,6 +553,7 @@ def _tell_strings(asked: DataFrame) -> DataFrame:
             out.append(
                 _blob(
                     around=blob.column("around"),
+                    alone=blob.column("alone"),
                     doc_id=blob.column("doc_id"),
                     place=blob.column("place"),
                     offsets=strings,
@@ -486,40 +582,69 @@ def covered(begins: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return begins[new], ends[last]
 
 
+def _answers(answer: pa.Table, alone: bool) -> tuple:
+    """What was told of surroundings, or of strings ``alone``, in the order of their hashes: hash,
+    doc_id and place of the block's first, and by offset whether its string starts earlier."""
+    answer = answer.filter(pa.array(_array(answer, "alone") == alone))
+    answer = answer.take(pa.array(np.argsort(_array(answer, "around"), kind="stable")))
+    packed = np.frombuffer(b"".join(answer.column("offsets").to_pylist()), np.uint8)
+    bits = np.unpackbits(packed.reshape(answer.num_rows, -(-OFFSETS // 8)), axis=1)
+    told = (_array(answer, name) for name in ("around", "doc_id", "place"))
+    return *told, bits[:, :OFFSETS].astype(bool)
+
+
+def _found_around(answer: pa.Table, index, place, around, ids, sizes) -> tuple:
+    """Text, begin and end of the bytes around anchors that strings starting earlier cover."""
+    known, first_doc, first_place, bits = _answers(answer, False)
+    mine = np.flatnonzero(_among(around, known))
+    index, place = index[mine], place[mine]
+    at = np.searchsorted(known, around[mine])
+    size = np.array(sizes, dtype=np.int64)
+    first = (first_doc[at] == ids[index]) & (first_place[at] == place)
+    # a later place with the same surroundings: every string around it starts earlier
+    later = ~first
+    low = np.maximum(place[later] - OFFSETS + 1, 0)
+    high = np.minimum(place[later], size[index[later]] - LENGTH)
+    row, offset = np.nonzero(bits[at[first]])
+    start = place[first][row] - offset
+    return (
+        np.concatenate([index[later][low <= high], index[first][row]]),
+        np.concatenate([low[low <= high], start]),
+        np.concatenate([high[low <= high] + LENGTH, start + LENGTH]),
+    )
+
+
+def _found_alone(answer: pa.Table, index, start, strings, ids) -> tuple:
+    """The same of the strings around anchors that have many forms."""
+    known, first_doc, first_start, bits = _answers(answer, True)
+    mine = np.flatnonzero(_among(strings, known))
+    index, start = index[mine], start[mine]
+    at = np.searchsorted(known, strings[mine])
+    later = bits[at, 0] | (first_doc[at] != ids[index]) | (first_start[at] != start)
+    return index[later], start[later], start[later] + LENGTH
+
+
 def _cut(placed: DataFrame, told: DataFrame, schema: str, finish: Callable) -> DataFrame:
     """Each document with the runs of its bytes that strings starting earlier cover."""
 
     def cut(rows: pa.Table, told: pa.Table) -> pa.Table:
-        answers = [_table(b.as_py()) for b in _of_kind(told, 2).column("blob")]
         out: list[tuple] = []
-        if answers:
-            answer = pa.concat_tables(answers)
-            order = np.argsort(_array(answer, "around"), kind="stable")
-            answer = answer.take(pa.array(order))
-            known = _array(answer, "around")
-            first_doc, first_place = _array(answer, "doc_id"), _array(answer, "place")
-            packed = np.frombuffer(b"".join(answer.column("offsets").to_pylist()), np.uint8)
-            bits = np.unpackbits(packed.reshape(len(known), -1), axis=1)[:, :OFFSETS].astype(bool)
         own = list(_documents(rows, _of_kind(told, 0)))
         nothing = np.empty(0, dtype=np.int64)
         spans: dict[int, tuple] = {}
-        if answers and len(known):
-            index, place, _, around = anchors([b"" if copy else data for _, data, copy in own])
-            mine = np.flatnonzero(_among(around, known))
-            index, place = index[mine], place[mine]
-            at = np.searchsorted(known, around[mine])
-            ids = np.array([x[0] for x in own])
-            size = np.array([len(x[1]) for x in own], dtype=np.int64)
-            first = (first_doc[at] == ids[index]) & (first_place[at] == place)
-            # a later place with the same surroundings: every string around it starts earlier
-            later = ~first
-            low = np.maximum(place[later] - OFFSETS + 1, 0)
-            high = np.minimum(place[later], size[index[later]] - LENGTH)
-            row, offset = np.nonzero(bits[at[first]])
-            start = place[first][row] - offset
-            whose = np.concatenate([index[later][low <= high], index[first][row]])
-            begins = np.concatenate([low[low <= high], start])
-            ends = np.concatenate([high[low <= high] + LENGTH, start + LENGTH])
+        answers = [_table(b.as_py()) for b in _of_kind(told, 2).column("blob")]
+        if answers:
+            answer = pa.concat_tables(answers)
+            texts = [b"" if copy else data for _, data, copy in own]
+            ids = np.array([x[0] for x in own], dtype=np.int64)
+            index, place, hashes, around = anchors(texts)
+            known, many = _known(told, 1)
+            each = np.flatnonzero(_among(_short(hashes), known[many]))
+            found = [
+                _found_around(answer, index, place, around, ids, [len(x) for x in texts]),
+                _found_alone(answer, *strings_around(texts, index[each], place[each]), ids),
+            ]
+            whose, begins, ends = (np.concatenate(c) for c in zip(*found, strict=True))
             order = np.argsort(whose, kind="stable")
             whose, begins, ends = whose[order], begins[order], ends[order]
             edges = np.flatnonzero(np.diff(whose, prepend=-1, append=-1))
@@ -557,7 +682,10 @@ def _whole(data: bytes, begins: np.ndarray, ends: np.ndarray) -> tuple:
 
 
 def remove_repeats(
-    documents: DataFrame, digest: bool = False, block_bytes: int = BLOCK_BYTES
+    documents: DataFrame,
+    digest: bool = False,
+    block_bytes: int = BLOCK_BYTES,
+    many_forms: int = MANY_FORMS,
 ) -> DataFrame:
     """Per row: doc_id, n_bytes, n_removed, n_spans and ``kept`` bytes (``digest``: their hash).
 
@@ -567,6 +695,7 @@ def remove_repeats(
     aggregation of text hashes and removed without looking at their anchors. Rows with the same
     doc_id are not earlier than one another. A NULL text is empty, and a text shorter than
     LENGTH loses nothing. Other columns are ignored; an empty table gives an empty result.
+    ``many_forms`` tells how anchors are compared, never what is found.
     """
     text = F.coalesce("text", F.lit(""))
     total = documents.agg(F.sum(F.octet_length(text).cast("long"))).first()[0] or 0
@@ -590,13 +719,16 @@ def remove_repeats(
             F.unhex("mark").alias("blob"),
         )
     )
-    hashes = _tell_hashes(_ask_hashes(placed, copies, parts))
-    strings = _tell_strings(_ask_surroundings(placed, copies.unionAll(hashes), parts))
+    hashes = _tell_hashes(_ask_hashes(placed, copies, parts), 1, many_forms)
+    told = copies.unionAll(hashes)
+    alone = _tell_hashes(_ask_strings(placed, told, parts), 3, many_forms)
+    strings = _tell_strings(_ask_surroundings(placed, told.unionAll(alone), parts))
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, " + (
         "kept_sha256 string" if digest else "kept binary"
     )
-    return _cut(placed, copies.unionAll(strings), schema, _digest if digest else _whole)
+    return _cut(placed, told.unionAll(strings), schema, _digest if digest else _whole)
 
 
 def op7_suffix_dedup(documents: DataFrame) -> DataFrame:
+    """Per document the bytes that strings starting earlier cover; see ``remove_repeats``."""
     return remove_repeats(documents, digest=True)

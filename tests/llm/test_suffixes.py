@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -35,14 +36,61 @@ def key(row):
     return tuple((x is not None, x) for x in row)
 
 
-@pytest.mark.parametrize("block_bytes", [8 << 20, 1 << 16])
-def test_against_brute_force(spark, block_bytes):
+@pytest.mark.parametrize(
+    "block_bytes, many_forms", [(8 << 20, 1 << 16), (1 << 16, 1 << 16), (1 << 17, 2)]
+)
+def test_against_brute_force(spark, block_bytes, many_forms):
     frame = spark.read.parquet(f"{SF_DIR}/documents.parquet")
     documents = [(r.doc_id, r.text) for r in frame.collect()]
-    found = suffixes.remove_repeats(frame, digest=True, block_bytes=block_bytes).collect()
+    found = suffixes.remove_repeats(
+        frame, digest=True, block_bytes=block_bytes, many_forms=many_forms
+    ).collect()
     assert sorted(map(tuple, found)) == sorted(brute(documents))
 
 
+@pytest.mark.parametrize("size", [40, 99, 103])
+def test_a_line_with_other_neighbours_each_time_is_in_no_large_part(spark, size):
+    rnd = random.Random(size)
+
+    def noise(length):
+        return "".join(rnd.choices("abcdefgh ", k=length))
+
+    line, tail = noise(size), noise(30)
+    texts = [noise(rnd.randint(0, 150)) + line + noise(rnd.randint(0, 150)) for _ in range(300)]
+    texts += [noise(80) + line + tail for _ in range(5)] + [texts[7][20:], texts[8] + texts[9]]
+    documents = list(enumerate(texts))
+    frame = spark.createDataFrame(documents, "doc_id long, text string")
+    found = suffixes.remove_repeats(frame, digest=True, block_bytes=1 << 14, many_forms=50)
+    assert sorted(map(tuple, found.collect())) == sorted(brute(documents))
+
+
+def test_strings_of_an_anchor_with_many_forms_are_asked_once_a_block(spark):
+    rnd = random.Random(9)
+
+    def noise(length):
+        return "".join(rnd.choices("abcdefgh ", k=length))
+
+    line = noise(103)
+    texts = [noise(90) + line + noise(110) for _ in range(200)]
+    blocks = [(i % 4, i, t) for i, t in enumerate(texts)]
+    placed = suffixes._packed(spark.createDataFrame(blocks, "block long, doc_id long, text string"))
+    none = spark.createDataFrame([], suffixes._TOLD)
+    told = suffixes._tell_hashes(suffixes._ask_hashes(placed, none, 4), 1, 20)
+    alone = suffixes._tell_hashes(suffixes._ask_strings(placed, told, 4), 3, 20)
+
+    def rows(told):
+        asked = suffixes._ask_surroundings(placed, told, 4).collect()
+        return [r for a in asked for r in suffixes._table(a.blob).to_pylist()]
+
+    sent = rows(told.unionAll(alone))
+    surroundings = Counter(r["after"][:32] for r in sent if not r["alone"])
+    assert max(surroundings.values(), default=0) <= 20
+    # 4 blocks; the 4 strings of the line are in each, others share a few bytes of noise besides
+    strings = Counter(r["after"].decode() for r in sent if r["alone"])
+    assert max(strings.values()) == 4
+    assert all(strings[line[i : i + 100]] == 4 for i in range(4))
+
+
 def test_periodic_and_crafted_texts(spark):
     rnd = random.Random(1)
     base = "".join(rnd.choice("ab") for _ in range(300))
@@ -53,8 +101,11 @@ def test_periodic_and_crafted_texts(spark):
     ]
     documents = [(3 * i % 16, t) for i, t in enumerate(texts)]
     frame = spark.createDataFrame(documents, "doc_id long, text string")
-    found = suffixes.remove_repeats(frame, digest=True, block_bytes=500).collect()
-    assert sorted(map(tuple, found)) == sorted(brute(documents))
+    for many_forms in (1 << 16, 0):
+        found = suffixes.remove_repeats(
+            frame, digest=True, block_bytes=500, many_forms=many_forms
+        ).collect()
+        assert sorted(map(tuple, found)) == sorted(brute(documents))
 
 
 def test_awkward_and_empty_tables(spark):
