@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from seasonstar.llm.common import sent_by_value
+from seasonstar.llm.common import lean_cogroup, lean_group, sent_by_value
 
 sent_by_value(__name__)
 
@@ -415,7 +415,7 @@ def _ask_hashes(placed: DataFrame, copies: DataFrame, parts: int) -> DataFrame:
         block = rows.column("block")[0].as_py() if rows.num_rows else 0
         return _dealt_hashes(block, _short(hashes), around, parts)
 
-    return placed.groupBy("block").cogroup(copies.groupBy("block")).applyInArrow(ask, _ASKED)
+    return placed.groupBy("block").cogroup(copies.groupBy("block")).applyInArrow(lean_cogroup(ask), _ASKED)
 
 
 def _tell_hashes(asked: DataFrame, kind: int, many_forms: int) -> DataFrame:
@@ -449,7 +449,7 @@ def _tell_hashes(asked: DataFrame, kind: int, many_forms: int) -> DataFrame:
             }
         )
 
-    return asked.groupBy("part").applyInArrow(tell, _TOLD)
+    return asked.groupBy("part").applyInArrow(lean_group(tell), _TOLD)
 
 
 def _known(told: pa.Table, kind: int) -> tuple[np.ndarray, np.ndarray]:
@@ -477,7 +477,7 @@ def _ask_strings(placed: DataFrame, told: DataFrame, parts: int) -> DataFrame:
         block = rows.column("block")[0].as_py()
         return _dealt_hashes(block, strings, np.zeros(len(strings), dtype=np.uint64), parts)
 
-    return placed.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(ask, _ASKED)
+    return placed.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(lean_cogroup(ask), _ASKED)
 
 
 def _ask_surroundings(placed: DataFrame, told: DataFrame, parts: int) -> DataFrame:
@@ -525,7 +525,7 @@ def _ask_surroundings(placed: DataFrame, told: DataFrame, parts: int) -> DataFra
 
         return _dealt(rows.column("block")[0].as_py(), part, make)
 
-    return placed.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(ask, _ASKED)
+    return placed.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(lean_cogroup(ask), _ASKED)
 
 
 def _tell_strings(asked: DataFrame) -> DataFrame:
@@ -568,7 +568,7 @@ def _tell_strings(asked: DataFrame) -> DataFrame:
             }
         )
 
-    return asked.groupBy("part").applyInArrow(tell, _TOLD)
+    return asked.groupBy("part").applyInArrow(lean_group(tell), _TOLD)
 
 
 def covered(begins: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -664,7 +664,7 @@ def _cut(placed: DataFrame, told: DataFrame, schema: str, finish: Callable) -> D
             {n: pa.array(c, t) for n, c, t in zip(names, columns, types, strict=True)}
         )
 
-    return placed.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(cut, schema)
+    return placed.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(lean_cogroup(cut), schema)
 
 
 def _kept(data: bytes, begins: np.ndarray, ends: np.ndarray) -> bytes:
