@@ -36,8 +36,9 @@ GRAM = 32
 OFFSETS = LENGTH - GRAM + 1
 #: Depth from which groups of equal prefixes go to blind tries, and bytes of a quicksort key.
 SHALLOW, KEY = 32, 8
-#: Bytes of text in a block, and parts that hashes and surroundings are dealt to for each block.
-BLOCK_BYTES, PARTS_PER_BLOCK = 8 << 20, 1
+#: Bytes of text in a block. Hashes and surroundings are dealt to one part for so many blocks, as
+#: a block sends a message to each part, and sorted in as many slices of a part, one at a time.
+BLOCK_BYTES, SLICES = 8 << 20, 8
 #: Surroundings of one anchor hash, counted by block, from which strings are dealt one by one.
 MANY_FORMS = 1 << 16
 #: Bytes whose hashes are computed at a time.
@@ -370,6 +371,11 @@ def _part_of(hashes: np.ndarray, parts: int) -> np.ndarray:
     return (_mixed(hashes) % np.uint64(parts)).astype(np.int64)
 
 
+def _slice_of(hashes: np.ndarray, parts: int) -> np.ndarray:
+    """The slice of its part that each hash belongs to."""
+    return (_mixed(hashes) // np.uint64(parts) % np.uint64(SLICES)).astype(np.uint8)
+
+
 _ASKED = "part long, block long, blob binary"
 _TOLD = "block long, kind int, doc_id long, blob binary"
 
@@ -415,7 +421,8 @@ def _ask_hashes(placed: DataFrame, copies: DataFrame, parts: int) -> DataFrame:
         block = rows.column("block")[0].as_py() if rows.num_rows else 0
         return _dealt_hashes(block, _short(hashes), around, parts)
 
-    return placed.groupBy("block").cogroup(copies.groupBy("block")).applyInArrow(lean_cogroup(ask), _ASKED)
+    blocks = placed.groupBy("block").cogroup(copies.groupBy("block"))
+    return blocks.applyInArrow(lean_cogroup(ask), _ASKED)
 
 
 def _tell_hashes(asked: DataFrame, kind: int, many_forms: int) -> DataFrame:
@@ -477,7 +484,8 @@ def _ask_strings(placed: DataFrame, told: DataFrame, parts: int) -> DataFrame:
         block = rows.column("block")[0].as_py()
         return _dealt_hashes(block, strings, np.zeros(len(strings), dtype=np.uint64), parts)
 
-    return placed.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(lean_cogroup(ask), _ASKED)
+    blocks = placed.groupBy("block").cogroup(told.groupBy("block"))
+    return blocks.applyInArrow(lean_cogroup(ask), _ASKED)
 
 
 def _ask_surroundings(placed: DataFrame, told: DataFrame, parts: int) -> DataFrame:
@@ -504,7 +512,8 @@ def _ask_surroundings(placed: DataFrame, told: DataFrame, parts: int) -> DataFra
         first, first_s = firsts(index, place, around), firsts(text_s, start, string)
         if not len(first) + len(first_s):
             return _dealt(0, np.empty(0, dtype=np.int64), lambda own: b"")
-        part = _part_of(np.concatenate([hashes[first], string[first_s]]), parts)
+        dealt_by = np.concatenate([hashes[first], string[first_s]])
+        part, slices = _part_of(dealt_by, parts), _slice_of(dealt_by, parts)
         alone = np.arange(len(part)) >= len(first)
         text = np.concatenate([index[first], text_s[first_s]])
         at = np.concatenate([place[first], start[first_s]])
@@ -516,6 +525,7 @@ def _ask_surroundings(placed: DataFrame, told: DataFrame, parts: int) -> DataFra
             after = [texts[t][p : p + LENGTH] for t, p, _ in cut]
             return _blob(
                 around=pa.array(form[own]),
+                slice=pa.array(slices[own]),
                 alone=pa.array(alone[own]),
                 doc_id=pa.array(ids[text[own]], pa.int64()),
                 place=pa.array(at[own], pa.int64()),
@@ -525,7 +535,8 @@ def _ask_surroundings(placed: DataFrame, told: DataFrame, parts: int) -> DataFra
 
         return _dealt(rows.column("block")[0].as_py(), part, make)
 
-    return placed.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(lean_cogroup(ask), _ASKED)
+    blocks = placed.groupBy("block").cogroup(told.groupBy("block"))
+    return blocks.applyInArrow(lean_cogroup(ask), _ASKED)
 
 
 def _tell_strings(asked: DataFrame) -> DataFrame:
@@ -543,8 +554,13 @@ def _tell_strings(asked: DataFrame) -> DataFrame:
         )
         rank = np.empty(len(order), dtype=np.int64)
         rank[order] = np.cumsum(new)
-        before, after = both.column("before").to_pylist(), both.column("after").to_pylist()
-        packed = np.packbits(earlier_strings(before, after, rank), axis=1)
+        slices = _array(both, "slice")
+        packed = np.empty((len(order), -(-OFFSETS // 8)), dtype=np.uint8)
+        for one in np.unique(slices):
+            own = np.flatnonzero(slices == one)
+            sides = both.select(["before", "after"]).take(pa.array(own))
+            before, after = (sides.column(side).to_pylist() for side in ("before", "after"))
+            packed[own] = np.packbits(earlier_strings(before, after, rank[own]), axis=1)
         out, at = [], 0
         for blob in blobs:
             own = packed[at : at + blob.num_rows]
@@ -664,7 +680,8 @@ def _cut(placed: DataFrame, told: DataFrame, schema: str, finish: Callable) -> D
             {n: pa.array(c, t) for n, c, t in zip(names, columns, types, strict=True)}
         )
 
-    return placed.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(lean_cogroup(cut), schema)
+    blocks = placed.groupBy("block").cogroup(told.groupBy("block"))
+    return blocks.applyInArrow(lean_cogroup(cut), schema)
 
 
 def _kept(data: bytes, begins: np.ndarray, ends: np.ndarray) -> bytes:
@@ -700,7 +717,7 @@ def remove_repeats(
     text = F.coalesce("text", F.lit(""))
     total = documents.agg(F.sum(F.octet_length(text).cast("long"))).first()[0] or 0
     blocks = max(1, -(-total // block_bytes))
-    parts = PARTS_PER_BLOCK * blocks
+    parts = -(-blocks // SLICES)
     mark = F.sha2(F.encode(text, "utf-8"), 256)
     block = F.pmod(F.xxhash64("doc_id", mark), F.lit(blocks)).cast("long")
     rows = documents.select("doc_id", text.alias("text"), block.alias("block"))
